@@ -33,6 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lower_ascii(text: str | None) -> str:
+    """The text with A-Z lower-cased and nothing else changed; null: empty."""
+    if not text or text.isascii():
+        return (text or "").lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def words_sql(text: str) -> str:
     """Number of words (runs of anything but ASCII white space) of a text column; null: 0."""
     return f"coalesce(regexp_count({text}, r'[^\\x20\\x09-\\x0D]+'), 0)"
