@@ -7,9 +7,9 @@
 3. In every bucket the others are held against one hub, which differs from band to band, so
    candidates stay in proportion to the members.  What is confirmed on full sets forms
    components.
-4. Buckets that still hold several components give pairs of components; their members are
-   held against each other in blocks of bounded size until a link is found or none is left.
-   No bucket, candidate or partner is capped.
+4. In a bucket that still holds several components, the others meet the largest.  All that
+   meet one component are held against it and each other in a grid of blocks of bounded
+   size, so no rows are made for pairs.  No bucket, candidate or partner is capped.
 
 Two nodes of similarity 0.8 share no bucket with probability (1 - 0.8^5)^24 = 7e-5; at 0.85
 it is 2e-6.
@@ -137,53 +137,58 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its set (as bytes) for wanted(doc_id, node)."""
+    """node, its set (as bytes) and sketch for wanted(doc_id, node, k1, k2)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, node in zip(batch["text"], batch["node"]):
+            for text, node, k1, k2 in zip(batch["text"], batch["node"], batch["k1"], batch["k2"]):
                 s = shingle_set(text, width)
                 if digest(s) == bytes(node):  # a repeated id may stand for another text
-                    rows.append((node, s.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "s"])
+                    rows.append((node, s.tobytes(), k1, k2))
+            yield pd.DataFrame(rows, columns=["node", "s", "k1", "k2"])
 
     d, w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted
-    found = d.join(w, d["doc_id"].eqNullSafe(w["doc_id"])).select(d["text"], w["node"])
-    return found.mapInPandas(run, "node binary, s binary").dropDuplicates(["node"])
+    found = d.join(w, d["doc_id"].eqNullSafe(w["doc_id"])).select(d["text"], w["node"], w["k1"], w["k2"])
+    return found.mapInPandas(run, "node binary, s binary, k1 long, k2 long").dropDuplicates(["node"])
 
 
 def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the rows of each block.
 
-    blocks(block, side, comp, node, s): every node of side 0 is held against every node of
-    side 1; one link for two components is enough.  A block has 2 * BLOCK rows at most.
+    blocks(block, side, comp, node, s, k1, k2): every node of side 1 is held against every
+    node of side 0, first by sketch; one link for two components is enough.  Nodes that stand
+    on both sides of a grid are held against each other once.  A block has about 2 * BLOCK rows.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        left = [r for r in rows if r[1] == 0]
-        right = [r for r in rows if r[1] == 1]
+        left = [r for r in rows if r[1] == 1]
+        right = [r for r in rows if r[1] != 1]
+        if not left or not right:
+            return
+        kl, kr = (np.array([r[5:7] for r in side], np.int64).view(np.uint64) for side in (left, right))
+        apart = np.bitwise_count(kl[:, None] ^ kr[None]).astype(np.int16).sum(axis=2)
         found = set()
-        for _, _, ca, a, x in left:
-            for _, _, cb, b, y in right:
-                if ca != cb and (ca, cb) not in found and similar(x, y, percent):
-                    found.add((ca, cb))
-                    yield a, b
+        for i, j in zip(*(x.tolist() for x in np.nonzero(apart <= SKETCH_BITS))):
+            (_, _, ca, a, x, _, _), (_, side, cb, b, y, _, _) = left[i], right[j]
+            if ca != cb and (side == 0 or a < b) and (ca, cb) not in found and similar(x, y, percent):
+                found.add((ca, cb))
+                yield a, b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for block, side, comp, node, s in batch.itertuples(index=False, name=None):
+            for block, side, comp, node, s, k1, k2 in batch.itertuples(index=False, name=None):
                 if held and held[0][0] != block:
                     out += links(held)
                     held = []
-                held.append((block, side, bytes(comp), node, np.frombuffer(s, np.uint64)))
+                held.append((block, side, bytes(comp), bytes(node), np.frombuffer(s, np.uint64), k1, k2))
             yield pd.DataFrame(out, columns=["a", "b"])
         yield pd.DataFrame(list(links(held)), columns=["a", "b"])
 
     return (
-        blocks.select("block", "side", "comp", "node", "s")
+        blocks.select("block", "side", "comp", "node", "s", "k1", "k2")
         .repartition("block")
         .sortWithinPartitions("block")
         .mapInPandas(run, "a binary, b binary")
@@ -225,16 +230,16 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     # a document has 24 hubs at most; the four it shares most bands with are tried first, and
     # what stays apart is compared in full below
     stars = written(stars, "stars")
-    wanted = buckets.select("node", "doc_id").distinct()
+    wanted = buckets.select("node", "doc_id", "k1", "k2").distinct()
     sets = written(sets_of(docs, wanted, width), "sets")
 
     first = (
         stars.join(sets, "node")
         .select(F.concat("other", F.lit(b"/"), F.lpad(F.hex(F.pmod(F.xxhash64("node"), F.lit(1 << 30))), 8, "0").cast("binary").substr(F.lit(1), F.lit(5))).alias("block"),
-                F.lit(1).alias("side"), F.col("node").alias("comp"), "node", "s", "other")
+                F.lit(1).alias("side"), F.col("node").alias("comp"), "node", "s", "k1", "k2", "other")
     )
     hubs = first.select("block", "other").distinct().join(sets.withColumnRenamed("node", "other"), "other").select(
-        "block", F.lit(0).alias("side"), F.col("other").alias("comp"), F.col("other").alias("node"), "s"
+        "block", F.lit(0).alias("side"), F.col("other").alias("comp"), F.col("other").alias("node"), "s", "k1", "k2"
     )
     links = written(confirmed(first.drop("other").unionByName(hubs), percent), "links")
     labels = components(links)
@@ -242,44 +247,27 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     def root(df: DataFrame) -> DataFrame:
         return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    # components that still meet in a bucket
+    # components that still meet in a bucket: all others against the largest and each other
     comp = root(sets.select("node"))
     total = comp.groupBy("root").agg(F.count("*").alias("members"))
-    met = (
-        root(buckets.select("band", "key", "node", "k1", "k2", "n")).join(total, "root")
-        .withColumn("alone", F.col("members") == 1)
-        .groupBy("band", "key", "root", "members")
-        .agg(*(F.max(F.when(F.col("alone"), F.col(c))).alias(c) for c in ("k1", "k2", "n")))
-    )
-    open_ = met.groupBy("band", "key").agg(F.count("*").alias("roots")).where("roots > 1").select("band", "key")
-    met = written(met.join(open_, ["band", "key"]), "met")
-    x, y = met.alias("x"), met.alias("y")
-    apart = x.join(
-        y,
-        F.expr(
-            "x.band = y.band and x.key = y.key and x.root < y.root and (x.n is null or y.n is null or ("
-            f"bit_count(x.k1 ^ y.k1) + bit_count(x.k2 ^ y.k2) <= {SKETCH_BITS}"
-            f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)))"
-        ),
-    ).selectExpr(
-        "if(x.members >= y.members, x.root, y.root) as big", "if(x.members >= y.members, y.root, x.root) as small",
-        "greatest(x.members, y.members) as n_big", "least(x.members, y.members) as n_small",
-    ).distinct()
+    met = root(buckets.select("band", "key", "node")).groupBy("band", "key", "root").agg(F.count("*").alias("here"))
+    met = met.join(total, "root").select("band", "key", "root", "members")
+    largest = met.groupBy("band", "key").agg(
+        F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("big")
+    ).where("roots > 1")
+    apart = met.join(largest, ["band", "key"]).where("root != big.root").selectExpr("big.root as big", "root as small").distinct()
     apart = written(apart, "apart")
-    # the nodes of the small components that meet one large component, and that one, both in blocks
-    small = apart.join(comp.selectExpr("root as small", "node"), "small")
-    load = small.groupBy("big", "n_big").agg(F.count("*").alias("n_in"))
-    load = load.selectExpr("big", f"ceil(n_big / {BLOCK}) as ys", f"ceil(n_in / {BLOCK}) as xs")
+    # a grid of blocks for each of these: what meets it, by itself and what meets it
+    left = apart.join(comp.selectExpr("root as small", "node"), "small").selectExpr("big", "small as comp", "node")
+    mine = apart.select("big").distinct().join(comp.selectExpr("root as big", "node"), "big").selectExpr("big", "big as comp", "node")
+    load = left.groupBy("big").agg(F.count("*").alias("n_left")).join(total.withColumnRenamed("root", "big"), "big")
+    load = load.selectExpr("big", f"ceil((n_left + members) / {BLOCK}) as ys", f"ceil(n_left / {BLOCK}) as xs")
     part = "pmod(xxhash64(node), {0})"
     block = F.concat("big", F.lit(b"/"), F.concat_ws("/", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
-    left = small.join(load, "big").selectExpr("big", "small as comp", "node", f"{part.format('xs')} as i", "explode(sequence(0, ys - 1)) as j")
-    right = (
-        comp.withColumnRenamed("root", "big").join(load, "big")
-        .selectExpr("big", "big as comp", "node", "explode(sequence(0, xs - 1)) as i", f"{part.format('ys')} as j")
-    )
-    blocks = left.select(block.alias("block"), F.lit(1).alias("side"), "comp", "node").union(
-        right.select(block.alias("block"), F.lit(0).alias("side"), "comp", "node")
-    )
+    right = left.selectExpr("big", "comp", "node", "2 as side").union(mine.selectExpr("big", "comp", "node", "0 as side"))
+    left = left.join(load, "big").selectExpr("big", "comp", "node", "1 as side", f"{part.format('xs')} as i", "explode(sequence(0, ys - 1)) as j")
+    right = right.join(load, "big").selectExpr("big", "comp", "node", "side", "explode(sequence(0, xs - 1)) as i", f"{part.format('ys')} as j")
+    blocks = left.union(right).select(block.alias("block"), "side", "comp", "node")
     more = confirmed(blocks.join(sets, "node"), percent)
     labels = components(links.union(more))
 
