@@ -32,7 +32,7 @@ from .op9_minmax import _HASHES, STEP, mixed
 
 ORDER, ALPHA = 2, 0.4
 #: Bytes of text in a block.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -40,10 +40,13 @@ class Exploded:
     """The n-grams of a block's documents: one array a level of n, in the order of the texts."""
 
     def __init__(self, texts: list[str | None], order: int):
-        found = [WORD.findall(lower_ascii(t)) for t in texts]
-        self.sizes = np.array([len(w) for w in found], np.int64)
-        total = int(self.sizes.sum())
-        h = np.fromiter((x for w in found for x in map(_HASHES.__getitem__, w)), np.uint64, total)
+        hashed = []
+        for t in texts:  # a list of words lives no longer than its text
+            words = WORD.findall(lower_ascii(t))
+            hashed.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.array([len(w) for w in hashed], np.int64)
+        h = np.concatenate(hashed)
+        total = len(h)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         begins = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         place = np.arange(total) - np.repeat(begins, self.sizes)
