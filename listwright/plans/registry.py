@@ -1,11 +1,399 @@
-"""Registered queries."""
+"""Registered queries over a leads view of the driver's tables, and the SQL they must equal."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rubric as rubrics
+from ..functions import text
+from ..functions.schema import KEYS, LABELS, SUFFIXES, column_of
+from ..operators import dedup, mapping, records, report, review
+from ..sources import leads
+
+#: A list of leads made of the star schema, in SQL that Spark and DuckDB both run.
+LEADS = """
+SELECT c_custkey AS id,
+  CASE c_custkey % 8 WHEN 0 THEN concat(upper(p_name), ', LLC') WHEN 1 THEN concat(p_name, ' Corp.') WHEN 2 THEN concat(p_name, ' Inc')
+    WHEN 3 THEN upper(p_name) WHEN 4 THEN '' WHEN 5 THEN concat('  ', p_name, '  Holdings,  Ltd. ') WHEN 6 THEN concat(p_name, ' Group') ELSE p_name END AS company,
+  coalesce(url, '') AS domain,
+  CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'not an address' WHEN 2 THEN concat(' Info@Mail', c_custkey % 97, '.Example.org') ELSE concat('user', c_custkey, '@www.firm', c_custkey % 211, '.com') END AS email,
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS "firstName", CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_mktsegment END AS "lastName",
+  c_mktsegment AS title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('555-', c_custkey) END AS phone, p_type AS industry, concat(p_size, '') AS "employeeCount",
+  n_name AS country, '' AS state, CASE WHEN c_custkey % 11 = 0 THEN 'a, "quoted" city' ELSE 'town' END AS city, '' AS linkedin
+FROM customer JOIN part ON p_partkey = c_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN pages ON page_id = c_custkey
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = {n: table(spark, sf_dir, n) for n in ("customer", "part", "nation", "pages")}
+    return spark.sql(
+        LEADS.replace('"firstName"', "`firstName`").replace('"lastName"', "`lastName`").replace('"employeeCount"', "`employeeCount`")
+        .replace("customer JOIN part", "{customer} JOIN {part}").replace("JOIN nation", "JOIN {nation}").replace("JOIN pages", "JOIN {pages}"),
+        **t,
+    )
+
+
+def lead_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.build_records(lead_rows(spark, sf_dir), {k: k for k in KEYS})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL of the functions -----------------------------------------------------------------------------
+
+_SUFFIX = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
+
+
+def _trim(v: str) -> str:
+    return rf"regexp_replace(coalesce({v}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def _company(v: str) -> str:
+    clean = _trim(rf"regexp_replace(regexp_replace({_trim(v)}, '\s+', ' ', 'g'), '[.,]+$', '')")
+    bare = _trim(rf"regexp_replace({clean}, '(?i)(?:,?\s+(?:{_SUFFIX})\.?)+$', '')")
+    name = f"(CASE WHEN {bare} = '' THEN {clean} ELSE {bare} END)"
+    word = r"regexp_extract(t, '^[^0-9A-Za-z_]*(.*)$', 1)"
+    token = rf"concat(regexp_extract(t, '^([^0-9A-Za-z_]*)', 1), CASE WHEN {{u}} AND length({word}) <= 3 THEN {word} ELSE concat(upper({word}[1:1]), lower({word}[2:])) END)"
+    upper, lower = f"({name} = upper({name}) AND regexp_matches({name}, '[A-Z]'))", f"({name} = lower({name}) AND regexp_matches({name}, '[a-z]'))"
+    cased = lambda u: f"array_to_string(list_transform(string_split({name}, ' '), lambda t: {token.format(u=u)}), ' ')"
+    return f"(CASE WHEN {upper} THEN {cased('true')} WHEN {lower} THEN {cased('false')} ELSE {name} END)"
+
+
+def _key(v: str) -> str:
+    return f"regexp_replace(lower({_company(v)}), '[^a-z0-9]+', '', 'g')"
+
+
+_DOMAIN = r"(?i)^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
+
+
+def _valid(v: str) -> str:
+    return f"coalesce(length({v}) <= 253 AND regexp_matches({v}, '{_DOMAIN}'), false)"
+
+
+def _domain(v: str) -> str:
+    t = _trim(v)
+    rest = f"CASE WHEN strpos({t}, '@') > 0 THEN {t}[strpos({t}, '@') + 1:] ELSE regexp_extract(regexp_replace({t}, '(?i)^[a-z]+://', ''), '^([^/?#]*)', 1) END"
+    host = "regexp_replace(lower(" + _trim(rf"regexp_replace(regexp_replace({rest}, ':[0-9]+$', ''), '(?i)^www\.', '')") + r"), '\.$', '')"
+    return f"(CASE WHEN {_valid(host)} THEN {host} END)"
+
+
+def _email(v: str) -> str:
+    return rf"regexp_matches({_trim(v)}, '^[^\s@]+@[^\s@]+\.[^\s@]+$')"
+
+
+_REST = ", ".join(f'{_trim(chr(34) + k + chr(34))} AS {column_of(k)}' for k in KEYS[3:])
+RECORDS = f"""
+WITH leads AS ({LEADS}), base AS (
+  SELECT id, {_trim('company')} AS company, {_trim('domain')} AS domain, {_trim('email')} AS email, {_REST} FROM leads),
+records AS (SELECT id, company, {_company('company')} AS normalized_company, domain, coalesce({_domain('domain')}, {_domain('email')}) AS domain_extracted, email,
+  {_email('email')} AS email_valid, {", ".join(column_of(k) for k in KEYS[3:])}, false AS excluded, CAST(NULL AS VARCHAR) AS exclude_reason, CAST(NULL AS BIGINT) AS merged_into FROM base)
+"""
+
+
+def _view(key: str) -> str:
+    return {"company": "normalized_company", "domain": "domain_extracted", "email": "CASE WHEN email_valid THEN email END"}.get(key, column_of(key))
+
+
+def _scored(rubric, name: str = "scored", source: str = "records") -> str:
+    here = {i.field: f"({_trim(_view(i.field))} <> '')" for i in rubric}
+    total = sum(i.weight for i in rubric)
+    earned = " + ".join(f"CASE WHEN {here[i.field]} THEN {float(i.weight)} ELSE 0.0 END" for i in rubric)
+    ready = " AND ".join([here[i.field] for i in rubric if i.required] or ["true"])
+    lacking = lambda items: "concat_ws('; ', " + ", ".join([f"CASE WHEN NOT {here[i.field]} THEN '{i.label}' END" for i in items] or ["''"]) + ")"
+    return f""", {name} AS (SELECT *, CAST(floor(({earned}) / {float(total)} * 100 + 0.5) AS INTEGER) AS score, {ready} AS ready,
+      {lacking(rubric)} AS missing, {lacking([i for i in rubric if i.required])} AS missing_required FROM {source})"""
+
+
+CUSTOM = (rubrics.Item("company", "Company Name", 7, True), rubrics.Item("industry", "Industry", 3, True), rubrics.Item("phone", "Phone", 5, False), rubrics.Item("linkedin", "LinkedIn URL", 1, False), rubrics.Item("lastName", "Last Name", 4, True))
+NAME = "CASE WHEN normalized_company <> '' THEN normalized_company ELSE company END"
+
+
+def _labels(column: str, required: bool = False):
+    m = F.col(column)["missing"]
+    return F.array_join(F.transform(F.filter(m, lambda x: x["required"]) if required else m, lambda x: x["label"]), "; ")
+
+
+# Functions ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH leads AS ({LEADS}) SELECT id, company, {_company('company')} AS normalized FROM leads")
+def normalize_company(spark, sf_dir):
+    return lead_rows(spark, sf_dir).select("id", "company", text.normalize_company(F.col("company")).alias("normalized"))
+
+
+@query(f"WITH leads AS ({LEADS}) SELECT id, {_key('company')} AS company_key FROM leads")
+def company_key(spark, sf_dir):
+    return lead_rows(spark, sf_dir).select("id", text.company_key(F.col("company")).alias("company_key"))
+
+
+@query(f"SELECT page_id, {_domain('url')} AS domain FROM pages")
+def extract_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.extract_domain(F.col("url")).alias("domain"))
+
+
+_HOST = "regexp_extract(url, '://([^/]*)', 1)"
+_ODD = f"CASE page_id % 4 WHEN 0 THEN {_HOST} WHEN 1 THEN concat('-', {_HOST}) WHEN 2 THEN upper({_HOST}) ELSE url END"
+
+
+@query(f"SELECT page_id, {_valid(_ODD)} AS valid FROM pages")
+def domain_validity(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.is_valid_domain(F.expr(_ODD)).alias("valid"))
+
+
+@query(f"WITH leads AS ({LEADS}) SELECT id, {_email('email')} AS email_valid FROM leads")
+def email_validity(spark, sf_dir):
+    return lead_rows(spark, sf_dir).select("id", text.is_likely_email(F.col("email")).alias("email_valid"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def levenshtein_pairs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    a, b = n.select("n_regionkey", F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_name").alias("b"))
+    return a.join(b, "n_regionkey").select("a", "b", text.distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, round(1.0 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name))::DOUBLE, 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def similarity_pairs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    a, b = n.select("n_regionkey", F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_name").alias("b"))
+    return a.join(b, "n_regionkey").select("a", "b", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# Records, scores, figures ------------------------------------------------------------------------------
+
+
+@query(f"{RECORDS} SELECT * FROM records")
+def build_records(spark, sf_dir):
+    return lead_records(spark, sf_dir)
+
+
+@query(f"{RECORDS} SELECT id, domain, email FROM records WHERE domain <> '' AND domain_extracted IS NULL")
+def invalid_domain_rows(spark, sf_dir):
+    return lead_records(spark, sf_dir).where("domain <> '' and domain_extracted is null").select("id", "domain", "email")
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT id, normalized_company, domain_extracted, score, ready FROM scored")
+def readiness_per_lead(spark, sf_dir):
+    r = records.scored(lead_records(spark, sf_dir))
+    return r.select("id", "normalized_company", "domain_extracted", "result.score", "result.ready")
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT id, score, ready, missing FROM scored")
+def score_default(spark, sf_dir):
+    return records.scored(lead_records(spark, sf_dir)).select("id", "result.score", "result.ready", _labels("result").alias("missing"))
+
+
+@query(f"{RECORDS} {_scored(CUSTOM)} SELECT id, score, ready, missing FROM scored")
+def score_custom(spark, sf_dir):
+    return records.scored(lead_records(spark, sf_dir), CUSTOM).select("id", "result.score", "result.ready", _labels("result").alias("missing"))
+
+
+@query(f"{RECORDS} SELECT id, CAST(0 AS INTEGER) AS score, false AS ready, '' AS missing FROM records")
+def score_empty(spark, sf_dir):
+    return records.scored(lead_records(spark, sf_dir), ()).select("id", "result.score", "result.ready", _labels("result").alias("missing"))
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT id, missing_required FROM scored WHERE NOT ready")
+def missing_required(spark, sf_dir):
+    return records.scored(lead_records(spark, sf_dir)).where("not result.ready").select("id", rubrics.missing_required(F.col("result")).alias("missing_required"))
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT country, count(*) AS n, CAST(count_if(ready) AS BIGINT) AS ready, min(score) AS low, max(score) AS high FROM scored GROUP BY country")
+def readiness_summary(spark, sf_dir):
+    r = records.scored(lead_records(spark, sf_dir))
+    return r.groupBy("country").agg(F.count("*").alias("n"), F.count_if("result.ready").alias("ready"), F.min("result.score").alias("low"), F.max("result.score").alias("high"))
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT CASE WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'warn' ELSE 'bad' END AS band, count(*) AS n FROM scored GROUP BY 1")
+def score_bands(spark, sf_dir):
+    r = records.scored(lead_records(spark, sf_dir))
+    return r.groupBy(text.score_band(F.col("result.score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{RECORDS} {_scored(rubrics.DEFAULT)} SELECT id + 1 AS "row", CASE WHEN {NAME} = '' THEN '(blank)' ELSE {NAME} END AS company,
+  coalesce(domain_extracted, CASE WHEN domain <> '' THEN concat('invalid: ', domain[1:24]) ELSE 'missing' END) AS domain, email,
+  concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) AS contact, title, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'warn' ELSE 'bad' END AS band,
+  CASE WHEN ready THEN 'ready' ELSE concat(len(string_split(missing_required, '; ')), ' missing') END AS readiness, 'active' AS status FROM scored""")
+def preview(spark, sf_dir):
+    return records.preview(lead_records(spark, sf_dir))
+
+
+_DECIDED = """, best AS (SELECT min(id) AS primary_id, domain_extracted AS d FROM records WHERE domain_extracted IS NOT NULL GROUP BY domain_extracted HAVING count(*) > 1),
+effects AS (SELECT r.id, CAST(NULL AS VARCHAR) AS exclude_reason, CAST(primary_id AS BIGINT) AS merged_into FROM records r JOIN best ON d = domain_extracted WHERE r.id <> primary_id
+  UNION ALL SELECT id, 'manual', NULL FROM records WHERE id % 17 = 0 AND id NOT IN (SELECT r.id FROM records r JOIN best ON d = domain_extracted WHERE r.id <> primary_id)),
+decided AS (SELECT r.* REPLACE (e.id IS NOT NULL AS excluded, e.exclude_reason AS exclude_reason, e.merged_into AS merged_into) FROM records r LEFT JOIN effects e ON e.id = r.id)"""
+
+
+def decided(spark, sf_dir):
+    """Every exact-domain set is merged into its smallest id; of the others each 17th is discarded."""
+    r = lead_records(spark, sf_dir)
+    best = r.where("domain_extracted is not null").groupBy("domain_extracted").agg(F.min("id").alias("primary_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    merged = r.join(best, "domain_extracted").where("id <> primary_id").select("id", F.lit(None).cast("string").alias("exclude_reason"), F.col("primary_id").alias("merged_into"))
+    discarded = r.where("id % 17 = 0").join(merged, "id", "left_anti").select("id", F.lit("manual").alias("exclude_reason"), F.lit(None).cast("long").alias("merged_into"))
+    return review.apply_effects(r, merged.unionByName(discarded))
+
+
+@query(f"{RECORDS} {_DECIDED} SELECT id, excluded, exclude_reason, coalesce(merged_into, -1) AS merged_into FROM decided")
+def merge_and_discard(spark, sf_dir):
+    return decided(spark, sf_dir).select("id", "excluded", "exclude_reason", F.coalesce("merged_into", F.lit(-1)).alias("merged_into"))
+
+
+@query(f"{RECORDS} {_DECIDED} SELECT id, normalized_company, domain_extracted FROM decided WHERE NOT excluded")
+def active_records(spark, sf_dir):
+    return records.active(decided(spark, sf_dir)).select("id", "normalized_company", "domain_extracted")
+
+
+@query(f"""{RECORDS} {_DECIDED} {_scored(rubrics.DEFAULT, source="decided")} SELECT count(*) AS total, CAST(count_if(excluded) AS BIGINT) AS excluded, CAST(count_if(ready AND NOT excluded) AS BIGINT) AS ready,
+  CAST(count_if(NOT excluded) AS BIGINT) AS active, CAST(count_if(domain <> '' AND domain_extracted IS NULL) AS BIGINT) AS unusable_domains FROM scored""")
+def kpi_figures(spark, sf_dir):
+    return report.kpis(decided(spark, sf_dir))
+
+
+_EXPORT_VALUES = [NAME, "coalesce(domain_extracted, domain)", "email", "first_name", "last_name", "title", "phone", "industry", "employee_count", "country", "state", "city", "linkedin", "score", "CASE WHEN ready THEN 'yes' ELSE 'no' END", "missing_required"]
+_EXPORT = ", ".join(f'{v} AS "{h}"' for v, h in zip(_EXPORT_VALUES, report.EXPORT_HEADERS))
+
+
+@query(f"{RECORDS} {_DECIDED} {_scored(rubrics.DEFAULT, source='decided')} SELECT id, {_EXPORT} FROM scored WHERE NOT excluded")
+def cleaned_export(spark, sf_dir):
+    return report.export_rows(decided(spark, sf_dir))
+
+
+@query(f"{RECORDS} {_DECIDED} {_scored(rubrics.DEFAULT, source='decided')} SELECT id, {_EXPORT} FROM scored WHERE NOT excluded AND NOT ready")
+def needs_enrichment(spark, sf_dir):
+    return report.export_rows(decided(spark, sf_dir), "needs-enrichment")
+
+
+def _escaped(v: str) -> str:
+    v = f"coalesce(CAST({v} AS VARCHAR), '')"
+    return f"CASE WHEN regexp_matches({v}, '[\",\\r\\n]') THEN concat('\"', replace({v}, '\"', '\"\"'), '\"') ELSE {v} END"
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT id, concat_ws(',', {', '.join(map(_escaped, _EXPORT_VALUES))}) AS line FROM scored")
+def csv_escape_line(spark, sf_dir):
+    return report.csv_lines(report.export_rows(lead_records(spark, sf_dir)))
+
+
+# Duplicates ---------------------------------------------------------------------------------------------
+
+KEYED = f"""{RECORDS}, keys AS (SELECT id, domain_extracted AS dom, {_key('company')} AS key FROM records),
+keyed AS (SELECT *, CASE WHEN dom IS NOT NULL THEN concat('d:', dom[1:3]) ELSE concat('c:', CASE WHEN key = '' THEN '?' ELSE key[1:1] END) END AS block FROM keys)"""
+MATCHED = KEYED + """, pairs AS (SELECT a.block, a.id AS id1, b.id AS id2, a.dom AS dom1, b.dom AS dom2, a.key AS key1, b.key AS key2 FROM keyed a JOIN keyed b ON a.block = b.block AND a.id < b.id),
+sims AS (SELECT *, CASE WHEN key1 <> '' AND key2 <> '' THEN 1.0::DOUBLE - levenshtein(key1, key2)::DOUBLE / greatest(length(key1), length(key2)) END AS sim FROM pairs),
+matched AS (SELECT block, id1, id2, CASE WHEN dom1 = dom2 THEN 'exact-domain' WHEN key1 <> '' AND key1 = key2 THEN 'exact-name' WHEN sim >= {t} THEN 'fuzzy-name' END AS reason, sim FROM sims)"""
+
+
+@query(f"{KEYED} SELECT id, block FROM keyed")
+def blocking_key(spark, sf_dir):
+    return dedup.keyed(lead_records(spark, sf_dir)).select("id", "block")
+
+
+@query(f"{KEYED} SELECT block, count(*) AS n FROM keyed GROUP BY block")
+def block_sizes(spark, sf_dir):
+    return dedup.block_sizes(lead_records(spark, sf_dir))
+
+
+@query(f"{MATCHED.replace('{t}', '0.85')} SELECT block, count(*) AS pairs, CAST(sum(id1) AS BIGINT) AS s1, CAST(sum(id2) AS BIGINT) AS s2 FROM pairs GROUP BY block")
+def candidate_pairs(spark, sf_dir):
+    p = dedup.candidate_pairs(lead_records(spark, sf_dir))
+    return p.groupBy("block").agg(F.count("*").alias("pairs"), F.sum("id1").alias("s1"), F.sum("id2").alias("s2"))
+
+
+@query(f"{MATCHED.replace('{t}', '0.85')} SELECT id1, id2, reason, CASE reason WHEN 'exact-domain' THEN 'exact domain match' WHEN 'exact-name' THEN 'exact normalized-name match' ELSE 'fuzzy name match' END AS label, round(CASE WHEN reason = 'fuzzy-name' THEN sim ELSE 1.0 END, 6) AS score FROM matched WHERE reason IS NOT NULL")
+def pair_reasons(spark, sf_dir):
+    p = dedup.classified(dedup.candidate_pairs(lead_records(spark, sf_dir)))
+    return p.select("id1", "id2", "reason", records.reason_label(F.col("reason")).alias("label"), F.round("score", 6).alias("score"))
+
+
+@query(f"{MATCHED.replace('{t}', '0.7')} SELECT id1, id2, round(sim, 6) AS score FROM matched WHERE reason = 'fuzzy-name'")
+def fuzzy_pairs_70(spark, sf_dir):
+    p = dedup.classified(dedup.candidate_pairs(lead_records(spark, sf_dir)), 0.7)
+    return p.where("reason = 'fuzzy-name'").select("id1", "id2", F.round("score", 6).alias("score"))
+
+
+@query()
+def duplicate_groups(spark, sf_dir):
+    return dedup.find_duplicates(lead_records(spark, sf_dir))[0].select("block_first", "local_no", "group_key", "reason", F.size("ids").alias("n"), F.round("score", 6).alias("score"))
+
+
+@query()
+def group_members(spark, sf_dir):
+    r = lead_records(spark, sf_dir)
+    return dedup.group_members(dedup.find_duplicates(r)[0], r).select("group_key", "position", "id", "reason", "group_size", "normalized_company", "domain_extracted")
+
+
+@query()
+def kpi_row(spark, sf_dir):
+    r = lead_records(spark, sf_dir)
+    groups = dedup.find_duplicates(r)[0]
+    resolutions = groups.where("reason = 'exact-domain'").select("group_key", F.lit("merged").alias("resolution"))
+    malformed = leads.parse_texts(spark.createDataFrame([("x", "a,b\n1\n")], "source_file string, value string")).where("line is not null")
+    return report.kpi_row(decided(spark, sf_dir), malformed, groups, resolutions)
+
+
+@query()
+def unresolved_groups(spark, sf_dir):
+    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0]
+    resolutions = groups.where("local_no % 2 = 0").select("group_key", F.lit("kept-separate").alias("resolution"))
+    return review.unresolved(groups, resolutions).select("group_key", "reason")
+
+
+@query()
+def undo_fold(spark, sf_dir):
+    e = review.Event
+    state = review.fold_ledger([e("discard", (3,)), e("merge", (1, 2, 3), 1), e("keep", (4, 5)), e("undo"), e("discard", (3,)), e("discard", (6,)), e("undo")])
+    return review.apply_effects(lead_records(spark, sf_dir), review.effects_frame(spark, state)).where("excluded").select("id", "exclude_reason", "merged_into")
+
+
+# Reading ------------------------------------------------------------------------------------------------
+
+
+def lead_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leads as delimited text, a file for each nation, with a ragged line, a blank one and an open quote."""
+    r = lead_rows(spark, sf_dir)
+    line = r.select("country", "id", text.csv_line("company", "domain", "email", "city").alias("line"))
+    body = line.groupBy("country").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\r\n").alias("body"))
+    return body.select(F.col("country").alias("source_file"), F.concat(F.lit("Company Name,Website,E_mail,City\r\nonly,two\r\n  \r\n"), "body", F.lit('\r\n"open,b,c,d')).alias("value"))
+
+
+@query()
+def parse_leads_csv(spark, sf_dir):
+    p = leads.parse_texts(lead_text(spark, sf_dir)).where("id is not null")
+    return p.select("source_file", "id", *[F.col("fields")[i].alias(n) for i, n in enumerate(("company", "domain", "email", "city"))])
+
+
+@query()
+def malformed_rows(spark, sf_dir):
+    return leads.parse_texts(lead_text(spark, sf_dir)).where("line is not null").select("source_file", "line", "raw", "reason")
+
+
+@query()
+def header_mapping(spark, sf_dir):
+    found = mapping.suggest_mapping(["Account Name", "web-site", "E-mail", "Work_Email", "first_name", "Surname", "Role", "State/Province", "# Employees", "zip"])
+    return spark.createDataFrame([(k, LABELS[k], h) for k, h in found.items()], "field string, label string, header string")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
