@@ -12,7 +12,7 @@ from .schema import SUFFIXES
 
 #: White space of the source's string functions (wider than Java's \s).
 SPACE = r"[\s\u000B   -     　﻿]"
-SUFFIX = r"(?i)(?:,?\s+(?:" + "|".join(re.escape(s).replace(r"\ ", " ") for s in SUFFIXES) + r")\.?)+\z"
+SUFFIX = r"(?i)(?:\s*,?\s+(?:" + "|".join(re.escape(s).replace(r"\ ", " ") for s in SUFFIXES) + r")\.?)+\z"
 DOMAIN = r"(?i)^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\z"
 EMAIL = rf"^(?:(?!{SPACE})[^@])+@(?:(?!{SPACE})[^@])+\.(?:(?!{SPACE})[^@])+\z"
 
@@ -127,9 +127,35 @@ def percent(part: Column, whole: Column) -> Column:
 
 def register_sql(spark: SparkSession) -> None:
     """The functions for SQL, as temporary SQL functions (inlined by the optimiser)."""
-    one = {"normalize_company": (normalize_company, "STRING"), "company_key": (company_key, "STRING"), "extract_domain": (extract_domain, "STRING"),
-           "is_valid_domain": (is_valid_domain, "BOOLEAN"), "is_likely_email": (is_likely_email, "BOOLEAN"), "csv_escape": (csv_escape, "STRING"), "trim_all": (trimmed, "STRING")}
-    for name, (f, kind) in one.items():
-        text = spark.range(1).selectExpr("cast(null as string) as v").select(f(F.col("v")))._jdf.queryExecution().analyzed()
-        sql = text.expressions().head().child().sql()
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS {kind} RETURN {sql}")
+    word, head = r"regexp_extract(t, r'(?s)^\W*(.*)\z', 1)", r"regexp_extract(t, r'(?s)^(\W*)', 1)"
+    title = f"concat(upper(substring({word}, 1, 1)), lower(substring({word}, 2)))"
+    short = f"if(length({word}) <= 3, {word}, {title})"
+
+    def cased(token: str) -> str:
+        return f"array_join(transform(split(n, ' '), t -> concat({head}, {token})), ' ')"
+
+    name = (
+        f"CASE WHEN n = upper(n) AND n rlike '[A-Z]' THEN {cased(short)} WHEN n = lower(n) AND n rlike '[a-z]' THEN {cased(title)} ELSE n END"
+    )
+    rest = (
+        "if(instr(v, '@') > 0, substring(v, instr(v, '@') + 1), regexp_extract(regexp_replace(v, r'(?i)^[a-z]+://', ''), r'^([^/?#]*)', 1))"
+    )
+
+    def trim(v: str) -> str:  # a lambda's body cannot call another SQL function
+        return f"regexp_replace(coalesce({v}, ''), r'^{SPACE}+|{SPACE}+\\z', '')"
+
+    bare = trim(f"regexp_replace(c, r'{SUFFIX}', '')")
+    valid = "coalesce(length({0}) <= 253 AND {0} rlike r'" + DOMAIN + "', false)"
+    functions = {
+        "trim_all": ("STRING", trim("v")),
+        "bare_company": ("STRING", f"transform(array(trim_all(regexp_replace(regexp_replace(trim_all(v), r'{SPACE}+', ' '), r'[.,]+\\z', ''))), "
+                                   f"c -> coalesce(nullif({bare}, ''), c))[0]"),
+        "normalize_company": ("STRING", f"transform(array(bare_company(v)), n -> {name})[0]"),
+        "company_key": ("STRING", "regexp_replace(lower(normalize_company(v)), '[^a-z0-9]+', '')"),
+        "is_valid_domain": ("BOOLEAN", valid.format("v")),
+        "domain_host": ("STRING", f"regexp_replace(lower(trim_all(regexp_replace(regexp_replace({rest}, r':[0-9]+\\z', ''), r'(?i)^www\\.', ''))), r'\\.\\z', '')"),
+        "extract_domain": ("STRING", f"transform(array(domain_host(trim_all(v))), h -> if({valid.format('h')}, h, null))[0]"),
+        "is_likely_email": ("BOOLEAN", f"trim_all(v) rlike r'{EMAIL}'"),
+    }
+    for f, (kind, body) in functions.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}(v STRING) RETURNS {kind} RETURN {body}")

@@ -69,7 +69,7 @@ def _trim(v: str) -> str:
 
 def _company(v: str) -> str:
     clean = _trim(rf"regexp_replace(regexp_replace({_trim(v)}, '\s+', ' ', 'g'), '[.,]+$', '')")
-    bare = _trim(rf"regexp_replace({clean}, '(?i)(?:,?\s+(?:{_SUFFIX})\.?)+$', '')")
+    bare = _trim(rf"regexp_replace({clean}, '(?i)(?:\s*,?\s+(?:{_SUFFIX})\.?)+$', '')")
     name = f"(CASE WHEN {bare} = '' THEN {clean} ELSE {bare} END)"
     word = r"regexp_extract(t, '^[^0-9A-Za-z_]*(.*)$', 1)"
     token = rf"concat(regexp_extract(t, '^([^0-9A-Za-z_]*)', 1), CASE WHEN {{u}} AND length({word}) <= 3 THEN {word} ELSE concat(upper({word}[1:1]), lower({word}[2:])) END)"
