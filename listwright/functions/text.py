@@ -145,16 +145,19 @@ def register_sql(spark: SparkSession) -> None:
         return f"regexp_replace(coalesce({v}, ''), r'^{SPACE}+|{SPACE}+\\z', '')"
 
     bare = trim(f"regexp_replace(c, r'{SUFFIX}', '')")
-    valid = "coalesce(length({0}) <= 253 AND {0} rlike r'" + DOMAIN + "', false)"
+
+    def valid(v: str) -> str:
+        return f"coalesce(length({v}) <= 253 AND {v} rlike r'{DOMAIN}', false)"
+
     functions = {
         "trim_all": ("STRING", trim("v")),
         "bare_company": ("STRING", f"transform(array(trim_all(regexp_replace(regexp_replace(trim_all(v), r'{SPACE}+', ' '), r'[.,]+\\z', ''))), "
                                    f"c -> coalesce(nullif({bare}, ''), c))[0]"),
         "normalize_company": ("STRING", f"transform(array(bare_company(v)), n -> {name})[0]"),
         "company_key": ("STRING", "regexp_replace(lower(normalize_company(v)), '[^a-z0-9]+', '')"),
-        "is_valid_domain": ("BOOLEAN", valid.format("v")),
+        "is_valid_domain": ("BOOLEAN", valid("v")),
         "domain_host": ("STRING", f"regexp_replace(lower(trim_all(regexp_replace(regexp_replace({rest}, r':[0-9]+\\z', ''), r'(?i)^www\\.', ''))), r'\\.\\z', '')"),
-        "extract_domain": ("STRING", f"transform(array(domain_host(trim_all(v))), h -> if({valid.format('h')}, h, null))[0]"),
+        "extract_domain": ("STRING", f"transform(array(domain_host(trim_all(v))), h -> if({valid('h')}, h, null))[0]"),
         "is_likely_email": ("BOOLEAN", f"trim_all(v) rlike r'{EMAIL}'"),
     }
     for f, (kind, body) in functions.items():
