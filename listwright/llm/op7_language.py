@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 
 ORDER = 4
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
-SAMPLE_DOCS, SAMPLE_BYTES = 300, 1_000_000
-REMEMBERED = 400_000
+SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
+#: Words, and contexts with their byte, that a worker remembers before it starts anew; code points of texts worked on at once.
+REMEMBERED, PART = 400_000, 8_000_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -60,12 +61,15 @@ class Model:
     """Frozen trees of all languages, and the code lengths of words under each."""
 
     def __init__(self, languages: list[str], trees: list[tuple[dict, dict]], order: int = ORDER):
+        if order > 6:
+            raise ValueError("a context and its byte must fit in seven bytes")
         self.languages, self.trees, self.order = languages, trees, order
-        self.grams: dict[bytes, tuple[float, ...]] = {}
+        self.grams = np.empty(0, np.uint64)  # packed contexts and bytes that were met, sorted
+        self.bits = np.empty((0, len(languages)))
         self.rows: dict[str, int] = {}
-        self.table = np.empty((1024, len(languages)))
+        self.table = np.empty((0, len(languages)))
 
-    def gram(self, gram: bytes) -> tuple[float, ...]:
+    def gram(self, gram: bytes) -> list[float]:
         """Bits of the last byte of a context and byte, by language."""
         costs = []
         for code, escape in self.trees:
@@ -78,47 +82,70 @@ class Model:
             else:
                 bits += 8.0
             costs.append(bits)
-        if len(self.grams) >= REMEMBERED:
-            self.grams.clear()
-        costs = self.grams[gram] = tuple(costs)
         return costs
 
-    def word(self, word: str) -> np.ndarray:
-        w, k, grams = b" " + word.encode("utf-8", "surrogatepass") + b" ", self.order, self.grams
-        bits = [0.0] * len(self.languages)
-        for i in range(1, len(w)):
-            gram = w[max(0, i - k) : i + 1]
-            for j, b in enumerate(grams.get(gram) or self.gram(gram)):
-                bits[j] += b
-        return np.array(bits)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Bits of words (with the space behind each), by language."""
+        data = np.frombuffer(b" " + b" ".join(w.encode("utf-8", "surrogatepass") for w in words) + b" ", np.uint8).astype(np.uint64)
+        at = np.arange(len(data))
+        space = np.maximum.accumulate(np.where(data == 32, at, 0))[:-1]
+        reach = np.minimum(at[1:] - space, self.order)  # bytes of context, back to the space before the word
+        key = data[1:] | (reach.astype(np.uint64) << np.uint64(56))
+        for j in range(1, self.order + 1):
+            key[j - 1 :] |= np.where(reach[j - 1 :] >= j, data[: len(data) - j] << np.uint64(8 * j), np.uint64(0))
+        where = np.searchsorted(self.grams, key)
+        where[where == len(self.grams)] = 0
+        if not len(self.grams) or (self.grams[where] != key).any():
+            if len(self.grams) > REMEMBERED:
+                self.grams, self.bits = self.grams[:0], self.bits[:0]
+                new = np.unique(key)
+            else:
+                new = np.unique(key[self.grams[where] != key]) if len(self.grams) else np.unique(key)
+            costs = [self.gram((k & 0xFFFFFFFFFFFFFF).to_bytes(7, "big")[6 - (k >> 56) :]) for k in new.tolist()]
+            grams = np.concatenate((self.grams, new))
+            order = np.argsort(grams)
+            self.grams, self.bits = grams[order], np.concatenate((self.bits, np.array(costs)))[order]
+            where = np.searchsorted(self.grams, key)
+        begins = np.flatnonzero(data[:-1] == 32)
+        return np.add.reduceat(self.bits[where], begins, axis=0)
+
+    def learn(self, texts: list[str]) -> None:
+        """Works out the words of some texts that are not known yet, together."""
+        if len(self.rows) > REMEMBERED:
+            self.rows.clear()
+        if not self.rows:
+            self.table = self.table[:0]
+        new = set()
+        for text in texts:
+            new.update(text.split())
+        new = [w for w in new if w not in self.rows]
+        for k in range(0, len(new), 50_000):
+            part = new[k : k + 50_000]
+            self.rows.update(zip(part, range(len(self.table), len(self.table) + len(part))))
+            self.table = np.concatenate((self.table, self.words(part)))
 
     def text(self, text: str) -> np.ndarray:
-        """Code length of a text in bits, by language."""
+        """Code length of a text in bits, by language; its words must be known."""
         words = text.split()
-        rows, long = self.rows, np.zeros(len(self.languages))
-        if len(rows) + len(words) > REMEMBERED:
-            rows.clear()
-        at = np.empty(len(words), np.int64)
-        for i, r in enumerate(map(rows.get, words)):
-            if r is None:
-                word = words[i]
-                r = rows.get(word, -1)
-                if r < 0 and len(word) > 64:
-                    long += self.word(word)
-                elif r < 0:
-                    r = rows[word] = len(rows)
-                    if r >= len(self.table):
-                        self.table = np.concatenate((self.table, np.empty_like(self.table)))
-                    self.table[r] = self.word(word)
-            at[i] = r
-        return long + self.table[at[at >= 0]].sum(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
-        bits = self.text(text)
-        best = int(bits.argmin())
-        return self.languages[best], float(1.0 / np.exp((bits[best] - bits) * log(2)).sum())
+        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; about PART code points of texts are held in words at once."""
+        out, part, size = [], [], 0
+        for text in [*texts, None]:
+            part.append(text if text and self.languages and LETTER.search(text) else None)
+            size += len(text or "")
+            if size > PART or len(out) + len(part) > len(texts):
+                self.learn([t for t in part if t])
+                for t in part:
+                    if not t:
+                        out.append(("und", 0.0))
+                        continue
+                    bits = self.text(t)
+                    best = int(bits.argmin())
+                    out.append((self.languages[best], float(1.0 / np.exp((bits[best] - bits) * log(2)).sum())))
+                part, size = [], 0
+        return out[: len(texts)]
 
 
 def remainder() -> F.Column:
@@ -165,7 +192,7 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> Da
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Model(*parts)
-        return pd.DataFrame([_MODELS[key].predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(_MODELS[key].predict(texts.tolist()), columns=["lang_pred", "score"])
 
     return docs.select(*keep, predict(F.col("text").cast("string")).alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
 

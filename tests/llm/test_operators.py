@@ -336,6 +336,7 @@ def test_code_lengths_are_those_of_the_tree():
         return bits
 
     for text in ("the cat", "zebra hat the", "ünïcode mat " * 3, "c"):
+        model.learn([text])
         assert math.isclose(model.text(text)[0], sum(map(plain, text.split())), rel_tol=1e-9)
 
 
