@@ -36,6 +36,8 @@ SKETCH_BITS = 30
 #: Members of a component in a block, so that a task holds 2 * BLOCK sets at most.
 BLOCK = 128
 REMEMBERED = 400_000
+#: Classes of over a 1 / HOT_KEYS of all rows are never dealt to one task.
+HOT_KEYS = 1000
 _rng = np.random.default_rng(20240917)
 MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -207,7 +209,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     rows = written(described(docs, width), "minmax")
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
-        F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("n").alias("n"),
+        F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("n").alias("n"), F.count("*").alias("copies"),
     )
     member = nodes.select("node", "doc_id", "k1", "k2", "n", F.posexplode("bands").alias("band", "key"))
     sizes = (
@@ -271,13 +273,28 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     more = confirmed(blocks.join(sets, "node"), percent)
     labels = components(links.union(more))
 
-    final = rows.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    final = written(final, "roots")
-    least = final.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return final.join(least, "root", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.when(F.col("root").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("least"))).alias("kept"),
-        "root",
+    named = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named, "roots")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("weight"))
+    of_node = looked_up(named.drop("doc_id"), least, "root").select("node", "root", "component_id", F.col("copies").alias("weight"))
+    of_node = written(of_node, "classes")
+    thin = rows.select("doc_id", "n", "node")
+    linked = looked_up(thin.where("node is not null"), of_node, "node").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root"
     )
+    alone = thin.where("node is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("root")
+    )
+    return linked.unionByName(alone)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with table, whose key is unique and whose weight is its number of rows.
+
+    Keys with over a 1 / HOT_KEYS of all rows, so fewer than HOT_KEYS, are joined where the
+    rows stand; only the others are dealt out by key.
+    """
+    limit = rows.count() / HOT_KEYS
+    hot = F.broadcast(table.where(F.col("weight") > limit).drop("weight"))
+    rare = table.where(F.col("weight") <= limit).drop("weight")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rare, key))
