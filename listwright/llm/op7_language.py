@@ -13,8 +13,8 @@ language is equally likely beforehand.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
-from math import log, log2
+from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -26,103 +26,163 @@ from pyspark.sql.window import Window
 ORDER = 4
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
-#: Words, and contexts with their byte, that a worker remembers before it starts anew; code points of texts worked on at once.
-REMEMBERED, PART = 400_000, 8_000_000
+#: Words, contexts with their byte, and code points of words that a worker remembers before it
+#: starts anew; code points of texts and bytes of words worked on at once.
+REMEMBERED, HELD, PART, PIECE = 200_000, 16_000_000, 8_000_000, 1 << 20
+#: A packed context: its bytes, and where its length stands.
+LOW, LENGTH = np.uint64((1 << 56) - 1), np.uint64(56)
 LETTER = regex.compile(r"\p{L}")
 
 
+def packed(words: list[str], order: int) -> Iterator[np.ndarray]:
+    """Every byte of the words and of the space behind each, with its context, a number each.
+
+    The byte comes lowest, the order bytes before it above (none beyond the space before the
+    word), and the length of the context in the highest byte.  Parts of PIECE bytes, in order.
+    """
+    data = np.frombuffer(b" " + b" ".join(w.encode("utf-8", "surrogatepass") for w in words) + b" ", np.uint8)
+    for a in range(1, len(data), PIECE):
+        begin = max(0, a - 1 - order)
+        part = data[begin : a + PIECE].astype(np.uint64)
+        at = np.arange(len(part))
+        space = np.maximum.accumulate(np.where(part == 32, at, 0))[:-1]
+        reach = np.minimum(at[1:] - space, order)
+        key = part[1:] | (reach.astype(np.uint64) << LENGTH)
+        for j in range(1, order + 1):
+            key[j - 1 :] |= np.where(reach[j - 1 :] >= j, part[: len(part) - j] << np.uint64(8 * j), np.uint64(0))
+        yield key[a - begin - 1 :]
+
+
+def cut(keys: np.ndarray, k: int) -> np.ndarray:
+    """Packed contexts and bytes, with the last k bytes of the context only."""
+    return (keys & np.uint64((1 << (8 * k + 8)) - 1)) | (np.uint64(k) << LENGTH)
+
+
+def contexts(keys: np.ndarray) -> np.ndarray:
+    """Packed contexts without the byte behind them; the length stays."""
+    return ((keys & LOW) >> np.uint64(8)) | (keys & ~LOW)
+
+
+def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether keys are in a sorted table, and its value for each (any, if they are not)."""
+    known, value = table
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    where = np.searchsorted(known, keys)
+    where[where == len(known)] = 0
+    return known[where] == keys, value[where]
+
+
 class Tree:
-    """Context tree of one language: code lengths in bits by context + byte, escapes by context."""
+    """Context tree of one language: how often each byte follows each context, packed and sorted."""
 
     def __init__(self, order: int = ORDER):
         self.order = order
-        self.counts: defaultdict[bytes, int] = defaultdict(int)
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
 
     def learn(self, text: str) -> None:
-        counts, order = self.counts, self.order
-        for word in text.split():
-            w = b" " + word.encode("utf-8", "surrogatepass") + b" "
-            for i in range(1, len(w)):
-                for k in range(min(order, i) + 1):
-                    counts[w[i - k : i + 1]] += 1
-
-    def freeze(self) -> tuple[dict[bytes, float], dict[bytes, float]]:
-        total: defaultdict[bytes, int] = defaultdict(int)
-        distinct: defaultdict[bytes, int] = defaultdict(int)
-        for key, n in self.counts.items():
-            total[key[:-1]] += n
-            distinct[key[:-1]] += 1
-        escape = {c: -log2(distinct[c] / (total[c] + distinct[c])) for c in total}
-        code = {k: -log2(n / (total[k[:-1]] + distinct[k[:-1]])) for k, n in self.counts.items()}
-        return code, escape
+        for key in packed(text.split(), self.order):
+            self.waiting.append(key)
+            if sum(map(len, self.waiting)) > PIECE:
+                self.settle()
+
+    def settle(self) -> None:
+        """Counts what was learned since the last time."""
+        if not self.waiting:
+            return
+        key = np.concatenate(self.waiting)
+        self.waiting = []
+        reach = key >> LENGTH
+        new = np.concatenate([cut(key[reach >= np.uint64(k)], k) for k in range(self.order + 1)])
+        new, n = np.unique(new, return_counts=True)
+        self.keys, where = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        self.numbers = np.bincount(where, np.concatenate((self.numbers, n)), len(self.keys)).astype(np.int64)
+
+    @property
+    def counts(self) -> dict[bytes, int]:
+        """Number of each context and byte, by their bytes."""
+        self.settle()
+        return {(k & int(LOW)).to_bytes(7, "big")[6 - (k >> 56) :]: n for k, n in zip(self.keys.tolist(), self.numbers.tolist())}
+
+    def freeze(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Code lengths in bits by context and byte, escapes by context; both sorted by key."""
+        self.settle()
+        context, where, distinct = np.unique(contexts(self.keys), return_inverse=True, return_counts=True)
+        total = np.bincount(where, self.numbers, len(context))
+        return (self.keys, -np.log2(self.numbers / (total + distinct)[where])), (context, -np.log2(distinct / (total + distinct)))
 
 
 class Model:
     """Frozen trees of all languages, and the code lengths of words under each."""
 
-    def __init__(self, languages: list[str], trees: list[tuple[dict, dict]], order: int = ORDER):
+    def __init__(self, languages: list[str], trees: list[tuple], order: int = ORDER):
         if order > 6:
             raise ValueError("a context and its byte must fit in seven bytes")
         self.languages, self.trees, self.order = languages, trees, order
         self.grams = np.empty(0, np.uint64)  # packed contexts and bytes that were met, sorted
         self.bits = np.empty((0, len(languages)))
         self.rows: dict[str, int] = {}
+        self.held = 0
         self.table = np.empty((0, len(languages)))
 
-    def gram(self, gram: bytes) -> list[float]:
-        """Bits of the last byte of a context and byte, by language."""
-        costs = []
-        for code, escape in self.trees:
-            bits = 0.0
-            for k in range(len(gram)):
-                if (c := code.get(gram[k:])) is not None:
-                    bits += c
-                    break
-                bits += escape.get(gram[k:-1], 0.0)
-            else:
-                bits += 8.0
-            costs.append(bits)
-        return costs
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of packed contexts and bytes, by language."""
+        out = np.zeros((len(keys), len(self.trees)))
+        for column, (code, escape) in zip(out.T, self.trees):
+            left = np.arange(len(keys))
+            for k in range(self.order, -1, -1):
+                tried = keys[left] >> LENGTH >= np.uint64(k)
+                at = left[tried]
+                known, bits = find(code, cut(keys[at], k))
+                column[at[known]] += bits[known]
+                met, bits = find(escape, contexts(cut(keys[at], k)))
+                column[at[~known & met]] += bits[~known & met]
+                left = np.concatenate((left[~tried], at[~known]))
+            column[left] += 8.0
+        return out
 
     def words(self, words: list[str]) -> np.ndarray:
         """Bits of words (with the space behind each), by language."""
-        data = np.frombuffer(b" " + b" ".join(w.encode("utf-8", "surrogatepass") for w in words) + b" ", np.uint8).astype(np.uint64)
-        at = np.arange(len(data))
-        space = np.maximum.accumulate(np.where(data == 32, at, 0))[:-1]
-        reach = np.minimum(at[1:] - space, self.order)  # bytes of context, back to the space before the word
-        key = data[1:] | (reach.astype(np.uint64) << np.uint64(56))
-        for j in range(1, self.order + 1):
-            key[j - 1 :] |= np.where(reach[j - 1 :] >= j, data[: len(data) - j] << np.uint64(8 * j), np.uint64(0))
-        where = np.searchsorted(self.grams, key)
-        where[where == len(self.grams)] = 0
-        if not len(self.grams) or (self.grams[where] != key).any():
-            if len(self.grams) > REMEMBERED:
-                self.grams, self.bits = self.grams[:0], self.bits[:0]
-                new = np.unique(key)
-            else:
-                new = np.unique(key[self.grams[where] != key]) if len(self.grams) else np.unique(key)
-            costs = [self.gram((k & 0xFFFFFFFFFFFFFF).to_bytes(7, "big")[6 - (k >> 56) :]) for k in new.tolist()]
+        if len(words) == 1:
+            return sum(np.add.reduceat(self.coded(key), [0], axis=0) for key in packed(words, self.order))
+        key = np.concatenate(list(packed(words, self.order)))
+        ends = np.flatnonzero((key & np.uint64(255)) == 32)
+        return np.add.reduceat(self.coded(key), np.concatenate(([0], ends[:-1] + 1)), axis=0)
+
+    def coded(self, key: np.ndarray) -> np.ndarray:
+        """Bits of packed contexts and bytes, by language; new ones are remembered."""
+        if len(self.grams) > REMEMBERED:
+            self.grams, self.bits = self.grams[:0], self.bits[:0]
+        known, _ = find((self.grams, self.grams), key)
+        if not known.all():
+            new = np.unique(key[~known])
             grams = np.concatenate((self.grams, new))
             order = np.argsort(grams)
-            self.grams, self.bits = grams[order], np.concatenate((self.bits, np.array(costs)))[order]
-            where = np.searchsorted(self.grams, key)
-        begins = np.flatnonzero(data[:-1] == 32)
-        return np.add.reduceat(self.bits[where], begins, axis=0)
+            self.grams, self.bits = grams[order], np.concatenate((self.bits, self.costs(new)))[order]
+        return self.bits[np.searchsorted(self.grams, key)]
 
     def learn(self, texts: list[str]) -> None:
-        """Works out the words of some texts that are not known yet, together."""
-        if len(self.rows) > REMEMBERED:
+        """Works out the words of some texts that are not known yet, many together."""
+        if len(self.rows) > REMEMBERED or self.held > HELD:
             self.rows.clear()
+            self.held = 0
         if not self.rows:
             self.table = self.table[:0]
         new = set()
         for text in texts:
             new.update(text.split())
-        new = [w for w in new if w not in self.rows]
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            self.rows.update(zip(part, range(len(self.table), len(self.table) + len(part))))
-            self.table = np.concatenate((self.table, self.words(part)))
+        part, size, parts = [], 0, [self.table]
+        for w in [w for w in new if w not in self.rows] + [""]:
+            if part and (not w or size + len(w) > PIECE // 4):
+                parts.append(self.words(part))
+                part, size = [], 0
+            if w:
+                self.rows[w] = len(self.rows)
+                self.held += len(w)
+                part.append(w)
+                size += len(w) + 1
+        self.table = np.concatenate(parts)
 
     def text(self, text: str) -> np.ndarray:
         """Code length of a text in bits, by language; its words must be known."""
