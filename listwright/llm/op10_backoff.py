@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 from .op9_minmax import _HASHES, STEP, mixed
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

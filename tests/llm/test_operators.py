@@ -503,3 +503,17 @@ def test_backoff_scores(docs, rows, order):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
     assert scores(empty(docs), order=order).count() == 0
+
+
+def test_registered_backoff_tells_fluent_trigrams_from_broken_ones(spark, tmp_path):
+    from listwright.llm.queries import op10_stupid_backoff
+
+    # every word and bigram of both last documents occurs elsewhere, "one two three" does and "one two four" does not
+    texts = ["zero one two three", "five one two three", "six two four", "seven two four", "one two three", "one two four"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_words, r.log10_score) for r in op10_stupid_backoff(spark, str(tmp_path)).collect())
+    want = sorted(plain_scores(list(enumerate(texts)), 3, 0.4))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want])
+    by_id = {d: s for d, _, s in got}
+    assert by_id[4] > by_id[5] + 0.3
