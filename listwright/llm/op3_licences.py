@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Licences and the wording of their notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -27,12 +29,18 @@ TEMPLATES = (
 )
 HEADER, WORD = "licen[cs]", "[a-z0-9]+"
 COSINE, FILE_SHARE = 0.75, 0.1
+#: Parts of each word's rows in the join of the headers with the document frequencies.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
+def header_lines() -> Column:
+    return F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(HEADER))
+
+
 def directory() -> Column:
     """Directory of a document of the corpus: its source, its language and 64 neighbours by id."""
     return F.concat_ws(
@@ -64,26 +72,29 @@ def licences(docs: DataFrame, folder: Column | None = None, templates=TEMPLATES,
     rows = docs.select(
         "doc_id", F.col("text").cast("string").alias("text"), (directory() if folder is None else folder).alias("path")
     )
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    # one pass: how many documents hold each word of the vocabulary, a column a word
-    held = rows.select(F.array_intersect(known, words(F.col("text"))).alias("held"))
-    counts = held.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("held", t)).alias(f"t{i}") for i, t in enumerate(vocabulary)]).first()
-    n = counts["n"]
-    weight = spark.createDataFrame([(t, counts[f"t{i}"]) for i, t in enumerate(vocabulary)], "term string, df long")
+    headers = rows.where(F.lower("text").rlike(HEADER)).select(F.explode(header_lines()).alias("header"))
+    asked = headers.select(F.explode(words(F.col("header"))).alias("term")).union(named.select(F.explode(words(F.col("wording"))))).distinct()
+    # how many documents hold each word of a header or template; words are summed before they move
+    held = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    every = written(asked.join(held, "term", "left"), "terms")
+    n = rows.count()
     idf = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    weight = weight.select("term", "df")
+    # those of the templates are a fixed number of rows
+    weight = spark.createDataFrame([(r.term, r.df) for r in every.where(F.col("term").isin(vocabulary)).collect()], "term string, df long")
     profile = terms.join(F.broadcast(weight), "term", "left").select("license", "term", (F.col("tf") * idf).alias("w"))
     norm = profile.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     profile = profile.join(F.broadcast(norm), "license").select("license", "term", (F.col("w") / F.col("norm")).alias("tw"))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(HEADER))
     spoken = rows.where(F.lower("text").rlike(HEADER)).select(
-        "doc_id", "path", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).alias("n_words"), lines.alias("lines")
+        "doc_id", "path", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).alias("n_words"), header_lines().alias("lines")
     )
     line = spoken.select("doc_id", "path", "h", "n_words", F.posexplode("lines").alias("line", "header")).distinct()
     tf = line.select("doc_id", "path", "h", "n_words", "line", F.explode(words(F.col("header"))).alias("term"))
     key = ["doc_id", "path", "h", "n_words", "line"]
-    tf = tf.groupBy(*key, "term").agg(F.count("*").alias("tf")).join(F.broadcast(weight), "term", "left").withColumn("w", F.col("tf") * idf)
+    tf = tf.groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    # words that many headers share are spread over SALTS parts
+    salted = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tf = tf.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).withColumn("w", F.col("tf") * idf)
     length = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("line_words"))
     dots = tf.join(F.broadcast(profile), "term").groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]

@@ -174,6 +174,29 @@ def test_licences(spark, docs):
     assert not re.search("Python|Pandas|Arrow", whole._jdf.queryExecution().executedPlan().toString())
 
 
+def test_licence_headers_weigh_common_words_by_their_true_frequency(spark):
+    from listwright.llm.op3_licences import TEMPLATES, licences
+
+    token = re.compile("[a-z0-9]+")
+    header = "Software released under the MIT License."
+
+    def plain(texts):
+        n, df = len(texts), Counter(t for text in texts for t in set(token.findall(text.lower())))
+        vector = lambda s: {t: c * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in Counter(token.findall(s.lower())).items()}
+        v, best = vector(header), []
+        norm = lambda x: math.sqrt(sum(w * w for w in x.values()))
+        for name, wording in TEMPLATES:
+            u = vector(wording)
+            best.append((round(sum(w * u.get(t, 0) for t, w in v.items()) / norm(v) / norm(u), 4), name))
+        return max(best)
+
+    for n in (200, 20000):  # the same header among few and many documents that hold its extra word
+        texts = [header, *[f"wir kommen mit our software number {i} that was released under the old name" for i in range(n - 1)]]
+        data = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+        got = [r for r in licences(data).collect() if r.origin != "none"]
+        assert [(r.doc_id, r.license, r.score) for r in got] == [(0, "MIT", plain(texts)[0])]
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
