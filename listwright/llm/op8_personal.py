@@ -7,8 +7,9 @@ instances it introduces, an instance's score is the chance that at least one of
 is right (a seed's is 1).  Patterns of high confidence then mark the identifiers they
 introduce that no fixed form knows.
 
-A pattern must introduce at least a 1,000th of its kind's seeds, so at most 1,000 patterns a
-kind are ever sent to the executors.
+Support and confidence alone decide on a pattern, so their number is not bounded.  While all
+of them are within PATTERN_BYTES they are sent to the executors; above that, the patterns in
+front of each text's identifier-like words are joined with them in Spark.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds a pattern needs, the share of its kind's seeds, its confidence, and rounds.
-SUPPORT, SHARE, CONFIDENCE, ROUNDS = 5, 0.001, 0.8, 3
+#: Distinct seeds a pattern needs, its confidence, and rounds.
+SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: Bytes of patterns sent to the executors at most; parts of each row in joins on what many rows share.
+PATTERN_BYTES, SALTS = 4_000_000, 16
 #: Code points in front of a word in which its two preceding words are looked for.
 REACH = 80
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -137,23 +140,20 @@ def graph(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
 
 
-def learned(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> list[tuple[str, str]]:
-    """Patterns of high confidence and their kind, 1 / share of them for each kind at most."""
+def learned(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """pattern and kind of all patterns of high confidence."""
     edges = written(graph(docs), "patterns")
-    seeds = edges.where("kind is not null").groupBy("kind").agg(F.sum("n").alias("seeds"))
-    seeds = {r.kind: r.seeds for r in seeds.collect()}  # four rows at most
-    if not seeds:
-        return []
-    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(1, share * v))) for k, v in seeds.items()])
     known = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     nodes = edges.select("pattern", "instance", "n").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
     total = nodes.groupBy("pattern").agg(F.count("*").alias("instances"))
     support_of = (
         edges.where("kind is not null").groupBy("pattern", "kind")
-        .agg(F.countDistinct("instance").alias("distinct"), F.sum("n").alias("seen"))
-        .where((F.col("distinct") >= support) & (F.col("seen") >= least))
+        .agg(F.countDistinct("instance").alias("distinct"))
+        .where(F.col("distinct") >= support)
     )
-    eligible = support_of.join(total, "pattern")
+    eligible = written(support_of.join(total, "pattern"), "eligible")
+    if eligible.isEmpty():
+        return eligible.select("pattern", "kind")
     scores, best = known, None
     for k in range(rounds):
         best = (
@@ -168,8 +168,7 @@ def learned(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, confi
                 .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
             )
             scores = known.unionByName(derived).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    rows = best.where(F.col("confidence") >= confidence).select("pattern", "kind").collect()
-    return sorted((r.pattern, r.kind) for r in rows)
+    return best.where(F.col("confidence") >= confidence).select("pattern", "kind")
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
@@ -189,23 +188,65 @@ def all_spans(text: str | None, patterns: dict[str, list[int]]) -> tuple[list, l
     return base, sorted(base + more)
 
 
-def personal_data(docs: DataFrame, keep: list[str] = ["doc_id"], patterns: list[tuple[str, str]] | None = None, redact: bool = False) -> DataFrame:
+def salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def matched(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
+    """docs with _patterns, those of found that stand in its text, each as its kind, a space and the pattern."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for h, text in zip(batch["_h"], batch["text"]):
+                for start, _ in candidates(text, base_spans(text)):
+                    if p := pattern(text, start):
+                        out.add((h, p))
+            yield pd.DataFrame(list(out), columns=["_h", "pattern"])
+
+    text = F.col("text").cast("string")
+    digest = F.sha2(text.cast("binary"), 256)
+    asked = docs.select(digest.alias("_h"), text.alias("text")).mapInPandas(run, "_h string, pattern string").distinct()
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(SALTS)).cast("int"))
+    hits = asked.join(salted(found), ["pattern", "_salt"]).groupBy("_h").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "kind", "pattern"))).alias("_patterns"))
+    dealt = docs.withColumn("_h", digest).withColumn("_salt", F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted(hits), ["_h", "_salt"], "left")
+
+
+def personal_data(
+    docs: DataFrame, keep: list[str] = ["doc_id"], patterns: list[tuple[str, str]] | None = None, redact: bool = False, pattern_bytes: int = PATTERN_BYTES
+) -> DataFrame:
     """The columns keep of every row of docs, counts and digest of the fixed forms, and all spans.
 
     n_email, n_ip, n_card, n_phone count the fixed forms.  A null text is empty.  With
     redact, the column redacted holds the text with each span replaced by its kind in
-    brackets (null stays null).  Patterns are learned from docs unless given.
+    brackets (null stays null).  Patterns are learned from docs unless given; above
+    pattern_bytes of them they are joined, not sent.
     """
-    found = learned(docs) if patterns is None else patterns
-    by: dict[str, list[int]] = {}
-    for p, kind in found:
-        by.setdefault(p, []).append(KINDS.index(kind))
+    own = F.lit(None).cast("array<string>")
+    if patterns is None:
+        found = written(learned(docs), "learned")
+        if (found.agg(F.sum(F.octet_length("pattern") + 32)).first()[0] or 0) <= pattern_bytes:
+            patterns = sorted((r.pattern, r.kind) for r in found.collect())
+        else:
+            docs, own = matched(docs, found, keep), F.col("_patterns")
+
+    def table(found: Iterable[tuple[str, str]]) -> dict[str, list[int]]:
+        by: dict[str, list[int]] = {}
+        for p, kind in found:
+            by.setdefault(p, []).append(KINDS.index(kind))
+        return by
+
+    sent = None if patterns is None else table(patterns)
     columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] + ["redacted"] * redact
 
     @F.pandas_udf(", ".join(f"{c} {'long' if c[:2] == 'n_' else 'string'}" for c in columns))
-    def spans(texts: pd.Series) -> pd.DataFrame:
+    def spans(texts: pd.Series, owned: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
+        for text, held in zip(texts, owned):
+            by = sent
+            if by is None:
+                by = table(x.split(" ", 1)[::-1] for x in (() if held is None else held))
             base, every = all_spans(text, by)
             n = [0, 0, 0, 0]
             for k, _, _ in base:
@@ -213,7 +254,7 @@ def personal_data(docs: DataFrame, keep: list[str] = ["doc_id"], patterns: list[
             rows.append((*n, hashlib.sha256(named(base).encode()).hexdigest(), named(every), *[redacted(text, every)] * redact))
         return pd.DataFrame(rows, columns=columns)
 
-    return docs.select(*keep, spans(F.col("text").cast("string")).alias("_p")).select(*keep, "_p.*")
+    return docs.select(*keep, spans(F.col("text").cast("string"), own).alias("_p")).select(*keep, "_p.*")
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

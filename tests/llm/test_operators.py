@@ -427,6 +427,24 @@ def test_patterns_discover_what_no_form_knows(spark):
     assert got[3].redacted == "Filler text 3 then reach me: [EMAIL] or not."
 
 
+def test_rare_patterns_are_learned_beside_a_hot_source_and_joined_above_the_bound(spark):
+    from listwright.llm.op8_personal import personal_data
+
+    # one address 8,000 times; a sure context of six others; and identifiers no form knows behind that context
+    data = [(0, "mail to root@example.com " * 8000), *[(i, f"please contact person{i}@example.com") for i in range(1, 7)]]
+    data += [(7, "Please contact odd@host and 12 more"), (8, "Please contact odd@host and 12 more"), (None, None), (9, "nothing@all"), (10, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    outs = []
+    for more in ({}, {"pattern_bytes": 0}):
+        got = personal_data(df, redact=True, **more).collect()
+        by = {r.doc_id: r for r in got}
+        assert by[7].spans == by[8].spans == "email:15:23" and by[7].n_email == 0
+        assert by[7].redacted == "Please contact [EMAIL] and 12 more"
+        assert by[1].spans == "email:15:34" and by[9].spans == by[10].spans == "" and by[None].redacted is None
+        outs.append(sorted(map(str, got)))
+    assert len(outs[0]) == len(data) and outs[0] == outs[1]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
