@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Words whose hash a worker remembers before it starts anew; longer words are not remembered.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Rows of an Arrow batch, where the session has not set a number of its own.
+BATCH = 2000
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
@@ -28,11 +40,66 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The result has no lineage but the files, so a lost executor costs only the tasks it ran.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_root(spark).rstrip('/')}/listwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows, as texts may be long, unless the session's number is not the usual one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def turn(owner: str, drop: Callable[[], None]) -> None:
+    """Says that an operator works in this Python worker; what others remember there is let go."""
+    others = [x for x in _HELD if x != owner]
+    for x in others:
+        _HELD.pop(x)()
+    _HELD[owner] = drop
+    if others:
+        try:  # gives the memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            return
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered within a bound."""
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_HASHES = WordHashes()
+
+
+def hashing() -> None:
+    """Says that this Python worker hashes words."""
+    turn("words", _HASHES.clear)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash for every word of a text, A-Z lower-cased."""
+    words = WORD.findall(lower_ascii(text))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
 def lower_ascii(text: str | None) -> str:
     """The text with A-Z lower-cased and nothing else changed; null: empty."""
     if not text or text.isascii():

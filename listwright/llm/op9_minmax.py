@@ -18,56 +18,35 @@ it is 2e-6.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, written
+from .common import STEP, components, hashing, mixed, word_hashes, written
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Sketches of 120 bits differ in 12 bits on average at similarity 0.8 (deviation 3.3).
 SKETCH_BITS = 30
-#: Members of a component in a block, so that a task holds 2 * BLOCK sets at most.
-BLOCK = 128
-REMEMBERED = 400_000
+#: Nodes of a side of a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
+#: Parts of each row in joins on what many rows share.
+SALTS = 32
 #: Classes of over a 1 / HOT_KEYS of all rows are never dealt to one task.
 HOT_KEYS = 1000
 _rng = np.random.default_rng(20240917)
 MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(word) <= 48:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX
-    return x ^ (x >> np.uint64(29))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of width words; fewer words make one shingle."""
-    words = WORD.findall(lower_ascii(text))
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     if n < 1:
         n, width = 1, len(h)
@@ -105,10 +84,16 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node (digest; null if there is no word), bands and sketch of every row."""
+    """doc_id, h (hash of the text), n, node (digest; null if there is no word), bands and sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashing()
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -120,12 +105,15 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((0, None, None, None, None))
             out = pd.DataFrame(rows, columns=["n", "node", "bands", "k1", "k2"])
             out[["k1", "k2"]] = out[["k1", "k2"]].astype("Int64")
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
+            for i, c in enumerate(("doc_id", "h")):
+                out.insert(i, c, batch[c].values)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, n long, node binary, bands array<long>, k1 long, k2 long"
+    # as text, since large numbers beside nulls would be rounded
+    found = identified(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc_id string, h long, n long, node binary, bands array<long>, k1 long, k2 long"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -139,19 +127,24 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, its set (as bytes) and sketch for wanted(doc_id, node, k1, k2)."""
+    """node, its set (as bytes) and sketch for wanted(own, node, k1, k2); own has the doc_id and h of one row of the node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashing()
         for batch in batches:
-            rows = []
+            rows, seen = [], set()
             for text, node, k1, k2 in zip(batch["text"], batch["node"], batch["k1"], batch["k2"]):
+                if bytes(node) in seen:
+                    continue
                 s = shingle_set(text, width)
-                if digest(s) == bytes(node):  # a repeated id may stand for another text
+                if digest(s) == bytes(node):
+                    seen.add(bytes(node))
                     rows.append((node, s.tobytes(), k1, k2))
             yield pd.DataFrame(rows, columns=["node", "s", "k1", "k2"])
 
-    d, w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted
-    found = d.join(w, d["doc_id"].eqNullSafe(w["doc_id"])).select(d["text"], w["node"], w["k1"], w["k2"])
+    d, w = identified(docs), wanted
+    # rows that share an id, or have none, still differ by their text
+    found = d.join(w, (d["h"] == w["own.h"]) & d["doc_id"].eqNullSafe(w["own.doc_id"])).select(d["text"], w["node"], w["k1"], w["k2"])
     return found.mapInPandas(run, "node binary, s binary, k1 long, k2 long").dropDuplicates(["node"])
 
 
@@ -160,7 +153,8 @@ def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
 
     blocks(block, side, comp, node, s, k1, k2): every node of side 1 is held against every
     node of side 0, first by sketch; one link for two components is enough.  Nodes that stand
-    on both sides of a grid are held against each other once.  A block has about 2 * BLOCK rows.
+    on both sides of a grid are held against each other once.  A block has
+    about 2 * BLOCK rows, or 2 * BLOCK_BYTES of sets.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -179,6 +173,7 @@ def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
+        hashing()
         for batch in batches:
             out: list[tuple] = []
             for block, side, comp, node, s, k1, k2 in batch.itertuples(index=False, name=None):
@@ -208,7 +203,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """
     rows = written(described(docs, width), "minmax")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "h")).alias("own"), F.first("bands").alias("bands"),
         F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("n").alias("n"), F.count("*").alias("copies"),
     )
     member = nodes.select("node", "doc_id", "k1", "k2", "n", F.posexplode("bands").alias("band", "key"))
@@ -232,7 +227,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     # a document has 24 hubs at most; the four it shares most bands with are tried first, and
     # what stays apart is compared in full below
     stars = written(stars, "stars")
-    wanted = buckets.select("node", "doc_id", "k1", "k2").distinct()
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "own", "k1", "k2")
     sets = written(sets_of(docs, wanted, width), "sets")
 
     first = (
@@ -250,25 +245,31 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # components that still meet in a bucket: all others against the largest and each other
-    comp = root(sets.select("node"))
-    total = comp.groupBy("root").agg(F.count("*").alias("members"))
-    met = root(buckets.select("band", "key", "node")).groupBy("band", "key", "root").agg(F.count("*").alias("here"))
-    met = met.join(total, "root").select("band", "key", "root", "members")
+    comp = written(root(sets.select("node", F.octet_length("s").cast("long").alias("bytes"))), "components")
+    total = comp.groupBy("root").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    met = written(root(buckets.select("band", "key", "node")).groupBy("band", "key", "root").agg(F.count("*").alias("here")), "met")
+    shared = total.select("root", "members").join(met.groupBy("root").agg(F.count("*").alias("weight")), "root")
+    met = looked_up(met.drop("here"), shared, "root")
     largest = met.groupBy("band", "key").agg(
         F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("big")
     ).where("roots > 1")
     apart = met.join(largest, ["band", "key"]).where("root != big.root").selectExpr("big.root as big", "root as small").distinct()
     apart = written(apart, "apart")
     # a grid of blocks for each of these: what meets it, by itself and what meets it
-    left = apart.join(comp.selectExpr("root as small", "node"), "small").selectExpr("big", "small as comp", "node")
-    mine = apart.select("big").distinct().join(comp.selectExpr("root as big", "node"), "big").selectExpr("big", "big as comp", "node")
-    load = left.groupBy("big").agg(F.count("*").alias("n_left")).join(total.withColumnRenamed("root", "big"), "big")
-    load = load.selectExpr("big", f"ceil((n_left + members) / {BLOCK}) as ys", f"ceil(n_left / {BLOCK}) as xs")
+    left = spread(comp.selectExpr("root as small", "node", "bytes"), apart, "small", F.col("node")).selectExpr("big", "small as comp", "node", "bytes")
+    left = written(left, "left")
+    mine = spread(comp.selectExpr("root as big", "node"), apart.select("big").distinct(), "big", F.col("node")).selectExpr("big", "big as comp", "node")
+    load = left.groupBy("big").agg(F.count("*").alias("n_left"), F.sum("bytes").alias("b_left")).join(total.withColumnRenamed("root", "big"), "big")
+    load = load.selectExpr(
+        "big", f"greatest(ceil((n_left + members) / {BLOCK}), ceil((b_left + bytes) / {BLOCK_BYTES})) as ys",
+        f"greatest(ceil(n_left / {BLOCK}), ceil(b_left / {BLOCK_BYTES})) as xs",
+    )
+    load = written(load, "load")
     part = "pmod(xxhash64(node), {0})"
     block = F.concat("big", F.lit(b"/"), F.concat_ws("/", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
     right = left.selectExpr("big", "comp", "node", "2 as side").union(mine.selectExpr("big", "comp", "node", "0 as side"))
-    left = left.join(load, "big").selectExpr("big", "comp", "node", "1 as side", f"{part.format('xs')} as i", "explode(sequence(0, ys - 1)) as j")
-    right = right.join(load, "big").selectExpr("big", "comp", "node", "side", "explode(sequence(0, xs - 1)) as i", f"{part.format('ys')} as j")
+    left = spread(left, load, "big", F.col("node")).selectExpr("big", "comp", "node", "1 as side", f"{part.format('xs')} as i", "explode(sequence(0, ys - 1)) as j")
+    right = spread(right, load, "big", F.col("node")).selectExpr("big", "comp", "node", "side", "explode(sequence(0, xs - 1)) as i", f"{part.format('ys')} as j")
     blocks = left.union(right).select(block.alias("block"), "side", "comp", "node")
     more = confirmed(blocks.join(sets, "node"), percent)
     labels = components(links.union(more))
@@ -288,6 +289,12 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     return linked.unionByName(alone)
 
 
+def spread(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
+    """Inner join of rows with a smaller table, each key in SALTS parts, so that no key is dealt to one task."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join of rows with table, whose key is unique and whose weight is its number of rows.
 
