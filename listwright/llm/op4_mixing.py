@@ -13,7 +13,6 @@ of distinct patterns, MAX_PATTERNS at most.
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -51,65 +50,82 @@ def quota_floats(quota: dict) -> dict[str | None, float]:
     return {s: float(q) for s, q in quota.items()}
 
 
+class Network:
+    """Arcs with capacities; augment() adds the largest further flow (Dinic: layers, then blocking flows)."""
+
+    def __init__(self, n: int):
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.left: list[int] = []
+
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.left.append(c)
+        return len(self.to) - 2
+
+    def augment(self, start: int, end: int) -> None:
+        while True:
+            layer = [-1] * len(self.out)
+            layer[start], queue = 0, [start]
+            for v in queue:
+                for a in self.out[v]:
+                    if self.left[a] and layer[self.to[a]] < 0:
+                        layer[self.to[a]] = layer[v] + 1
+                        queue.append(self.to[a])
+            if layer[end] < 0:
+                return
+            at = [0] * len(self.out)
+            path: list[int] = []
+            v = start
+            while True:
+                if v == end:
+                    least = min(self.left[a] for a in path)
+                    for a in path:
+                        self.left[a] -= least
+                        self.left[a ^ 1] += least
+                    k = next(i for i, a in enumerate(path) if not self.left[a])
+                    v = self.to[path[k] ^ 1]
+                    del path[k:]
+                elif at[v] < len(self.out[v]):
+                    a = self.out[v][at[v]]
+                    if self.left[a] and layer[self.to[a]] == layer[v] + 1:
+                        path.append(a)
+                        v = self.to[a]
+                    else:
+                        at[v] += 1
+                elif path:
+                    v = self.to[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
+
+
 def flow(supply: dict[tuple, int], quota: dict[str | None, int], costs: tuple[int, ...] = COSTS) -> dict[tuple, int]:
     """Tokens used of each pattern by the cheapest flow that meets the quotas as far as it can.
 
-    Successive shortest paths: source -> pattern (one arc a repetition) -> its sources -> sink.
+    start -> pattern (one arc a repetition) -> its sources -> end.  Only the first arcs cost
+    anything, and a repetition costs as much for every pattern, so the flow is widened in the
+    order of the costs: a path that is added never takes back flow at the start, and the sets
+    of tokens that can flow together form a polymatroid, for which this greedy order is the
+    cheapest.  One maximum flow a repetition, over one node a pattern and one a source.
     """
     patterns, sources = list(supply), list(quota)
-    n = len(patterns) + len(sources) + 2
-    start, end = n - 2, n - 1
     place = {s: len(patterns) + i for i, s in enumerate(sources)}
-    arcs: list[list[int]] = []  # to, capacity, cost; the reverse is at index ^ 1
-    out: list[list[int]] = [[] for _ in range(n)]
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        out[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    net = Network(end + 1)
+    first = [net.arc(start, i, 0) for i in range(len(patterns))]
     for i, p in enumerate(patterns):
-        for c in costs:
-            arc(start, i, supply[p], c)
         for s in p:
-            arc(i, place[s], len(costs) * supply[p], 0)
+            net.arc(i, place[s], len(costs) * supply[p])
     for s in sources:
-        arc(place[s], end, quota[s], 0)
-    potential = [0] * n
-    while True:
-        far, via = [None] * n, [-1] * n
-        far[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if d > far[v]:
-                continue
-            for a in out[v]:
-                b, capacity, cost = arcs[a]
-                if capacity and (far[b] is None or d + cost + potential[v] - potential[b] < far[b]):
-                    far[b] = d + cost + potential[v] - potential[b]
-                    via[b] = a
-                    heapq.heappush(heap, (far[b], b))
-        if far[end] is None:
-            break
-        longest = max(x for x in far if x is not None)
-        potential = [p + (longest if f is None else f) for p, f in zip(potential, far)]
-        v, least = end, None
-        while v != start:
-            least = arcs[via[v]][1] if least is None else min(least, arcs[via[v]][1])
-            v = arcs[via[v] ^ 1][0]
-        v = end
-        while v != start:
-            arcs[via[v]][1] -= least
-            arcs[via[v] ^ 1][1] += least
-            v = arcs[via[v] ^ 1][0]
-    k = 2 * len(costs)
-    used, a = {}, 0
-    for p in patterns:
-        used[p] = sum(arcs[a + 2 * j + 1][1] for j in range(len(costs)))
-        a += k + 2 * len(p)
-    return used
+        net.arc(place[s], end, quota[s])
+    for _ in sorted(costs):
+        for a, p in zip(first, patterns):
+            net.left[a] += supply[p]
+        net.augment(start, end)
+    return {p: net.left[a + 1] for a, p in zip(first, patterns)}
 
 
 def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED, keep: list[str] = ["doc_id"]) -> DataFrame:
@@ -118,13 +134,14 @@ def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED,
     docs has doc_id, text and source; memberships is an array of all sources a document
     belongs to (by default its source alone).  size counts the words of the text (null: 0);
     taken is size times repeats, 0 to REPEATS.  A null source is a source of its own, last in
-    order.  Documents without words are never taken.  Ties of the hash are settled by doc_id
+    order.  A null or empty membership belongs to no source and is never taken; a source that
+    no document belongs to has size and target 0.  Documents without words are never taken.  Ties of the hash are settled by doc_id
     and size; rows that are alike in all of these are taken or left together.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     member = F.array(F.col("source").cast("string")) if memberships is None else memberships
     rows = docs.select(
-        *keep, F.col("source").cast("string").alias("source"), F.array_sort(F.array_distinct(member)).alias("pattern"),
+        *keep, F.col("source").cast("string").alias("source"), F.array_sort(F.array_distinct(F.coalesce(member, F.array().cast("array<string>")))).alias("pattern"),
         F.expr(words_sql("text")).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("o"),
     )
     rows = written(rows, "sizes")
@@ -156,10 +173,12 @@ def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED,
     rows = same(rows, F.broadcast(edge2), "pattern", "left")
     last = rows.where("rest > 0 and cell = cell_edge and fine = fine_edge")
     by = Window.partitionBy("pattern").orderBy("o", "doc_id_", "size")
-    last = last.withColumn("doc_id_", F.col(keep[0])).withColumn("sum", F.sum("size").over(by))
+    # rows that are alike in all of this are one row of the window
+    last = last.groupBy("pattern", "o", F.col(keep[0]).alias("doc_id_"), "size", "rest", "cell_before", "fine_before").agg(F.sum("size").alias("all"))
+    last = last.withColumn("sum", F.sum("all").over(by))
     # a document is taken if that brings the sum nearer to the rest
     left = F.col("rest") - F.col("cell_before") - F.col("fine_before")
-    taken = last.where(F.abs(F.col("sum") - left) <= F.abs(F.col("sum") - F.col("size") - left)).groupBy("pattern").agg(
+    taken = last.where(F.abs(F.col("sum") - left) <= F.abs(F.col("sum") - F.col("all") - left)).groupBy("pattern").agg(
         F.max(F.struct("o", F.col("doc_id_").alias("d"), F.col("size").alias("z"))).alias("stop")
     )
     rows = same(rows, F.broadcast(taken), "pattern", "left")
@@ -172,7 +191,9 @@ def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED,
     repeats = F.when(F.col("size") > 0, F.col("full") + F.coalesce(more.cast("long"), F.lit(0))).otherwise(F.lit(0))
     rows = rows.withColumn("repeats", repeats.cast("long")).withColumn("taken", F.col("size") * repeats)
     # one row a source
-    return same(rows, F.broadcast(table), "source").select(*keep, "size", "source", "source_size", "target", "taken", "repeats")
+    rows = same(rows, F.broadcast(table), "source", "left")
+    none = F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target")
+    return rows.select(*keep, "size", "source", *none, "taken", "repeats")
 
 
 def same(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
