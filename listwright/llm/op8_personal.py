@@ -1,37 +1,42 @@
-"""Personal data: fixed forms, and contexts learned from them by bootstrapping.
+"""Personal data: fixed forms, and identifiers that bootstrapped patterns discover.
 
-The fixed forms (email, ip, card, phone) are the seeds.  The two words before a seed are its
-lexical pattern.  All identifier-like words of the corpus and their patterns make a graph;
-its scores are refined in Spark: a pattern's confidence for a kind is the mean score of the
-instances it introduces, an instance's score is the chance that at least one of its patterns
-is right (a seed's is 1).  Patterns of high confidence then mark the identifiers they
-introduce that no fixed form knows.
+The fixed forms (email, ip, card, phone) and hexadecimal keys are the seeds.  Each occurrence
+of an identifier-like word induces lexical patterns: the words in front, the word behind and
+its own form.  Patterns and the instances they occur with make a graph, one for each kind an
+instance could be; its scores are refined in Spark, and what patterns of high confidence
+discover is known in the next round.  In the end they mark the identifiers that no fixed form
+knows: a phone number that runs into an address, a card behind other digits, a key behind the
+words that introduce keys.  Those of the four kinds are spans; keys are reported beside them.
 
 Support and confidence alone decide on a pattern, so their number is not bounded.  While all
-of them are within PATTERN_BYTES they are sent to the executors; above that, the patterns in
-front of each text's identifier-like words are joined with them in Spark.
+of them are within PATTERN_BYTES they are sent to the executors; above that, the patterns of
+each text's identifier-like words are joined with them in Spark.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds a pattern needs, its confidence, and rounds.
+#: All kinds that are learned; the last has seeds but no span of its own form.
+ALL = (*KINDS, "secret")
+#: Distinct known instances a pattern needs, its confidence, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 #: Bytes of patterns sent to the executors at most; parts of each row in joins on what many rows share.
 PATTERN_BYTES, SALTS = 4_000_000, 16
-#: Code points in front of a word in which its two preceding words are looked for.
+#: Code points around a word in which the words next to it are looked for.
 REACH = 80
+#: Neighbouring words of one identifier, and its code points, at most.
+WINDOW, LONGEST = 3, 512
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -39,6 +44,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]\S*")
+RUNS = re.compile(r"([^\W\d_]+)|[0-9]+")
+NUMBER = re.compile(r"\+?[0-9][0-9 ().-]*[0-9]")
+NETWORK = re.compile(r"[0-9A-Fa-f.:]+(?:/[0-9]{1,3})?")
+KEY = re.compile(r"[A-Za-z0-9+/_=.-]+")
+SEED_KEY = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}")
+OPENING, CLOSING = "\"'`([{<", "\"'`)]}>.,;:!?"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -87,104 +98,156 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def pattern(text: str, start: int) -> str | None:
-    """The two words in front of a place, lower-cased; null if there are not two."""
-    words = text[max(0, start - REACH) : start].split()[-2:]
-    return " ".join(words).lower() if len(words) == 2 and text[start - 1].isspace() else None
+def shape(word: str) -> str:
+    """Form of an identifier: runs of letters as a, of up to three digits as 9, of more with their number."""
+    return RUNS.sub(lambda m: "a" if m[1] else "9" if len(m[0]) < 4 else f"9{{{len(m[0])}}}", word)
 
 
-def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with a digit or an @ that touch no fixed form; closing marks are left out."""
+def patterns_of(text: str, start: int, end: int) -> list[str]:
+    """Lexical patterns of an occurrence: the word in front, the two in front, the word behind, and its form."""
+    front = [w.lower() for w in text[max(0, start - REACH) : start].rstrip(OPENING).split()[-2:]]
+    behind = text[end : end + REACH].lstrip(CLOSING).split(None, 1)[:1]
+    found = ["S " + shape(text[start:end])[:REACH]]
+    if front:
+        found.append("L " + front[-1])
+    if len(front) == 2:
+        found.append("L " + " ".join(front))
+    if behind:
+        found.append("R " + behind[0].lower())
+    return found
+
+
+def fits(word: str) -> int:
+    """Bits of the kinds (places in ALL) that a word could be, whether its fixed form knows it or not."""
+    digits = DIGIT.findall(word)
+    n, bits = len(digits), 0
+    if "@" in word[1:-1] and " " not in word:
+        bits |= 1
+    if n >= 4 and ("." in word or ":" in word) and NETWORK.fullmatch(word):
+        bits |= 2
+    if NUMBER.fullmatch(word):
+        if 13 <= n <= 19 and luhn("".join(digits)):
+            bits |= 4
+        if 7 <= n <= 15:
+            bits |= 8
+    if n >= 4 and len(word) >= 16 and KEY.fullmatch(word) and len(word) - n >= 4:
+        bits |= 16
+    return bits
+
+
+def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, bits of fits) of windows of up to WINDOW neighbouring words with a digit or an @.
+
+    Windows that touch a fixed form are left out, as are marks at either end.
+    """
     if not text:
         return
     taken = sorted((s, e) for _, s, e in base)
-    k, last = 0, 0
+    ends = [e for _, e in taken]
+    run: list[tuple[int, int]] = []
+    free = 0
     for m in MARK.finditer(text):
-        before = text[last : m.start()]
-        start = m.start() - (0 if not before or before[-1].isspace() else len(before.split()[-1]))
-        last = m.end()
-        end = start + len(text[start : m.end()].rstrip(".,;:!?)]}>\"'"))
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if end - start >= 4 and not (k < len(taken) and taken[k][0] < end):
-            yield start, end
-
-
-def fits(kind: int, word: str) -> bool:
-    """Whether a word could be an identifier of a kind that its fixed form does not know."""
-    digits = len(DIGIT.findall(word))
-    if kind == 0:
-        return "@" in word
-    if kind == 1:
-        return digits >= 4 and ("." in word or ":" in word)
-    return digits >= (12 if kind == 2 else 7)
+        first, last = m.span()
+        while first > free and not text[first - 1].isspace():
+            first -= 1
+        if run and not text[run[-1][1] : first].isspace():
+            run = []
+        run = [*run[1 - WINDOW :], (first, last)]
+        free = last
+        while last > first and not text[last - 1].isalnum():
+            last -= 1
+        for begin, _ in run:
+            while begin < last and not (text[begin].isalnum() or text[begin] == "+"):
+                begin += 1
+            if not 4 <= last - begin <= LONGEST:
+                continue
+            k = bisect.bisect_right(ends, begin)
+            if k < len(taken) and taken[k][0] < last:
+                continue
+            if bits := fits(text[begin:last]):
+                yield begin, last, bits
+
+
+def occurrences(text: str | None) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, bits of the kinds it fits, bits of the kinds it is a seed of) in a text."""
+    base = base_spans(text)
+    for kind, start, end in base:
+        yield start, end, 1 << kind, 1 << kind
+    for start, end, bits in candidates(text, base):
+        yield start, end, bits, 16 if bits & 16 and SEED_KEY.fullmatch(text, start, end) else 0
 
 
 def graph(docs: DataFrame) -> DataFrame:
-    """pattern, instance and kind (null: not a seed) with their number, summed per batch first."""
+    """pattern, instance (digest), kind and seed of all edges, made distinct per batch first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n: Counter = Counter()
+            found: dict[tuple[str, str, int], int] = {}
             for text in batch["text"]:
-                base = base_spans(text)
-                for kind, start, end in base:
-                    if p := pattern(text, start):
-                        n[p, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()[:32], KINDS[kind]] += 1
-                for start, end in candidates(text, base):
-                    if p := pattern(text, start):
-                        n[p, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()[:32], None] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["pattern", "instance", "kind", "n"])
+                for start, end, bits, seeds in occurrences(text):
+                    word = hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()[:32]
+                    for p in patterns_of(text, start, end):
+                        for k in range(len(ALL)):
+                            if bits >> k & 1:
+                                key = (p, word, k)
+                                found[key] = found.get(key, 0) | seeds >> k & 1
+            yield pd.DataFrame([(p, w, ALL[k], s) for (p, w, k), s in found.items()], columns=["pattern", "instance", "kind", "seed"])
 
-    found = docs.select(F.col("text").cast("string")).mapInPandas(run, "pattern string, instance string, kind string, n long")
-    return found.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string")).mapInPandas(run, "pattern string, instance string, kind string, seed int")
+    return found.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed"))
 
 
 def learned(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """pattern and kind of all patterns of high confidence."""
-    edges = written(graph(docs), "patterns")
-    known = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    nodes = edges.select("pattern", "instance", "n").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
-    total = nodes.groupBy("pattern").agg(F.count("*").alias("instances"))
-    support_of = (
-        edges.where("kind is not null").groupBy("pattern", "kind")
-        .agg(F.countDistinct("instance").alias("distinct"))
-        .where(F.col("distinct") >= support)
-    )
-    eligible = written(support_of.join(total, "pattern"), "eligible")
-    if eligible.isEmpty():
-        return eligible.select("pattern", "kind")
-    scores, best = known, None
+    """pattern and kind of all patterns of high confidence.
+
+    In every round a pattern that enough known instances support gets the mean score of all
+    instances that fit the kind as its confidence.  Instances of patterns of high confidence
+    join the known ones, so that they support others in the next round; the score of the
+    rest is the chance that at least one of their supported patterns is right.
+    """
+    edges = written(graph(docs).withColumn("_salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int")), "patterns")
+    scores = edges.where("seed = 1").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
+    best = None
     for k in range(rounds):
-        best = (
-            nodes.join(eligible, "pattern").join(scores, ["instance", "kind"], "left")
-            .groupBy("pattern", "kind")
-            .agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.first("instances")).alias("confidence"))
+        # a frequent instance or pattern is spread over SALTS parts, and summed before it moves
+        by = edges.join(salted(scores), ["instance", "kind", "_salt"], "left").groupBy("pattern", "kind").agg(
+            F.count_if(F.col("score") >= 1.0).alias("support"), F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence")
+        )
+        best = written(by.where(F.col("support") >= support).select("pattern", "kind", "confidence"), "confidence")
+        if k + 1 == rounds or best.isEmpty():
+            break
+        sure = F.max(F.col("confidence") >= confidence)
+        chance = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+        derived = edges.join(salted(best), ["pattern", "kind", "_salt"]).groupBy("instance", "kind").agg(
+            F.when(sure, 1.0).otherwise(F.least(chance, F.lit(0.999))).alias("score")
         )
-        best = written(best, "confidence")
-        if k + 1 < rounds:
-            derived = (
-                nodes.join(best, "pattern").groupBy("instance", "kind")
-                .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
-            )
-            scores = known.unionByName(derived).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+        scores = written(scores.where("score >= 1").unionByName(derived).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
     return best.where(F.col("confidence") >= confidence).select("pattern", "kind")
 
 
-def named(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+def named(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
+    """The spans of these kinds: kind, start and end."""
+    return ",".join(f"{ALL[k]}:{s}:{e}" for k, s, e in spans if ALL[k] in kinds)
 
 
 def all_spans(text: str | None, patterns: dict[str, list[int]]) -> tuple[list, list]:
-    """The fixed forms, and these with what the patterns add, each by kind and start."""
+    """The fixed forms, and these with what the patterns add, each by kind and start.
+
+    Of windows that overlap, the one that begins first counts, then the longest.
+    """
     base = base_spans(text)
-    more = []
-    if patterns:
-        for start, end in candidates(text, base):
-            for kind in patterns.get(pattern(text, start) or "", ()):
-                if fits(kind, text[start:end]):
-                    more.append((kind, start, end))
-                    break
+    if not patterns:
+        return base, base
+    found = []
+    for start, end, bits in candidates(text, base):
+        kinds = {k for p in patterns_of(text, start, end) for k in patterns.get(p, ()) if bits >> k & 1}
+        if kinds:
+            found.append((start, -end, min(kinds)))
+    more, last = [], 0
+    for start, end, kind in sorted(found):
+        if start >= last:
+            more.append((kind, start, -end))
+            last = -end
     return base, sorted(base + more)
 
 
@@ -199,9 +262,8 @@ def matched(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             out = set()
             for h, text in zip(batch["_h"], batch["text"]):
-                for start, _ in candidates(text, base_spans(text)):
-                    if p := pattern(text, start):
-                        out.add((h, p))
+                for start, end, _ in candidates(text, base_spans(text)):
+                    out.update((h, p) for p in patterns_of(text, start, end))
             yield pd.DataFrame(list(out), columns=["_h", "pattern"])
 
     text = F.col("text").cast("string")
@@ -218,11 +280,16 @@ def personal_data(
 ) -> DataFrame:
     """The columns keep of every row of docs, counts and digest of the fixed forms, and all spans.
 
-    n_email, n_ip, n_card, n_phone count the fixed forms.  A null text is empty.  With
-    redact, the column redacted holds the text with each span replaced by its kind in
-    brackets (null stays null).  Patterns are learned from docs unless given; above
-    pattern_bytes of them they are joined, not sent.
+    n_email, n_ip, n_card, n_phone count the fixed forms; spans lists these and what the
+    patterns add, secrets the keys they find; n_spans counts both.  A null or empty text has
+    none.  With redact, the column redacted holds the text with each span replaced by its
+    kind in brackets (null stays null).  Patterns are learned from docs unless given; above
+    pattern_bytes of them they are joined, not sent.  Repeated rows and null ids are returned
+    as they come, with the same answer for the same text; ties of confidence do not matter,
+    as every pattern counts for itself, and of two kinds the first in order is taken.  Other
+    columns are ignored whatever their names; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     own = F.lit(None).cast("array<string>")
     if patterns is None:
         found = written(learned(docs), "learned")
@@ -234,11 +301,11 @@ def personal_data(
     def table(found: Iterable[tuple[str, str]]) -> dict[str, list[int]]:
         by: dict[str, list[int]] = {}
         for p, kind in found:
-            by.setdefault(p, []).append(KINDS.index(kind))
+            by.setdefault(p, []).append(ALL.index(kind))
         return by
 
     sent = None if patterns is None else table(patterns)
-    columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] + ["redacted"] * redact
+    columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "secrets", "n_spans"] + ["redacted"] * redact
 
     @F.pandas_udf(", ".join(f"{c} {'long' if c[:2] == 'n_' else 'string'}" for c in columns))
     def spans(texts: pd.Series, owned: pd.Series) -> pd.DataFrame:
@@ -251,7 +318,7 @@ def personal_data(
             n = [0, 0, 0, 0]
             for k, _, _ in base:
                 n[k] += 1
-            rows.append((*n, hashlib.sha256(named(base).encode()).hexdigest(), named(every), *[redacted(text, every)] * redact))
+            rows.append((*n, hashlib.sha256(named(base).encode()).hexdigest(), named(every), named(every, ALL[4:]), len(every), *[redacted(text, every)] * redact))
         return pd.DataFrame(rows, columns=columns)
 
     return docs.select(*keep, spans(F.col("text").cast("string"), own).alias("_p")).select(*keep, "_p.*")
@@ -264,6 +331,6 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     out, last = [], 0
     for start, end, kind in sorted((s, e, k) for k, s, e in spans):
         if start >= last:
-            out += [text[last:start], f"[{KINDS[kind].upper()}]"]
+            out += [text[last:start], f"[{ALL[kind].upper()}]"]
         last = max(last, end)
     return "".join(out) + text[last:]
