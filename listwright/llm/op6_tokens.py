@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, turn
+
 SPACE = "▁"
 #: Parts remembered by one Python worker, and the longest part that is remembered.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 48
@@ -139,6 +141,8 @@ _COUNTERS: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
+    """The counter of a model, made once in each Python worker."""
+    turn("tokens of a model", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(Vocabulary(path))
     return _COUNTERS[path]
@@ -151,6 +155,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
     returned as they come; other columns of docs are ignored.  Map only: no shuffle.
     """
     path = path or model_path()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:

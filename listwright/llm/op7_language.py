@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches, turn
+
 ORDER = 4
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
@@ -241,18 +243,24 @@ def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sam
 _MODELS: dict[str, Model] = {}
 
 
+def model_of(key: str, *parts) -> Model:
+    """The model, put together once in each Python worker."""
+    turn("languages", _MODELS.clear)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*parts)
+    return _MODELS[key]
+
+
 def predicted(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> DataFrame:
     """The columns keep of docs, lang_pred and score; the model goes to every executor once."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, model.languages, model.trees, model.order))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        key, *parts = sent.value
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(*parts)
-        return pd.DataFrame(_MODELS[key].predict(texts.tolist()), columns=["lang_pred", "score"])
+        return pd.DataFrame(model_of(*sent.value).predict(texts.tolist()), columns=["lang_pred", "score"])
 
     return docs.select(*keep, predict(F.col("text").cast("string")).alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
 
