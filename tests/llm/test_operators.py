@@ -80,12 +80,65 @@ def test_tiles_equal_the_definition():
         item = rng.integers(1, 5, rng.integers(5, 30)).tolist()
         cut = int(rng.integers(0, len(item)))
         doc = rng.integers(1, 5, 10).tolist() + item[cut:] + [9] + item[:cut] + rng.integers(1, 5, 8).tolist()
-        assert abs(tiled(doc, item, 3) - plain_tiles(doc, item, 3)) <= 3  # equal lengths may be marked in another order
+        assert tiled(doc, item, 3) == plain_tiles(doc, item, 3)
     item = list(range(1, 41))
     assert tiled(item[20:] + [99] + item[:20], item, 5) == 40
     assert tiled(item[:4], item, 5) == 0
 
 
+def test_repetitive_texts_are_tiled_in_time():
+    import time
+
+    from listwright.llm.op1_decontaminate import Index, tiled
+
+    began = time.time()
+    assert tiled([1] * 20_000, [1] * 240, 5) == 240
+    assert Index([(1, "again and " * 120)]).covered("again and " * 10_000, 0.8) == [(1, 1.0)]
+    assert time.time() - began < 5
+
+
+def plain_contamination(text, items, share=0.8):
+    """Ids of the items the text covers, and the largest coverage, by the definition."""
+    token = re.compile(r"\w+")
+    found, doc = {}, token.findall((text or "").lower())
+    for i, t in items:
+        item = token.findall((t or "").lower())
+        # a pair without a common stretch has no tile
+        if i is not None and item and any(" ".join(item[k : k + min(5, len(item))]) in " ".join(doc) for k in range(max(1, len(item) - 4))):
+            cover = plain_tiles(doc, item, min(5, len(item))) / len(item)
+            if cover >= share:
+                found[i] = max(found.get(i, 0), cover)
+    return sorted(found), max(found.values(), default=0.0)
+
+
+@pytest.mark.parametrize("sent_bytes", [16_000_000, 0])
+def test_contamination_equals_the_definition(spark, sent_bytes):
+    from listwright.llm.op1_decontaminate import contamination
+
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 30)}"
+    items = [(i, " ".join(word() for _ in range(rng.integers(6, 25)))) for i in range(12)]
+    items += [(100, "three small words"), (101, "one"), (None, "no id"), (102, None), (103, "!!"), (0, items[0][1]), (1, "another text of item one here")]
+    texts = [None, "", "One two", "we have Three small words here", "three small, other words"]
+    for _ in range(40):
+        t = [word() for _ in range(8)]
+        for i in rng.integers(0, 12, 2):
+            w = items[i][1].split()
+            k = int(rng.integers(0, len(w)))
+            t += w[k:] + [word()] + w[: int(k * rng.random()) + 1]
+        texts.append(" ".join(t))
+    texts += texts[-3:]
+    docs = spark.createDataFrame([(i if i % 9 else None, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, items int, _hits int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(docs, bench, sent_bytes=sent_bytes, keep=["doc_id", "text"]).collect()
+    assert len(got) == len(texts)
+    want = {t: plain_contamination(t, items) for t in texts}
+    for r in got:
+        assert r["items"] == want[r.text][0] and math.isclose(r.coverage, want[r.text][1], abs_tol=1e-12) and r.contaminated == bool(r["items"])
+    assert sum(r.contaminated for r in got) > 5
+    assert contamination(docs.where("1 = 0"), bench, sent_bytes=sent_bytes).count() == 0
+
+
 def test_contamination(spark, docs):
     from listwright.llm.op1_decontaminate import contamination, tokens
 
@@ -109,14 +162,14 @@ def test_contamination(spark, docs):
     for r in every:
         seeds = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
         for i in r["items"]:
-            assert any(seeds(tokens(t)) & seeds(tokens(items[i])) for t in texts[r.doc_id])
+            assert i == 7003 or any(seeds(tokens(t)) & seeds(tokens(items[i])) for t in texts[r.doc_id])
         # a whole item inside a text is never missed
         for i, t in items.items():
             if any(x and t.lower() in x.lower() for x in texts[r.doc_id]):
                 assert i in r["items"]
-    blocks = contamination(docs, bench, block_bytes=500).select("doc_id", "items").collect()
+    joined = contamination(docs, bench.unionByName(odd), sent_bytes=0).select("doc_id", "items").collect()
     key = lambda x: (str(x.doc_id), str(x["items"]))
-    assert sorted(map(key, blocks)) == sorted(map(key, every))
+    assert sorted(map(key, joined)) == sorted(map(key, every))
     assert contamination(empty(docs), bench).count() == 0
     assert not any(r.contaminated for r in contamination(moved, bench.where("1 = 0")).collect())
 
@@ -141,8 +194,8 @@ def test_url_filter(spark):
 
     listed = lambda h: h != "" and hashlib.md5(h.encode()).hexdigest()[0] in "01"
     condition = F.substring(F.md5(F.col("host").cast("binary")), 1, 1).isin("0", "1")
-    for size in (32_000_000, 200):
-        got = {r.page_id: r for r in filtered(pages, condition, shard_bytes=size).collect()}
+    for more in ({}, {"page_keys": 100}, {"page_keys": 100, "sent_bytes": 0, "dealt_rows": 150}, {"sent_bytes": 0, "seed": 3}):
+        got = {r.page_id: r for r in filtered(pages, condition, **more).collect()}
         assert len(got) == len(urls)
         for i, u in enumerate(urls):
             host, path = host_path(u)
@@ -150,51 +203,108 @@ def test_url_filter(spark):
             _, rule, verdict = max(fits, default=(0, None, "block" if listed(host) else "allow"))
             assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
             assert got[i].listed == listed(host)
-    assert filtered(pages.where("1 = 0"), condition).count() == 0
+    for size in (0, 32_000_000):
+        assert filtered(pages.where("1 = 0"), condition, sent_bytes=size).count() == 0
 
 
 # 3 ---------------------------------------------------------------------------------------------
 
 
+def plain_licences(rows, cosine=0.75, share=0.1):
+    """(license, score, origin, license_path) of every row (doc_id, text, path), from the definition."""
+    from listwright.llm.op3_licences import ANCHORS, SHIFT, all_templates
+
+    token = re.compile("[a-z0-9]+(?:[.-][a-z0-9]+)*")
+    texts = [token.findall((t or "").lower()) for _, t, _ in rows]
+    n, df = len(rows), Counter(w for t in texts for w in set(t))
+    vector = lambda w: {t: c * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in Counter(w).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own = []
+    for w in texts:
+        good, said = [], 0
+        for name, template in all_templates():
+            u = vector(template)
+            anchors = [(x, template.index(x)) for _, x in sorted((df[x], x) for x in set(template) if df[x])[: ANCHORS + len(template) // 16]]
+            for x, o in anchors:
+                for p in (i for i, y in enumerate(w) if y == x):
+                    if not any(z in w[max(0, p + q - o - SHIFT) : max(0, p + q - o + SHIFT + 1)] for z, q in anchors if z != x):
+                        continue
+                    passage = w[max(0, p - o) : p - o + len(template)]
+                    v = vector(passage)
+                    s = round(sum(a * u.get(t, 0) for t, a in v.items()) / norm(u) / norm(v), 4)
+                    if s >= cosine:
+                        good.append((-s, -len(template), name))
+                        said = max(said, len(passage))
+        own.append((min(good), said >= share * len(w)) if good else None)
+    files = {}
+    for (_, _, path), found in zip(rows, own):
+        if found and found[1]:
+            (s, _, name), _ = found
+            files[path] = min(files.get(path, (0, "")), (s, name))
+    out = []
+    for (_, _, path), found in zip(rows, own):
+        if found:
+            out.append((found[0][2], -found[0][0], "own", path))
+            continue
+        parts = path.split("/")
+        above = next((d for d in ("/".join(parts[:k]) for k in range(len(parts), 0, -1)) if d in files), None)
+        out.append((files[above][1], -files[above][0], "inherited", above) if above else (None, None, "none", None))
+    return out
+
+
+def licence_rows():
+    from listwright.llm.op3_licences import TEMPLATES
+
+    body = lambda name: max((w for x, w in TEMPLATES if x == name), key=len)
+    filler = " ".join(f"word{i}" for i in range(300))
+    return [
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + body("MIT"), "a/b"), (2, "nothing here", "a/b/c"), (3, "nothing", "a/d"),
+        (4, "x " * 400 + "\nLicensed under CC BY-NC 4.0.\n", "e"), (5, None, "a/b"), (6, "plain", "e/f"),
+        (7, "This work is licensed under the GNU General Public License, version 3.", "a/b/c"), (8, "", "a/b/c/d"), (None, "licence", "q"),
+        (9, "// SPDX-License-Identifier: MIT\nint main() {}", "s"), (10, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n"
+         "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n" + filler, "t"), (11, "Copyright 1999 Us.\n" + body("BSD-3-Clause") + " ARE DISCLAIMED.", "u"),
+        (12, filler + " this thing is Released under the MIT License. and more " + filler, "v"), (13, "code", "u/x/y"), (14, "SPDX-License-Identifier: FOO-9.1", "w"),
+        (15, "license license released " * 400, "w/z"), (16, "nothing", "s/deep"), (16, "nothing", "s/deep"), (17, "Released under the\n MIT\n license", "k"), (18, "x", "k/l"),
+    ]
+
+
 def test_licences(spark, docs):
     from listwright.llm.op3_licences import licences
 
-    small = spark.createDataFrame(
-        [(1, "Released under the MIT License.", "a/b"), (2, "nothing here", "a/b/c"), (3, "nothing", "a/d"), (4, "x " * 400 + "\nLicensed under CC BY-NC 4.0.\n", "e"),
-         (5, None, "a/b"), (6, "plain", "e/f"), (7, "This work is licensed under the GNU General Public License, version 3.", "a/b/c"), (8, "", "a/b/c/d"), (None, "licence", "q")],
-        "doc_id long, text string, folder string",
-    )
-    got = {r.doc_id: (r.license, r.origin, r.license_path) for r in licences(small, F.col("folder")).collect()}
-    assert got[1] == ("MIT", "own", "a/b") and got[7] == ("GPL-3.0", "own", "a/b/c")
-    assert got[2] == ("GPL-3.0", "inherited", "a/b/c") and got[8] == ("GPL-3.0", "inherited", "a/b/c")
-    assert got[5] == ("MIT", "inherited", "a/b") and got[3][1] == "none"
-    assert got[4] == ("CC-BY-NC-4.0", "own", "e") and got[6][1] == "none"
+    rows = licence_rows()
+    small = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, folder string, term int")
+    got = licences(small, F.col("folder"))
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    by = lambda x: str(x)
+    want = sorted(((d, p, *x) for (d, _, p), x in zip(rows, plain_licences(rows))), key=by)
+    assert sorted(((r.doc_id, r.path, r.license, r.score, r.origin, r.license_path) for r in got.collect()), key=by) == want
+    names = {r[0]: (r[2], r[4]) for r in want}
+    assert names[1] == names[9] == names[12] == names[17] == ("MIT", "own") and names[10] == ("Apache-2.0", "own") and names[11] == ("BSD-3-Clause", "own")
+    assert names[5] == names[16] == names[18] == ("MIT", "inherited") and names[13] == ("BSD-3-Clause", "inherited") and names[8] == ("GPL-3.0", "inherited")
+    assert names[14] == names[15] == names[6] == (None, "none")
     whole = licences(docs)
     assert whole.count() == docs.count() and licences(empty(docs)).count() == 0
-    assert not re.search("Python|Pandas|Arrow", whole._jdf.queryExecution().executedPlan().toString())
 
 
-def test_licence_headers_weigh_common_words_by_their_true_frequency(spark):
-    from listwright.llm.op3_licences import TEMPLATES, licences
+def test_licences_of_documents_equal_the_definition(spark):
+    from listwright.llm.queries import op3_license_scan
 
-    token = re.compile("[a-z0-9]+")
-    header = "Software released under the MIT License."
+    rows = [(r.doc_id, r.text, f"{r.source}/{r.lang}/{r.doc_id // 64}") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = sorted((d, *x) for (d, _, _), x in zip(rows, plain_licences(rows)))
+    assert sorted((r.doc_id, r.license, r.score, r.origin, r.license_path) for r in op3_license_scan(spark, SF).collect()) == want
+    assert any(x[3] == "own" for x in want)
 
-    def plain(texts):
-        n, df = len(texts), Counter(t for text in texts for t in set(token.findall(text.lower())))
-        vector = lambda s: {t: c * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in Counter(token.findall(s.lower())).items()}
-        v, best = vector(header), []
-        norm = lambda x: math.sqrt(sum(w * w for w in x.values()))
-        for name, wording in TEMPLATES:
-            u = vector(wording)
-            best.append((round(sum(w * u.get(t, 0) for t, w in v.items()) / norm(v) / norm(u), 4), name))
-        return max(best)
 
-    for n in (200, 20000):  # the same header among few and many documents that hold its extra word
-        texts = [header, *[f"wir kommen mit our software number {i} that was released under the old name" for i in range(n - 1)]]
+def test_licence_notices_weigh_common_words_by_their_true_frequency(spark):
+    from listwright.llm.op3_licences import licences
+
+    header = "Software released under a MIT license."
+    for n in (200, 5000):  # the same notice among few and many documents that hold its extra words
+        texts = [header, *[f"wir kommen mit a software number {i} that was released under the old name" for i in range(n - 1)]]
         data = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
-        got = [r for r in licences(data).collect() if r.origin != "none"]
-        assert [(r.doc_id, r.license, r.score) for r in got] == [(0, "MIT", plain(texts)[0])]
+        rows = [(i, t, f"s{i}/en/{i // 64}") for i, t in enumerate(texts)]
+        got = sorted((r.doc_id, r.license, r.score, r.origin) for r in licences(data).collect() if r.origin != "none")
+        assert got == [(d, *x[:3]) for (d, _, _), x in zip(rows, plain_licences(rows)) if x[2] != "none"] and got[0][:2] == (0, "MIT")
 
 
 # 4 ---------------------------------------------------------------------------------------------
@@ -213,15 +323,59 @@ def test_targets_and_flow():
     assert used == {("a",): 20, ("a", "b"): 200}  # marginal costs rise, so both are repeated
 
 
+def plain_targets(sizes):
+    """Shares by weight 1, 2, 3, found by raising the level that no source but the full ones stays under."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    low, high = 0.0, 3.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(level * weight[s], 3 * sizes[s]) for s in order) < sum(sizes.values()):
+            low = level
+        else:
+            high = level
+    return {s: min(high * weight[s], 3 * sizes[s]) for s in order}
+
+
+def test_flow_has_the_least_cost():
+    import itertools
+
+    from listwright.llm.op4_mixing import COSTS, flow
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        patterns = [("a",), ("b",), ("a", "b"), ("b", "c"), ()][: rng.integers(2, 6)]
+        supply = {p: int(rng.integers(0, 4)) for p in patterns}
+        quota = {s: int(rng.integers(0, 9)) for s in "abc"}
+        price = lambda p, n: sum(sorted(COSTS * supply[p])[:n])  # noqa: B023, E731
+
+        def fits(used):  # by Hall's condition on sets of sources
+            return all(sum(n for p, n in used.items() if p and set(p) <= set(x)) <= sum(quota[s] for s in x) for k in (1, 2, 3) for x in itertools.combinations("abc", k))  # noqa: B023
+
+        every = [dict(zip(patterns, n)) for n in itertools.product(*[range(3 * supply[p] + 1 if p else 1) for p in patterns])]
+        most = max(sum(u.values()) for u in every if fits(u))
+        least = min(sum(price(p, n) for p, n in u.items()) for u in every if fits(u) and sum(u.values()) == most)
+        got = flow(supply, quota)
+        assert fits(got) and sum(got.values()) == most and sum(price(p, n) for p, n in got.items()) == least
+
+
+def test_mixing_without_memberships(spark):
+    from listwright.llm.op4_mixing import mixed
+
+    data = [(1, "a b c", "x", ["x"]), (2, "d e", "y", None), (3, "f", "x", []), (None, None, None, ["x", None]), (4, "g h", "x", ["x", "z"]), (4, "g h", "x", ["x", "z"])]
+    got = {r.doc_id: r for r in mixed(spark.createDataFrame(data, "doc_id long, text string, source string, sources array<string>"), F.col("sources")).collect()}
+    assert len(got) == 5 and got[2].taken == got[3].taken == 0 and (got[2].source_size, got[2].target) == (0, 0.0)
+
+
 def test_mixing(spark, docs, rows):
-    from listwright.llm.op4_mixing import mixed, targets
+    from listwright.llm.op4_mixing import mixed
 
     got = mixed(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     size = defaultdict(int)
     for _, text, _, source in rows:
         size[source] += len(words(text))
-    want = targets(size, sum(size.values()))
+    want = plain_targets(size)
     taken, largest = Counter(), Counter()
     texts = {r[0]: r for r in rows}
     for r in got:
@@ -288,6 +442,25 @@ def test_neighbours(spark):
     assert nearest(base.where("1 = 0")).count() == 0
 
 
+def test_neighbours_of_odd_vectors(spark):
+    from listwright.llm.op5_anisotropic import nearest
+
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=5).tolist() for i in range(1, 60)} | {100: [1e200] * 5, 200: [1e-200] * 5, 300: [1.0, 2.0, 3.0], 301: [1.0, 2.0, 4.0]}
+    rows = [(i, v, 1, 1) for i, v in vectors.items()] + [(7, [9.0] * 5, 1, 1), (7, vectors[7], 1, 1)]
+    vectors[7] = min(vectors[7], [9.0] * 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score int")
+    got = defaultdict(list)
+    for r in nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[300] == [(301, 1.0)] and set(got) == {100, 200, 300}
+    for q in (100, 200):
+        assert len(got[q]) == 10
+        for v, d in got[q]:
+            assert math.isclose(d, math.dist(vectors[q], vectors[v]), rel_tol=1e-9)
+    assert sorted(map(tuple, nearest(df.repartition(5)).collect())) == sorted(map(tuple, nearest(df).collect()))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
@@ -416,6 +589,128 @@ def test_personal_data(spark, docs, rows):
     assert personal_data(empty(docs)).count() == 0
 
 
+def plain_candidates(text, base):
+    """Windows of one to three neighbouring words with a digit or an @, without marks at their ends, off the fixed forms."""
+    from listwright.llm.op8_personal import fits
+
+    tokens = [m for m in re.finditer(r"\S+", text or "")]
+    out = set()
+    for n in (1, 2, 3):
+        for k in range(len(tokens) - n + 1):
+            if all(re.search("[0-9@]", m[0]) for m in tokens[k : k + n]):
+                a, b = tokens[k].start(), tokens[k + n - 1].end()
+                while b > tokens[k + n - 1].start() and not text[b - 1].isalnum():
+                    b -= 1
+                while a < b and not (text[a].isalnum() or text[a] == "+"):
+                    a += 1
+                if 4 <= b - a <= 512 and not any(s < b and a < e for _, s, e in base) and fits(text[a:b]):
+                    out.add((a, b, fits(text[a:b])))
+    return out
+
+
+def plain_personal(texts):
+    """Spans and keys of every text, from graphs kept in dictionaries."""
+    from listwright.llm.op8_personal import ALL, KINDS, patterns_of
+
+    edges, known = defaultdict(set), {}
+    bases = [[(KINDS.index(x.split(":")[0]), *map(int, x.split(":")[1:])) for x in plain_spans(t)] for t in texts]
+    for t, base in zip(texts, bases):
+        for k, s, e in base:
+            known[t[s:e], k] = 1.0
+            for p in patterns_of(t, s, e):
+                edges[p, k].add(t[s:e])
+        for s, e, bits in plain_candidates(t, base):
+            for k in range(5):
+                if bits >> k & 1:
+                    if k == 4 and re.fullmatch("[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", t[s:e]):
+                        known[t[s:e], k] = 1.0
+                    for p in patterns_of(t, s, e):
+                        edges[p, k].add(t[s:e])
+    score = dict(known)
+    for _ in range(3):
+        best = {}
+        for (p, k), words_ in edges.items():
+            if sum(score.get((w, k), 0) >= 1 for w in words_) >= 5:
+                best[p, k] = sum(score.get((w, k), 0) for w in words_) / len(words_)
+        by = defaultdict(list)
+        for (p, k), c in best.items():
+            for w in edges[p, k]:
+                by[w, k].append(c)
+        for x, cs in by.items():
+            if score.get(x, 0) < 1:
+                score[x] = 1.0 if max(cs) >= 0.8 else min(0.999, 1 - math.prod(max(1 - c, 1e-9) for c in cs))
+    sure = defaultdict(list)
+    for (p, k), c in best.items():
+        if c >= 0.8:
+            sure[p].append(k)
+    out = []
+    for t, base in zip(texts, bases):
+        found, last, more = [], 0, []
+        for s, e, bits in plain_candidates(t, base):
+            kinds = [k for p in patterns_of(t, s, e) for k in sure[p] if bits >> k & 1]
+            if kinds:
+                found.append((s, -e, min(kinds)))
+        for s, e, k in sorted(found):
+            if s >= last:
+                more.append((k, s, -e))
+                last = -e
+        every = [f"{ALL[k]}:{s}:{e}" for k, s, e in sorted(base + more)]
+        out.append((",".join(x for x in every if x[:6] != "secret"), ",".join(x for x in every if x[:6] == "secret"), len(every)))
+    return out, dict(sure)
+
+
+def test_candidates_equal_the_definition():
+    from listwright.llm.op8_personal import base_spans, candidates
+
+    rng = np.random.default_rng(12)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab@..-12345 +()\n\té=/:9  "), rng.integers(0, 70)))
+        base = base_spans(text)
+        found = list(candidates(text, base))
+        assert set(found) == plain_candidates(text, base)
+
+
+def test_whole_spans_equal_a_plain_bootstrap(spark):
+    from listwright.llm.op8_personal import learned
+    from listwright.llm.queries import op8_bootstrapped_personal_data
+
+    sf = SF.replace("0.001", "0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want, sure = plain_personal([t for _, t in rows])
+    got = {r.doc_id: (r.spans, r.secrets, r.n_spans) for r in op8_bootstrapped_personal_data(spark, sf).collect()}
+    assert got == {d: x for (d, _), x in zip(rows, want)}
+    assert len(learned(spark.read.parquet(f"{sf}/documents.parquet")).collect()) == sum(map(len, sure.values())) > 0
+    assert any(x[1] for x in want)
+
+
+def test_bootstrapping_finds_planted_identifiers_and_little_else(spark):
+    from listwright.llm.op8_personal import personal_data
+
+    rng = np.random.default_rng(5)
+    fill = lambda: " ".join(f"w{'abcdefgh'[rng.integers(0, 8)]}{'xyz'[rng.integers(0, 3)]}" for _ in range(6))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    number = lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    address = lambda: ".".join(str(rng.integers(10, 250)) for _ in range(4))
+    data, planted = [], {}
+    for i in range(400):
+        data.append((i, f"{fill()} {number()} {fill()} {address()} {fill()} api_key = \"{hexes(40)}\" {fill()}"))
+    for i in range(400, 440):  # a number that runs into an address is no fixed form; nor is a key of other letters
+        n, key = number(), hexes(30).upper() + "G7H8"
+        data.append((i, f"{fill()} {n} {address()} {fill()} api_key = \"{key}\" {fill()}"))
+        planted[i] = (n, key)
+    for i in range(440, 500):  # decoys: long numbers without a check digit, versions, years
+        digits = "".join(map(str, rng.integers(0, 10, 15)))
+        data.append((i, f"{fill()} version 10.4.2 of {rng.integers(1900, 2030)} {fill()} {digits}{next(c for c in '0123456789' if not plain_spans(digits + c))} {fill()}"))
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    texts = dict(data)
+    right = 0
+    for i, (n, key) in planted.items():
+        cut = [texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in f"{got[i].spans},{got[i].secrets}".split(",") if x]
+        right += n in cut and key in cut
+    assert right == len(planted)  # all of them are caught
+    assert not any(got[i].n_spans for i in range(440, 500))  # and every decoy is left alone
+
+
 def test_patterns_discover_what_no_form_knows(spark):
     from listwright.llm.op8_personal import personal_data
 
@@ -497,6 +792,30 @@ def test_near_duplicates(spark, docs, rows, width):
     assert classes(empty(docs), width).count() == 0
 
 
+def test_rows_without_an_id_are_no_cross_join(spark):
+    import time
+
+    from listwright.llm.op9_minmax import classes
+
+    texts = near_copies(600, 12, 9)
+    took = []
+    for ids in (lambda i: i, lambda i: None):
+        df = spark.createDataFrame([(ids(i), t) for i, t in enumerate(texts)], "doc_id long, text string")
+        began = time.time()
+        got = classes(df, 2).collect()
+        took.append(time.time() - began)
+        assert len(got) == 600 and len({r.root for r in got}) == len({r[2] for r in plain_classes([(i, t) for i, t in enumerate(texts)], 2, 80)})
+    assert took[1] < 3 * took[0] + 5
+
+
+def test_near_duplicates_of_large_ids_beside_null_ones(spark):
+    from listwright.llm.op9_minmax import classes
+
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "a b c d"), (None, "a b c d"), (big + 1, "x y")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in classes(df, 2).collect()) == [(0, big, False), (big, big, True), (big + 1, big + 1, True)]
+
+
 def test_components_of_a_chain(spark):
     from listwright.llm.common import components
 
@@ -539,7 +858,8 @@ def test_backoff_scores(docs, rows, order):
     from listwright.llm.op10_backoff import scores
 
     data = [(i, t) for i, t, _, _ in rows]
-    got = sorted(((r.doc_id, r.n_words, r.log10_score) for r in scores(docs, order=order, block_bytes=100_000).collect()), key=str)
+    got, far = (sorted(((r.doc_id, r.n_words, r.log10_score) for r in scores(docs, order=order, block_bytes=100_000, **more).collect()), key=str) for more in ({}, {"one_hop": 1}))
+    assert [x[:2] for x in far] == [x[:2] for x in got] and np.allclose([x[2] for x in far], [x[2] for x in got], rtol=1e-9)
     want = sorted(plain_scores(data, order, 0.4), key=str)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
