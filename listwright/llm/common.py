@@ -38,12 +38,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     The result has no lineage but the files, so a lost executor costs only the tasks it ran.
+    The files stay until discard or clean.
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{checkpoint_root(spark).rstrip('/')}/listwright/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes its tables."""
+    return f"{checkpoint_root(spark).rstrip('/')}/listwright/{spark.sparkContext.applicationId}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        removed(t.sparkSession, t._written)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables this application has written, once its results have been read."""
+    removed(spark, own_folder(spark))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -127,7 +151,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = nodes.select("node", F.col("node").alias("root"))
-    crossing = edges
+    crossing, past = edges, []
     for k in range(rounds):
         both = crossing.select("a", "b").union(crossing.select(F.col("b"), F.col("a"))).toDF("r", "q")
         up = both.groupBy("r").agg(F.min("q").alias("q")).select("r", F.least("r", "q").alias("p"))
@@ -135,10 +159,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             far = up.select(F.col("r").alias("p"), F.col("p").alias("pp"))
             up = up.join(far, "p", "left").select("r", F.coalesce("pp", "p").alias("p"))
         up = written(up, "parents")
+        past += [crossing, up]
         root = up.select(F.col("r").alias("root"), F.col("p"))
         labels = labels.join(root, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        if k % 4 == 3:
-            labels = written(labels, "labels")
         ends = up.select(F.col("r").alias("a"), F.col("p").alias("pa"))
         other = up.select(F.col("r").alias("b"), F.col("p").alias("pb"))
         crossing = written(
@@ -148,6 +171,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct(),
             "crossing",
         )
-        if crossing.isEmpty():
-            return written(labels, "labels")
+        done = crossing.isEmpty()
+        if done or k % 4 == 3:
+            labels = written(labels, "labels")
+            discard(*past)
+            past = [labels]
+        if done:
+            discard(crossing)
+            return labels
     raise RuntimeError(f"components: not settled in {rounds} rounds")

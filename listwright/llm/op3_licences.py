@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Licences and the wording of their notices and texts.
 TEMPLATES = (
@@ -232,6 +232,7 @@ def licences(docs: DataFrame, folder: Column | None = None, cosine: float = COSI
         F.min(best).alias("b"), F.max("said").alias("said"), F.first("n_words").alias("n")
     ).select("_row", F.col("b.license").alias("license"), (-F.col("b.o")).alias("score"), (F.col("said") >= file_share * F.col("n")).alias("file"))
     found = written(spoken.select("_row", "doc_id", "path").join(own, "_row", "left"), "own")
+    discard(held, spoken, tf, good)
     files = found.where("file").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("o"), "license")).alias("f")).select(
         F.col("path").alias("dir"), F.col("f.license").alias("dir_license"), (-F.col("f.o")).alias("dir_score")
     )

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import discard, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: All kinds that are learned; the last has seeds but no span of its own form.
@@ -207,13 +207,14 @@ def learned(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDE
     """
     edges = written(graph(docs).withColumn("_salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int")), "patterns")
     scores = edges.where("seed = 1").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    best = None
+    best, past = None, [edges]
     for k in range(rounds):
         # a frequent instance or pattern is spread over SALTS parts, and summed before it moves
         by = edges.join(salted(scores), ["instance", "kind", "_salt"], "left").groupBy("pattern", "kind").agg(
             F.count_if(F.col("score") >= 1.0).alias("support"), F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence")
         )
         best = written(by.where(F.col("support") >= support).select("pattern", "kind", "confidence"), "confidence")
+        past.append(best)
         if k + 1 == rounds or best.isEmpty():
             break
         sure = F.max(F.col("confidence") >= confidence)
@@ -222,7 +223,10 @@ def learned(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDE
             F.when(sure, 1.0).otherwise(F.least(chance, F.lit(0.999))).alias("score")
         )
         scores = written(scores.where("score >= 1").unionByName(derived).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
-    return best.where(F.col("confidence") >= confidence).select("pattern", "kind")
+        past.append(scores)
+    found = written(best.where(F.col("confidence") >= confidence).select("pattern", "kind"), "learned")
+    discard(*past)
+    return found
 
 
 def named(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
@@ -292,7 +296,7 @@ def personal_data(
     small_batches(docs.sparkSession)
     own = F.lit(None).cast("array<string>")
     if patterns is None:
-        found = written(learned(docs), "learned")
+        found = learned(docs)
         if (found.agg(F.sum(F.octet_length("pattern") + 32)).first()[0] or 0) <= pattern_bytes:
             patterns = sorted((r.pattern, r.kind) for r in found.collect())
         else:

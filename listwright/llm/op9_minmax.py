@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, components, hashing, mixed, word_hashes, written
+from .common import STEP, components, discard, hashing, mixed, word_hashes, written
 
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS // 2
@@ -193,7 +193,7 @@ def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and root (the class itself) of every row of docs.
+    """doc_id, n_shingles, component_id, kept, root (the class itself) and h (hash of the text) of every row of docs.
 
     Documents whose sets have 100 * intersection >= percent * union are linked; component_id
     is the smallest doc_id reachable.  Texts that are null or have no word have an empty set
@@ -214,10 +214,10 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         .where("members > 1")
     )
     buckets = written(member.join(sizes, ["band", "key"]), "buckets")
-    near = f"bit_count(k1 ^ hub.k1) + bit_count(k2 ^ hub.k2) <= {SKETCH_BITS}"
+    close = f"bit_count(k1 ^ hub.k1) + bit_count(k2 ^ hub.k2) <= {SKETCH_BITS}"
     alike = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
     stars = (
-        buckets.where(f"node != hub.node and {near} and {alike}")
+        buckets.where(f"node != hub.node and {close} and {alike}")
         .groupBy("node", F.col("hub.node").alias("other"))
         .agg(F.count("*").alias("shared"), F.min("band").alias("band"))
         .groupBy("node")
@@ -239,15 +239,15 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         "block", F.lit(0).alias("side"), F.col("other").alias("comp"), F.col("other").alias("node"), "s", "k1", "k2"
     )
     links = written(confirmed(first.drop("other").unionByName(hubs), percent), "links")
-    labels = components(links)
+    near = components(links)
 
     def root(df: DataFrame) -> DataFrame:
-        return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return df.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # components that still meet in a bucket: all others against the largest and each other
     comp = written(root(sets.select("node", F.octet_length("s").cast("long").alias("bytes"))), "components")
     total = comp.groupBy("root").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
-    met = written(root(buckets.select("band", "key", "node")).groupBy("band", "key", "root").agg(F.count("*").alias("here")), "met")
+    found = met = written(root(buckets.select("band", "key", "node")).groupBy("band", "key", "root").agg(F.count("*").alias("here")), "met")
     shared = total.select("root", "members").join(met.groupBy("root").agg(F.count("*").alias("weight")), "root")
     met = looked_up(met.drop("here"), shared, "root")
     largest = met.groupBy("band", "key").agg(
@@ -257,7 +257,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     apart = written(apart, "apart")
     # a grid of blocks for each of these: what meets it, by itself and what meets it
     left = spread(comp.selectExpr("root as small", "node", "bytes"), apart, "small", F.col("node")).selectExpr("big", "small as comp", "node", "bytes")
-    left = written(left, "left")
+    meeting = left = written(left, "left")
     mine = spread(comp.selectExpr("root as big", "node"), apart.select("big").distinct(), "big", F.col("node")).selectExpr("big", "big as comp", "node")
     load = left.groupBy("big").agg(F.count("*").alias("n_left"), F.sum("bytes").alias("b_left")).join(total.withColumnRenamed("root", "big"), "big")
     load = load.selectExpr(
@@ -279,12 +279,13 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("weight"))
     of_node = looked_up(named.drop("doc_id"), least, "root").select("node", "root", "component_id", F.col("copies").alias("weight"))
     of_node = written(of_node, "classes")
-    thin = rows.select("doc_id", "n", "node")
+    discard(buckets, stars, sets, links, near, comp, found, apart, meeting, load, labels, named)
+    thin = rows.select("doc_id", "h", "n", "node")
     linked = looked_up(thin.where("node is not null"), of_node, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root"
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", "h"
     )
     alone = thin.where("node is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("root")
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("root"), "h"
     )
     return linked.unionByName(alone)
 

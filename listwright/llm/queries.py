@@ -64,7 +64,7 @@ def op8_bootstrapped_personal_data(spark: SparkSession, sf_dir: str) -> DataFram
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_minmax import classes
 
-    return classes(table(spark, sf_dir, "documents"), width=2, percent=80).drop("root")
+    return classes(table(spark, sf_dir, "documents"), width=2, percent=80).drop("root", "h")
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

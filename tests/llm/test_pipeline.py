@@ -40,6 +40,26 @@ def test_stages(spark, tmp_path):
     assert all(r.taken == r.size * r.repeats and 0 < r.repeats <= 3 for r in rows)
 
 
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("1 = 0").withColumn("root", F.lit(1)).withColumn("key", F.lit(2))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and out.columns[:5] == p.COLUMNS
+
+
+def test_an_id_with_several_texts_loses_no_text(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i}" for i in range(60))
+    data = [(3, long, "en", "s", 1), (5, "a text of its own that no other row has", "en", "s", 1), (5, long + " more", "en", "s", 1), (6, None, "en", "s", 1), (6, " ", "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for k in (1, 4):
+        got = Counter((r.doc_id, r.text) for r in p.near_dedup(spark, docs.repartition(k), SF).collect())
+        assert got == Counter({(3, long): 1, (5, data[1][1]): 1, (6, None): 1, (6, " "): 1, (None, None): 1})
+
+
 def test_run(spark):
     import corpus_pipeline as p
 
