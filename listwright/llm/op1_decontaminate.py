@@ -246,7 +246,7 @@ def joined(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     # a seed that many texts hold is spread over SALTS parts
     held = held.withColumn("_salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    pairs = held.join(asked.withColumn("_salt", salts), ["width", "seed", "_salt"]).groupBy("text_key", "item_id", "width", "n").agg(F.sum("times").alias("shared"))
+    pairs = held.join(asked.withColumn("_salt", salts).hint("merge"), ["width", "seed", "_salt"]).groupBy("text_key", "item_id", "width", "n").agg(F.sum("times").alias("shared"))
     pairs = pairs.where(F.col("shared") * F.col("width") >= share * F.col("n"))  # no tiling can cover more
     pairs = pairs.select("text_key", "item_id", "width").join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "text_key")
 
@@ -298,7 +298,7 @@ def contamination(
 
         found = docs.select(*keep, cover(text).alias("_hits"))
     else:
-        hits = joined(docs, items, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = joined(docs, items, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         dealt = docs.select(*keep, F.sha2(text.cast("binary"), 256).alias("text_key"), F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int").alias("_salt"))
         found = dealt.join(hits, ["text_key", "_salt"], "left").select(*keep, F.coalesce("_hits", F.array().cast(kind)).alias("_hits"))
     return found.select(

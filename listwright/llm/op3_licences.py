@@ -177,7 +177,8 @@ def passages(w: Column, anchors: dict[str, list[dict]]) -> Column:
 
 
 def salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Each row in SALTS parts, to be joined by sorting: its size is not known before it is exploded."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def licences(docs: DataFrame, folder: Column | None = None, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:

@@ -256,7 +256,8 @@ def all_spans(text: str | None, patterns: dict[str, list[int]]) -> tuple[list, l
 
 
 def salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Each row in SALTS parts, to be joined by sorting: its size is not known before it is exploded."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def matched(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
