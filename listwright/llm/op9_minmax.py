@@ -32,7 +32,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Sketches of 120 bits differ in 12 bits on average at similarity 0.8 (deviation 3.3).
 SKETCH_BITS = 30
 #: Nodes of a side of a block, and bytes of their sets.
-BLOCK, BLOCK_BYTES = 512, 8_000_000
+BLOCK, BLOCK_BYTES = 128, 8_000_000
 #: Parts of each row in joins on what many rows share.
 SALTS = 32
 #: Classes of over a 1 / HOT_KEYS of all rows are never dealt to one task.
@@ -293,7 +293,8 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 def spread(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
     """Inner join of rows with a smaller table, each key in SALTS parts, so that no key is dealt to one task."""
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return dealt.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+    parts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(parts.hint("merge"), [key, "_salt"]).drop("_salt")  # its size is not known before it is exploded
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
