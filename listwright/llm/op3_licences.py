@@ -2,9 +2,9 @@
 
 Templates are notices, SPDX lines and the texts of licences (of the long ones their heads).
 Words are weighed by term frequency and by an inverse document frequency counted over every
-word of all documents.  The rarest words of a template are its anchors: wherever two of them
-stand in a document as far apart as in the template, the passage of the template's length
-that they align with is held against it by cosine.  Equal passages are scored once.  A
+word of all documents.  The rarest words of a template that no match can do without are its
+anchors: wherever two of them stand in a document about as far apart as in the template, the
+passage of the template's length that they align with is held against it by cosine.  Equal passages are scored once.  A
 document of which a licence's passage makes up FILE_SHARE of the words is a licence file; it
 speaks for its directory and all below it that have none nearer.
 
@@ -98,8 +98,8 @@ SPDX = (
 )
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 COSINE, FILE_SHARE = 0.75, 0.1
-#: Anchors of a template: so many, and one more for every sixteen words; words by which they may be shifted.
-ANCHORS, SHIFT = 4, 2
+#: Words by which anchors may be shifted against each other.
+SHIFT = 2
 #: Parts of each row in joins on what many rows share.
 SALTS = 16
 ANCHOR_SCHEMA = "map<string, array<struct<t: int, o: int, l: int, mates: array<struct<d: int, term: string>>>>>"
@@ -132,18 +132,35 @@ def all_templates() -> list[tuple[str, list[str]]]:
     return named + [(x, plain_words(f"SPDX-License-Identifier: {x}")) for x in SPDX]
 
 
-def anchors_of(template: list[str], df: dict[str, int]) -> list[tuple[str, int]]:
-    """The rarest words of a template that occur in documents at all, and where they stand in it first."""
-    present = sorted((df[w], w) for w in set(template) if df.get(w))
-    return [(w, template.index(w)) for _, w in present[: ANCHORS + len(template) // 16]]
+def weights_of(template: list[str], df: dict[str, int], n: int) -> dict[str, float]:
+    """Term frequency times inverse document frequency of a template's words."""
+    return {x: template.count(x) * (log((n + 1.0) / (df.get(x, 0) + 1.0)) + 1.0) for x in sorted(set(template))}
 
 
-def anchor_map(templates: list[tuple[str, list[str]]], df: dict[str, int]) -> dict[str, list[dict]]:
+def anchors_of(template: list[str], df: dict[str, int], n: int, cosine: float) -> list[tuple[str, int]]:
+    """The anchors of a template that occur in documents at all, and where they stand in it first.
+
+    By Cauchy and Schwarz a passage that lacks words of a share 1 - cosine^2 of the template's
+    squared weights stays below the cosine.  The rarest words that hold more than that share,
+    even without the heaviest of them, are the anchors: a match has at least two of them.
+    """
+    weights = weights_of(template, df, n)
+    needed, held, heaviest, found = (1 - cosine * cosine) * sum(w * w for w in weights.values()), 0.0, 0.0, []
+    for x in sorted(weights, key=lambda x: (df.get(x, 0), x)):
+        found.append(x)
+        held += weights[x] ** 2
+        heaviest = max(heaviest, weights[x] ** 2)
+        if held - heaviest > needed:
+            break
+    return [(x, template.index(x)) for x in found if df.get(x)]
+
+
+def anchor_map(templates: list[tuple[str, list[str]]], df: dict[str, int], n: int, cosine: float) -> dict[str, list[dict]]:
     """By anchor: template, place in it, its length, and the other anchors with their distance."""
     found: dict[str, list[dict]] = {}
     for t, (_, template) in enumerate(templates):
-        mine = anchors_of(template, df)
-        for w, o in mine:
+        mine = anchors_of(template, df, n, cosine)
+        for w, o in mine if len(mine) > 1 else []:
             mates = [{"d": p - o, "term": x} for x, p in mine if x != w]
             found.setdefault(w, []).append({"t": t, "o": o, "l": len(template), "mates": mates})
     return found
@@ -202,14 +219,14 @@ def licences(docs: DataFrame, folder: Column | None = None, cosine: float = COSI
     df = {r.term: r.df for r in held.where(F.col("term").isin(vocabulary)).collect()}
     profile = []
     for t, (_, template) in enumerate(templates):
-        w = {x: template.count(x) * (log((n + 1.0) / (df.get(x, 0) + 1.0)) + 1.0) for x in sorted(set(template))}
+        w = weights_of(template, df, n)
         length = sum(v * v for v in w.values()) ** 0.5
         profile += [(t, x, v / length) for x, v in w.items()]
     weights = F.broadcast(spark.createDataFrame(profile, "t int, term string, tw double"))
     names = F.broadcast(spark.createDataFrame([(t, name, len(w)) for t, (name, w) in enumerate(templates)], "t int, license string, l int"))
 
     spoken = rows.withColumn("w", words(F.col("text"))).select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", "path", F.size("w").alias("n_words"), passages(F.col("w"), anchor_map(templates, df)).alias("found")
+        F.monotonically_increasing_id().alias("_row"), "doc_id", "path", F.size("w").alias("n_words"), passages(F.col("w"), anchor_map(templates, df, n, cosine)).alias("found")
     )
     spoken = written(spoken, "passages")  # from here on _row is fixed
     said = spoken.where(F.size("found") > 0).select("_row", "n_words", F.explode("found").alias("f")).select(

@@ -212,7 +212,7 @@ def test_url_filter(spark):
 
 def plain_licences(rows, cosine=0.75, share=0.1):
     """(license, score, origin, license_path) of every row (doc_id, text, path), from the definition."""
-    from listwright.llm.op3_licences import ANCHORS, SHIFT, all_templates
+    from listwright.llm.op3_licences import SHIFT, all_templates
 
     token = re.compile("[a-z0-9]+(?:[.-][a-z0-9]+)*")
     texts = [token.findall((t or "").lower()) for _, t, _ in rows]
@@ -224,7 +224,9 @@ def plain_licences(rows, cosine=0.75, share=0.1):
         good, said = [], 0
         for name, template in all_templates():
             u = vector(template)
-            anchors = [(x, template.index(x)) for _, x in sorted((df[x], x) for x in set(template) if df[x])[: ANCHORS + len(template) // 16]]
+            order = sorted(u, key=lambda x: (df[x], x))  # noqa: B023
+            enough = [k for k in range(1, len(order) + 1) if sum(u[x] ** 2 for x in order[:k]) - max(u[x] ** 2 for x in order[:k]) > (1 - cosine**2) * norm(u) ** 2]  # noqa: B023
+            anchors = [(x, template.index(x)) for x in order[: min(enough, default=len(order))] if df[x]]
             for x, o in anchors:
                 for p in (i for i, y in enumerate(w) if y == x):
                     if not any(z in w[max(0, p + q - o - SHIFT) : max(0, p + q - o + SHIFT + 1)] for z, q in anchors if z != x):
