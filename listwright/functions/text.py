@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .schema import SUFFIXES
 
-#: White space of the source's string functions (wider than Java's \s).
+#: The white space that is trimmed (wider than Java's \s), and the strings that count as domains and addresses.
 SPACE = r"[\s\u000B   -     　﻿]"
 SUFFIX = r"(?i)(?:\s*,?\s+(?:" + "|".join(re.escape(s).replace(r"\ ", " ") for s in SUFFIXES) + r")\.?)+\z"
 DOMAIN = r"(?i)^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\z"
@@ -125,6 +125,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part / F.when(whole > 0, whole) * 100 + 0.5)).otherwise(0).cast("int")
 
 
+def match_percent(score: Column) -> Column:
+    """A similarity as a whole per cent, rounded half up."""
+    return F.floor(score * 100 + 0.5).cast("int")
+
+
 def register_sql(spark: SparkSession) -> None:
     """The functions for SQL, as temporary SQL functions (inlined by the optimiser)."""
     word, head = r"regexp_extract(t, r'(?s)^\W*(.*)\z', 1)", r"regexp_extract(t, r'(?s)^(\W*)', 1)"

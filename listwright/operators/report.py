@@ -46,6 +46,11 @@ def export_rows(records: DataFrame, kind: str = "cleaned", rubric=None) -> DataF
     return rows.select("id", *[v.alias(h) for v, h in zip(values, EXPORT_HEADERS)])
 
 
+def export_counts(records: DataFrame, rubric=None) -> DataFrame:
+    """One row: rows of the cleaned export and of that of records that are not ready."""
+    return scored(active(records), rubric).agg(F.count("*").alias("cleaned"), F.count_if(~F.col("result.ready")).alias("needs_enrichment"))
+
+
 def csv_lines(export: DataFrame) -> DataFrame:
     """id and the line of each export row."""
     return export.select("id", text.csv_line(*[F.col(f"`{h}`") for h in EXPORT_HEADERS]).alias("line"))

@@ -27,39 +27,45 @@ class State:
     records: dict[int, tuple[str | None, int | None]] = field(default_factory=dict)
     groups: dict[str, str] = field(default_factory=dict)
 
-    def copy(self) -> State:
-        return State(dict(self.records), dict(self.groups))
-
 
 def key_of(ids: Iterable[int]) -> str:
     return "-".join(map(str, sorted(ids)))
 
 
 def fold_ledger(events: Iterable[Event]) -> State:
-    """State after all events; undo takes back the last one that changed anything and still stands."""
-    states = [State()]
+    """State after all events; undo takes back the last one that changed anything and still stands.
+
+    Every event that stands keeps what it overrode, so memory follows the number of changes.
+    """
+    now, stack = State(), []
+
+    def put(table: dict, key, value) -> tuple:
+        before = (table, key, key in table, table.get(key))
+        table[key] = value
+        return before
+
     for e in events:
         if e.action == "undo":
-            if len(states) > 1:
-                states.pop()
+            for table, key, present, old in reversed(stack.pop() if stack else []):
+                if present:
+                    table[key] = old
+                else:
+                    del table[key]
             continue
-        now = states[-1].copy()
         if e.action == "merge":
             primary = e.ids[0] if e.primary is None else e.primary
-            for i in e.ids:
-                if i != primary:
-                    now.records[i] = (now.records.get(i, (None, None))[0], primary)
-            now.groups[key_of(e.ids)] = "merged"
+            changed = [put(now.records, i, (now.records.get(i, (None, None))[0], primary)) for i in e.ids if i != primary]
+            changed.append(put(now.groups, key_of(e.ids), "merged"))
         elif e.action == "keep":
-            now.groups[key_of(e.ids)] = "kept-separate"
+            changed = [put(now.groups, key_of(e.ids), "kept-separate")]
         elif e.action == "discard":
             if e.ids[0] in now.records:
-                continue  # discarded already: nothing happens, nothing to undo
-            now.records[e.ids[0]] = ("manual", None)
+                continue  # excluded already: nothing happens, nothing to undo
+            changed = [put(now.records, e.ids[0], ("manual", None))]
         else:
             raise ValueError(f"unknown action {e.action}")
-        states.append(now)
-    return states[-1]
+        stack.append(changed)
+    return now
 
 
 def effects_frame(spark: SparkSession, state: State) -> DataFrame:

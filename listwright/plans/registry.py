@@ -18,7 +18,7 @@ LEADS = """
 SELECT c_custkey AS id,
   CASE c_custkey % 8 WHEN 0 THEN concat(upper(p_name), ', LLC') WHEN 1 THEN concat(p_name, ' Corp.') WHEN 2 THEN concat(p_name, ' Inc')
     WHEN 3 THEN upper(p_name) WHEN 4 THEN '' WHEN 5 THEN concat('  ', p_name, '  Holdings,  Ltd. ') WHEN 6 THEN concat(p_name, ' Group') ELSE p_name END AS company,
-  coalesce(url, '') AS domain,
+  CASE WHEN c_custkey % 13 = 5 THEN 'no site yet' ELSE coalesce(url, '') END AS domain,
   CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'not an address' WHEN 2 THEN concat(' Info@Mail', c_custkey % 97, '.Example.org') ELSE concat('user', c_custkey, '@www.firm', c_custkey % 211, '.com') END AS email,
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS "firstName", CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_mktsegment END AS "lastName",
   c_mktsegment AS title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('555-', c_custkey) END AS phone, p_type AS industry, concat(p_size, '') AS "employeeCount",
@@ -246,10 +246,10 @@ decided AS (SELECT r.* REPLACE (e.id IS NOT NULL AS excluded, e.exclude_reason A
 def decided(spark, sf_dir):
     """Every exact-domain set is merged into its smallest id; of the others each 17th is discarded."""
     r = lead_records(spark, sf_dir)
-    best = r.where("domain_extracted is not null").groupBy("domain_extracted").agg(F.min("id").alias("primary_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    merged = r.join(best, "domain_extracted").where("id <> primary_id").select("id", F.lit(None).cast("string").alias("exclude_reason"), F.col("primary_id").alias("merged_into"))
-    discarded = r.where("id % 17 = 0").join(merged, "id", "left_anti").select("id", F.lit("manual").alias("exclude_reason"), F.lit(None).cast("long").alias("merged_into"))
-    return review.apply_effects(r, merged.unionByName(discarded))
+    sets = r.where("domain_extracted is not null").groupBy("domain_extracted").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    events = [review.Event("merge", tuple(x.ids)) for x in sets.toLocalIterator()]
+    events += [review.Event("discard", (x.id,)) for x in r.where("id % 17 = 0").select("id").toLocalIterator()]
+    return review.apply_effects(r, review.effects_frame(spark, review.fold_ledger(events)))
 
 
 @query(f"{RECORDS} {_DECIDED} SELECT id, excluded, exclude_reason, coalesce(merged_into, -1) AS merged_into FROM decided")
@@ -282,6 +282,18 @@ def needs_enrichment(spark, sf_dir):
     return report.export_rows(decided(spark, sf_dir), "needs-enrichment")
 
 
+@query(f"""{RECORDS} {_DECIDED} {_scored(rubrics.DEFAULT, source='decided')} SELECT id + 1 AS "row", CASE WHEN {NAME} = '' THEN '(blank)' ELSE {NAME} END AS company,
+  CASE WHEN NOT excluded THEN 'active' WHEN merged_into IS NOT NULL THEN concat('merged → #', merged_into + 1) ELSE 'discarded' END AS status,
+  CASE WHEN ready THEN 'ready' ELSE concat(len(string_split(missing_required, '; ')), ' missing') END AS readiness FROM scored""")
+def preview_decided(spark, sf_dir):
+    return records.preview(decided(spark, sf_dir)).select("row", "company", "status", "readiness")
+
+
+@query(f"{RECORDS} {_DECIDED} {_scored(rubrics.DEFAULT, source='decided')} SELECT CAST(count_if(NOT excluded) AS BIGINT) AS cleaned, CAST(count_if(NOT excluded AND NOT ready) AS BIGINT) AS needs_enrichment FROM scored")
+def export_counts(spark, sf_dir):
+    return report.export_counts(decided(spark, sf_dir))
+
+
 def _escaped(v: str) -> str:
     v = f"coalesce(CAST({v} AS VARCHAR), '')"
     return f"CASE WHEN regexp_matches({v}, '[\",\\r\\n]') THEN concat('\"', replace({v}, '\"', '\"\"'), '\"') ELSE {v} END"
@@ -319,48 +331,81 @@ def candidate_pairs(spark, sf_dir):
 
 @query(f"{MATCHED.replace('{t}', '0.85')} SELECT id1, id2, reason, CASE reason WHEN 'exact-domain' THEN 'exact domain match' WHEN 'exact-name' THEN 'exact normalized-name match' ELSE 'fuzzy name match' END AS label, round(CASE WHEN reason = 'fuzzy-name' THEN sim ELSE 1.0 END, 6) AS score FROM matched WHERE reason IS NOT NULL")
 def pair_reasons(spark, sf_dir):
-    p = dedup.classified(dedup.candidate_pairs(lead_records(spark, sf_dir)))
+    p = dedup.matching_pairs(lead_records(spark, sf_dir))
     return p.select("id1", "id2", "reason", records.reason_label(F.col("reason")).alias("label"), F.round("score", 6).alias("score"))
 
 
 @query(f"{MATCHED.replace('{t}', '0.7')} SELECT id1, id2, round(sim, 6) AS score FROM matched WHERE reason = 'fuzzy-name'")
 def fuzzy_pairs_70(spark, sf_dir):
-    p = dedup.classified(dedup.candidate_pairs(lead_records(spark, sf_dir)), 0.7)
-    return p.where("reason = 'fuzzy-name'").select("id1", "id2", F.round("score", 6).alias("score"))
-
-
-@query()
+    return dedup.fuzzy_pairs(dedup.keyed(lead_records(spark, sf_dir)), 0.7).select("id1", "id2", F.round("score", 6).alias("score"))
+
+
+#: Groups by the definition: the pairs of each block one by one, in order, with the claims and groups so far as state.
+GROUPS = MATCHED.replace("{t}", "0.85").replace("WITH leads", "WITH RECURSIVE leads", 1) + """,
+steps AS (SELECT block, id1 AS a, id2 AS b, reason, CASE WHEN reason = 'fuzzy-name' THEN sim ELSE 1.0 END AS score, row_number() OVER (PARTITION BY block ORDER BY id1, id2) AS k
+  FROM matched WHERE reason IS NOT NULL),
+folded AS (
+  SELECT DISTINCT block, CAST(0 AS BIGINT) AS k, CAST(MAP {{}} AS MAP(BIGINT, INTEGER)) AS claimed, CAST([] AS STRUCT(ids BIGINT[], reason VARCHAR, score DOUBLE)[]) AS found FROM steps
+  UNION ALL
+  SELECT block, k, CASE WHEN skip THEN claimed ELSE map_concat(claimed, MAP {{a: coalesce(mine, CAST(len(found) + 1 AS INTEGER)), b: coalesce(mine, CAST(len(found) + 1 AS INTEGER))}}) END,
+    CASE WHEN skip THEN found WHEN mine IS NULL THEN list_append(found, {{'ids': [a, b], 'reason': reason, 'score': score}})
+      ELSE list_transform(found, lambda g, i: CASE WHEN i = mine THEN {{'ids': list_concat(list_concat(g.ids, CASE WHEN list_contains(g.ids, a) THEN [] ELSE [a] END), CASE WHEN list_contains(g.ids, b) THEN [] ELSE [b] END),
+        'reason': g.reason, 'score': greatest(g.score, score)}} ELSE g END) END
+  FROM (SELECT f.block, s.k, f.claimed, f.found, s.a, s.b, s.reason, s.score, coalesce(f.claimed[s.a], f.claimed[s.b]) AS mine, coalesce(f.claimed[s.a] = f.claimed[s.b], false) AS skip
+    FROM folded f JOIN steps s ON s.block = f.block AND s.k = f.k + 1)),
+listed AS (SELECT block, unnest(found) AS g, unnest(range(len(found))) AS local_no FROM folded JOIN (SELECT block, max(k) AS k FROM steps GROUP BY block) USING (block, k)),
+groups AS (SELECT block_first, CAST(local_no AS INTEGER) AS local_no, array_to_string(list_sort(g.ids), '-') AS group_key, g.ids AS ids, g.reason AS reason, g.score AS score
+  FROM listed JOIN (SELECT block, min(id) AS block_first FROM keyed GROUP BY block) USING (block))""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"{GROUPS} SELECT block_first, local_no, group_key, reason, CAST(len(ids) AS INTEGER) AS n, round(score, 6) AS score FROM groups")
 def duplicate_groups(spark, sf_dir):
     return dedup.find_duplicates(lead_records(spark, sf_dir))[0].select("block_first", "local_no", "group_key", "reason", F.size("ids").alias("n"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""{GROUPS}, members AS (SELECT group_key, reason, score, CAST(len(ids) AS INTEGER) AS group_size, unnest(ids) AS id, CAST(unnest(range(len(ids))) AS INTEGER) AS position FROM groups)
+SELECT group_key, position, m.id, reason, CAST(floor(score * 100 + 0.5) AS INTEGER) AS match_percent, group_size, normalized_company, domain_extracted FROM members m JOIN records r ON r.id = m.id""")
 def group_members(spark, sf_dir):
     r = lead_records(spark, sf_dir)
-    return dedup.group_members(dedup.find_duplicates(r)[0], r).select("group_key", "position", "id", "reason", "group_size", "normalized_company", "domain_extracted")
+    return dedup.group_members(dedup.find_duplicates(r)[0], r).select("group_key", "position", "id", "reason", "match_percent", "group_size", "normalized_company", "domain_extracted")
+
+
+def kept_apart(spark, groups: DataFrame, chosen: str) -> DataFrame:
+    """Resolutions of a ledger in which a reviewer keeps the chosen groups separate."""
+    events = [review.Event("keep", tuple(g.ids)) for g in groups.where(chosen).select("ids").toLocalIterator()]
+    return review.resolutions_frame(spark, review.fold_ledger(events))
 
 
-@query()
+@query(f"{GROUPS}" + _DECIDED + _scored(rubrics.DEFAULT, source="decided") + """ SELECT count(*) AS total, (SELECT 3 * count(DISTINCT country) FROM leads) AS malformed, (SELECT count(*) FROM groups) AS "groups",
+  (SELECT count(*) FROM groups WHERE reason <> 'exact-domain') AS unresolved, CAST(count_if(excluded) AS BIGINT) AS excluded, concat(count_if(ready AND NOT excluded), ' / ', count_if(NOT excluded)) AS ready,
+  CAST(count_if(domain <> '' AND domain_extracted IS NULL) AS BIGINT) AS unusable_domains FROM scored""")
 def kpi_row(spark, sf_dir):
-    r = lead_records(spark, sf_dir)
-    groups = dedup.find_duplicates(r)[0]
-    resolutions = groups.where("reason = 'exact-domain'").select("group_key", F.lit("merged").alias("resolution"))
-    malformed = leads.parse_texts(spark.createDataFrame([("x", "a,b\n1\n")], "source_file string, value string")).where("line is not null")
-    return report.kpi_row(decided(spark, sf_dir), malformed, groups, resolutions)
+    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0].persist()
+    malformed = leads.parse_texts(lead_text(spark, sf_dir)).where("line is not null")
+    return report.kpi_row(decided(spark, sf_dir), malformed, groups, kept_apart(spark, groups, "reason = 'exact-domain'"))
 
 
-@query()
+@query(f"{GROUPS} SELECT group_key, reason FROM groups WHERE local_no % 2 = 1")
 def unresolved_groups(spark, sf_dir):
-    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0]
-    resolutions = groups.where("local_no % 2 = 0").select("group_key", F.lit("kept-separate").alias("resolution"))
-    return review.unresolved(groups, resolutions).select("group_key", "reason")
+    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0].persist()
+    return review.unresolved(groups, kept_apart(spark, groups, "local_no % 2 = 0")).select("group_key", "reason")
 
 
-@query()
+@query(f"""{RECORDS} SELECT id, CASE WHEN id % 9 = 3 THEN 'manual' END AS exclude_reason, CAST(CASE WHEN id % 9 IN (3, 4) THEN id - id % 9 + 2 END AS BIGINT) AS merged_into FROM records WHERE id % 9 IN (3, 4)
+  AND id - id % 9 + 4 <= (SELECT max(id) FROM records) UNION ALL SELECT id, 'manual', NULL FROM records WHERE id % 9 = 3 AND id + 1 > (SELECT max(id) FROM records)""")
 def undo_fold(spark, sf_dir):
-    e = review.Event
-    state = review.fold_ledger([e("discard", (3,)), e("merge", (1, 2, 3), 1), e("keep", (4, 5)), e("undo"), e("discard", (3,)), e("discard", (6,)), e("undo")])
-    return review.apply_effects(lead_records(spark, sf_dir), review.effects_frame(spark, state)).where("excluded").select("id", "exclude_reason", "merged_into")
+    """Of every nine records the fourth is discarded, then merged with the fifth into the third; what else is done is undone."""
+    r = lead_records(spark, sf_dir)
+    ids = sorted(x.id for x in r.select("id").toLocalIterator())
+    e, events = review.Event, []
+    for i in ids:
+        if i % 9 == 3:
+            events.append(e("discard", (i,)))
+            if i < ids[-1]:
+                events += [e("merge", (i - 1, i, i + 1)), e("keep", (i, i + 1)), e("undo"), e("discard", (i + 1,))]
+        elif i % 9 == 7:
+            events += [e("discard", (i,)), e("undo"), e("merge", (i, i - 1), i - 1), e("undo")]
+    return review.apply_effects(r, review.effects_frame(spark, review.fold_ledger(events))).where("excluded").select("id", "exclude_reason", "merged_into")
 
 
 # Reading ------------------------------------------------------------------------------------------------
@@ -374,23 +419,45 @@ def lead_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select(F.col("country").alias("source_file"), F.concat(F.lit("Company Name,Website,E_mail,City\r\nonly,two\r\n  \r\n"), "body", F.lit('\r\n"open,b,c,d')).alias("value"))
 
 
-@query()
+@query(f"WITH leads AS ({LEADS}) SELECT country AS source_file, row_number() OVER (PARTITION BY country ORDER BY id) - 1 AS id, company, domain, email, city FROM leads")
 def parse_leads_csv(spark, sf_dir):
     p = leads.parse_texts(lead_text(spark, sf_dir)).where("id is not null")
     return p.select("source_file", "id", *[F.col("fields")[i].alias(n) for i, n in enumerate(("company", "domain", "email", "city"))])
 
 
-@query()
+@query(f"""WITH leads AS ({LEADS}), files AS (SELECT country AS source_file, CAST(count(*) + 4 AS INTEGER) AS last FROM leads GROUP BY country)
+SELECT source_file, 2 AS line, 'only,two' AS raw, 'Expected 4 columns, found 2.' AS reason FROM files
+UNION ALL SELECT source_file, last, 'open,b,c,d', 'Expected 4 columns, found 1.' FROM files
+UNION ALL SELECT source_file, last, '(end of file)', '{leads.UNTERMINATED}' FROM files""")
 def malformed_rows(spark, sf_dir):
     return leads.parse_texts(lead_text(spark, sf_dir)).where("line is not null").select("source_file", "line", "raw", "reason")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('company', 'Company Name', 'Account Name'), ('domain', 'Website / Domain', 'web-site'), ('email', 'Email', 'Work_Email'), ('firstName', 'First Name', 'first_name'),
+  ('lastName', 'Last Name', 'Surname'), ('title', 'Job Title', 'Role'), ('phone', 'Phone', NULL), ('industry', 'Industry', NULL), ('employeeCount', 'Employee Count', '# Employees'), ('country', 'Country', NULL),
+  ('state', 'State / Region', 'State/Province'), ('city', 'City', NULL), ('linkedin', 'LinkedIn URL', NULL)) t(field, label, header)""")
 def header_mapping(spark, sf_dir):
     found = mapping.suggest_mapping(["Account Name", "web-site", "E-mail", "Work_Email", "first_name", "Surname", "Role", "State/Province", "# Employees", "zip"])
     return spark.createDataFrame([(k, LABELS[k], h) for k, h in found.items()], "field string, label string, header string")
 
 
+@query("SELECT * FROM (VALUES ('  Company_Name ', 'company name'), ('E-mail', 'e mail'), ('# Employees', '# employees'), ('a - b__c', 'a b c'), ('', '')) t(header, normalized)")
+def normalized_headers(spark, sf_dir):
+    return spark.createDataFrame([(h, mapping.normalize_header(h)) for h in ("  Company_Name ", "E-mail", "# Employees", "a - b__c", "")], "header string, normalized string")
+
+
+@query("""SELECT * FROM (VALUES ('company', 25.0::DOUBLE, true, true), ('domain', 25.0, true, true), ('email', 20.0, true, true), ('firstName', 10.0, false, true), ('lastName', 10.0, false, true), ('title', 10.0, false, true),
+  ('phone', 5.0, false, false), ('industry', 5.0, false, false), ('employeeCount', 5.0, false, false), ('country', 5.0, false, false), ('state', 5.0, false, false), ('city', 5.0, false, false), ('linkedin', 5.0, false, false))
+  t(field, weight, required, included)""")
+def rubric_rows(spark, sf_dir):
+    return spark.createDataFrame([(i.field, float(i.weight), i.required, i.included) for i in rubrics.all_rows()], "field string, weight double, required boolean, included boolean")
+
+
+@query("SELECT * FROM (VALUES ('0.333', 0.5::DOUBLE, 0), ('0.876', 0.88, 0), ('2', 1.0, 2), ('12x', 1.0, 12), ('-3', 0.5, 0), ('x', NULL, 0)) t(typed, threshold, weight)")
+def typed_settings(spark, sf_dir):
+    return spark.createDataFrame([(v, dedup.clamp_threshold(v), rubrics.weight_from_text(v)) for v in ("0.333", "0.876", "2", "12x", "-3", "x")], "typed string, threshold double, weight int")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

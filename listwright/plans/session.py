@@ -28,6 +28,10 @@ class Workspace:
     def of_text(cls, spark: SparkSession, text: str) -> Workspace:
         return cls.of(spark, leads.leads_from_text(spark, text))
 
+    @classmethod
+    def sample(cls, spark: SparkSession) -> Workspace:
+        return cls.of(spark, leads.load_sample(spark))
+
     @classmethod
     def of(cls, spark: SparkSession, parsed: leads.Leads) -> Workspace:
         return cls(spark, parsed, mapping.suggest_mapping(parsed.headers))

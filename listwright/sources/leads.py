@@ -20,7 +20,10 @@ DELIMITERS = (",", ";", "\t")
 EXTENSIONS = ("csv", "tsv", "txt")
 LINE_END = re.compile(r"\r\n|\r|\n")
 INSIDE = re.compile(r'[^"]+|""|"')
+#: Messages of the reader.
 UNTERMINATED = "Unterminated quoted field at end of file — last record may be truncated."
+NOT_TEXT, EMPTY, NO_ROWS = "Input is not text.", "File is empty.", "File has no rows."
+RAGGED = "Expected {} columns, found {}."
 
 
 class ParseError(ValueError):
@@ -79,17 +82,17 @@ def records(text: str, delimiter: str) -> Iterator[tuple[int, list[str], int]]:
 def parse(text) -> Parsed:
     """Headers, well-formed rows and malformed ones; errors are values."""
     if not isinstance(text, str):
-        return Parsed(error="Input is not text.")
+        return Parsed(error=NOT_TEXT)
     text = strip_bom(text)
     if not text.strip(SPACES):
-        return Parsed(error="File is empty.")
+        return Parsed(error=EMPTY)
     out = Parsed(delimiter=detect_delimiter(text))
     found = list(records(text, out.delimiter))
     open_end = found[-1][2] if found else 0
     while found and found[-1][1] == [""]:
         found.pop()
     if not found:
-        out.error = "File has no rows."
+        out.error = NO_ROWS
         return out
     out.headers = [h.strip(SPACES) for h in found[0][1]]
     data, width = found[1:], len(out.headers)
@@ -100,7 +103,7 @@ def parse(text) -> Parsed:
         if len(fields) == width:
             out.rows.append(fields)
         else:
-            out.malformed.append((line, out.delimiter.join(fields), f"Expected {width} columns, found {len(fields)}."))
+            out.malformed.append((line, out.delimiter.join(fields), RAGGED.format(width, len(fields))))
     if open_end:
         out.malformed.append((data[-1][0] if data else open_end, "(end of file)", UNTERMINATED))
     return out
@@ -152,9 +155,10 @@ class Leads:
 
 def from_parsed(parsed: DataFrame) -> Leads:
     """Checks what an import needs: no parse error, headers, and at least one well-formed row."""
+    parsed = parsed.persist()  # parsed once, for these checks and what follows
     head = parsed.where("headers is not null").select("delimiter", "headers", "total", "error").first()
     if head is None:
-        raise ParseError("File is empty.")
+        raise ParseError(EMPTY)
     if head.error:
         raise ParseError(head.error)
     rows = parsed.where("id is not null").select("id", "fields")
@@ -175,6 +179,13 @@ def leads_from_text(spark: SparkSession, text: str) -> Leads:
     return from_parsed(parse_texts(spark.createDataFrame([("text", text)], "source_file string, value string")))
 
 
+def load_sample(spark: SparkSession) -> Leads:
+    """The list that comes with the package, read like any other text."""
+    from importlib.resources import files
+
+    return leads_from_text(spark, files("listwright.sources").joinpath("sample.csv").read_bytes().decode("utf-8"))
+
+
 def read_leads_fast(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """Spark's own CSV reader, for clean files only: splits, but has no malformed channel."""
     df = spark.read.csv(path, header=True, sep=delimiter, escape='"', multiLine=False)

@@ -37,6 +37,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["duplicate_groups", "group_members", "kpi_row", "unresolved_groups", "undo_fold", "parse_leads_csv", "malformed_rows", "header_mapping"])
-def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+def test_every_query_of_the_engine_has_sql_and_rows(spark):
+    from listwright.plans import registry
+
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert registry.queries()["invalid_domain_rows"](spark, SF).count() > 0
