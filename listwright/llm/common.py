@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,7 @@ def turn(owner: str, drop: Callable[[], None]) -> None:
         _HELD.pop(x)()
     _HELD[owner] = drop
     if others:
+        pa.default_memory_pool().release_unused()
         try:  # gives the memory back, where the C library can
             ctypes.CDLL(None).malloc_trim(0)
         except (OSError, AttributeError):
@@ -154,12 +156,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     crossing, past = edges, []
     for k in range(rounds):
         both = crossing.select("a", "b").union(crossing.select(F.col("b"), F.col("a"))).toDF("r", "q")
-        up = both.groupBy("r").agg(F.min("q").alias("q")).select("r", F.least("r", "q").alias("p"))
+        # a table by itself, so that Spark can split the rows of a frequent parent in the joins below
+        hooks = up = written(both.groupBy("r").agg(F.min("q").alias("q")).select("r", F.least("r", "q").alias("p")), "hooks")
         for _ in range(2):
             far = up.select(F.col("r").alias("p"), F.col("p").alias("pp"))
             up = up.join(far, "p", "left").select("r", F.coalesce("pp", "p").alias("p"))
         up = written(up, "parents")
-        past += [crossing, up]
+        past += [crossing, hooks, up]
         root = up.select(F.col("r").alias("root"), F.col("p"))
         labels = labels.join(root, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         ends = up.select(F.col("r").alias("a"), F.col("p").alias("pa"))
