@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, turn
 
 SPACE = "▁"
+#: Texts whose counts tell whether a model normalises them as is assumed here.
+PROBES = ("", "a", " a", "a  b ", "\tA\n\nb", "a" + SPACE + "b", "ﬁ é e\u0301 ２", "x\u00a0y\u3000z")
 #: Parts remembered by one Python worker, and the longest part that is remembered.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 48
 
@@ -57,7 +59,9 @@ class Vocabulary:
             raise ValueError(f"{path}: a piece has a space after another character")
         self.joined = joined
         self.pairs: dict[str, float] = {p: r for p, r in self.rank.items() if len(p) > 1}
-        self.longest = max(map(len, self.rank))
+        count = Counter(self)
+        if any(count.text(t) != len(model.encode(t)) for t in PROBES):
+            raise ValueError(f"{path}: the model normalises texts in another way than by one space in front")
 
     def merged(self, part: str) -> int:
         """Number of tokens of one part."""

@@ -3,11 +3,11 @@
 For each language a tree of byte contexts of order 0 to ORDER is counted on a bounded sample
 and then frozen.  The code length of a byte is that of its longest context that has seen it,
 plus the escapes of the longer ones (escape method C: distinct / (total + distinct)); a byte
-no context has seen costs log2(256) bits more.  A text is coded word by word with a space
-before and behind each, and contexts reach back to the space before the word, so a word's
-code length is exact wherever it stands and is worked out once per worker.  The language
-with the shortest code wins (ties: by code point); the score is its share when every
-language is equally likely beforehand.
+no context has seen costs log2(256) bits more.  Contexts reach over words, to the text's
+first byte at most, so the sum is the exact code length of the whole text.  It depends on a
+byte and its context alone, so a worker remembers it for those it has met, in a table of
+fixed size.  The language with the shortest code wins (ties: by code point); the score is its
+share when every language is equally likely beforehand.
 """
 
 from __future__ import annotations
@@ -28,31 +28,28 @@ from .common import small_batches, turn
 ORDER = 4
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
-#: Words, contexts with their byte, and code points of words that a worker remembers before it
-#: starts anew; code points of texts and bytes of words worked on at once.
-REMEMBERED, HELD, PART, PIECE = 200_000, 16_000_000, 8_000_000, 1 << 20
-#: A packed context: its bytes, and where its length stands.
-LOW, LENGTH = np.uint64((1 << 56) - 1), np.uint64(56)
+#: Bytes of the table of met contexts of a worker, and bytes of text worked on at once.
+HELD, PIECE = 48_000_000, 1 << 19
+#: A packed context: its bytes, and where its length stands; the mark of a place in use.
+LOW, LENGTH, USED = np.uint64((1 << 56) - 1), np.uint64(56), np.uint64(1 << 63)
 LETTER = regex.compile(r"\p{L}")
 
 
-def packed(words: list[str], order: int) -> Iterator[np.ndarray]:
-    """Every byte of the words and of the space behind each, with its context, a number each.
+def packed(text: bytes, order: int) -> Iterator[np.ndarray]:
+    """Every byte of a text with its context, a number each, in parts of PIECE bytes, in order.
 
-    The byte comes lowest, the order bytes before it above (none beyond the space before the
-    word), and the length of the context in the highest byte.  Parts of PIECE bytes, in order.
+    The byte comes lowest, the order bytes before it above (fewer at the text's begin), and
+    the length of the context in the highest byte.
     """
-    data = np.frombuffer(b" " + b" ".join(w.encode("utf-8", "surrogatepass") for w in words) + b" ", np.uint8)
-    for a in range(1, len(data), PIECE):
-        begin = max(0, a - 1 - order)
+    data = np.frombuffer(text, np.uint8)
+    for a in range(0, len(data), PIECE):
+        begin = max(0, a - order)
         part = data[begin : a + PIECE].astype(np.uint64)
-        at = np.arange(len(part))
-        space = np.maximum.accumulate(np.where(part == 32, at, 0))[:-1]
-        reach = np.minimum(at[1:] - space, order)
-        key = part[1:] | (reach.astype(np.uint64) << LENGTH)
-        for j in range(1, order + 1):
-            key[j - 1 :] |= np.where(reach[j - 1 :] >= j, part[: len(part) - j] << np.uint64(8 * j), np.uint64(0))
-        yield key[a - begin - 1 :]
+        reach = np.minimum(np.arange(begin, begin + len(part)), order)
+        key = part | (reach.astype(np.uint64) << LENGTH)
+        for j in range(1, min(order + 1, len(part))):
+            key[j:] |= part[: len(part) - j] << np.uint64(8 * j)
+        yield key[a - begin :]
 
 
 def cut(keys: np.ndarray, k: int) -> np.ndarray:
@@ -84,7 +81,7 @@ class Tree:
         self.waiting: list[np.ndarray] = []
 
     def learn(self, text: str) -> None:
-        for key in packed(text.split(), self.order):
+        for key in packed(text.encode("utf-8", "surrogatepass"), self.order):
             self.waiting.append(key)
             if sum(map(len, self.waiting)) > PIECE:
                 self.settle()
@@ -116,17 +113,16 @@ class Tree:
 
 
 class Model:
-    """Frozen trees of all languages, and the code lengths of words under each."""
+    """Frozen trees of all languages, and the code lengths of texts under each."""
 
     def __init__(self, languages: list[str], trees: list[tuple], order: int = ORDER):
         if order > 6:
             raise ValueError("a context and its byte must fit in seven bytes")
         self.languages, self.trees, self.order = languages, trees, order
-        self.grams = np.empty(0, np.uint64)  # packed contexts and bytes that were met, sorted
-        self.bits = np.empty((0, len(languages)))
-        self.rows: dict[str, int] = {}
-        self.held = 0
-        self.table = np.empty((0, len(languages)))
+        places = 1 << max(10, (HELD // (8 + 8 * max(1, len(languages)))).bit_length() - 1)
+        self.shift = np.uint64(64 - (places.bit_length() - 1))
+        self.met = np.zeros(places, np.uint64)  # packed contexts and bytes, each at the place of its hash
+        self.bits = np.zeros((places, len(languages)))
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Bits of the last byte of packed contexts and bytes, by language."""
@@ -144,70 +140,54 @@ class Model:
             column[left] += 8.0
         return out
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Bits of words (with the space behind each), by language."""
-        if len(words) == 1:
-            return sum(np.add.reduceat(self.coded(key), [0], axis=0) for key in packed(words, self.order))
-        key = np.concatenate(list(packed(words, self.order)))
-        ends = np.flatnonzero((key & np.uint64(255)) == 32)
-        return np.add.reduceat(self.coded(key), np.concatenate(([0], ends[:-1] + 1)), axis=0)
-
-    def coded(self, key: np.ndarray) -> np.ndarray:
-        """Bits of packed contexts and bytes, by language; new ones are remembered."""
-        if len(self.grams) > REMEMBERED:
-            self.grams, self.bits = self.grams[:0], self.bits[:0]
-        known, _ = find((self.grams, self.grams), key)
-        if not known.all():
-            new = np.unique(key[~known])
-            grams = np.concatenate((self.grams, new))
-            order = np.argsort(grams)
-            self.grams, self.bits = grams[order], np.concatenate((self.bits, self.costs(new)))[order]
-        return self.bits[np.searchsorted(self.grams, key)]
-
-    def learn(self, texts: list[str]) -> None:
-        """Works out the words of some texts that are not known yet, many together."""
-        if len(self.rows) > REMEMBERED or self.held > HELD:
-            self.rows.clear()
-            self.held = 0
-        if not self.rows:
-            self.table = self.table[:0]
-        new = set()
-        for text in texts:
-            new.update(text.split())
-        part, size, parts = [], 0, [self.table]
-        for w in [w for w in new if w not in self.rows] + [""]:
-            if part and (not w or size + len(w) > PIECE // 4):
-                parts.append(self.words(part))
-                part, size = [], 0
-            if w:
-                self.rows[w] = len(self.rows)
-                self.held += len(w)
-                part.append(w)
-                size += len(w) + 1
-        self.table = np.concatenate(parts)
-
-    def text(self, text: str) -> np.ndarray:
-        """Code length of a text in bits, by language; its words must be known."""
-        words = text.split()
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+    def coded(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of packed contexts and bytes, by language; new ones take the place of what had their hash."""
+        place = (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        out = self.bits[place]
+        missed = np.flatnonzero(self.met[place] != keys | USED)
+        if len(missed):
+            new, where = np.unique(keys[missed], return_inverse=True)
+            costs = self.costs(new)
+            out[missed] = costs[where]
+            place = (new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+            _, last = np.unique(place[::-1], return_index=True)  # one of those that share a place
+            last = len(place) - 1 - last
+            self.met[place[last]], self.bits[place[last]] = new[last] | USED, costs[last]
+        return out
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Code lengths of texts (not empty) in bits, by language; short ones are worked on together."""
+        out = np.zeros((len(texts), len(self.languages)))
+        keys: list[np.ndarray] = []
+        of: list[int] = []
+
+        def settle() -> None:
+            if keys:
+                starts = np.concatenate(([0], np.cumsum([len(k) for k in keys])[:-1]))
+                np.add.at(out, of, np.add.reduceat(self.coded(np.concatenate(keys)), starts, axis=0))
+                keys.clear()
+                of.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for key in packed(text.encode("utf-8", "surrogatepass"), self.order):
+                if size + len(key) > PIECE:
+                    settle()
+                    size = 0
+                keys.append(key)
+                of.append(i)
+                size += len(key)
+        settle()
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text; about PART code points of texts are held in words at once."""
-        out, part, size = [], [], 0
-        for text in [*texts, None]:
-            part.append(text if text and self.languages and LETTER.search(text) else None)
-            size += len(text or "")
-            if size > PART or len(out) + len(part) > len(texts):
-                self.learn([t for t in part if t])
-                for t in part:
-                    if not t:
-                        out.append(("und", 0.0))
-                        continue
-                    bits = self.text(t)
-                    best = int(bits.argmin())
-                    out.append((self.languages[best], float(1.0 / np.exp((bits[best] - bits) * log(2)).sum())))
-                part, size = [], 0
-        return out[: len(texts)]
+        """Language and score of each text."""
+        spoken = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        out = [("und", 0.0)] * len(texts)
+        for i, bits in zip(spoken, self.lengths([texts[i] for i in spoken])):
+            best = int(bits.argmin())
+            out[i] = (self.languages[best], float(1.0 / np.exp(np.minimum((bits[best] - bits) * log(2), 0)).sum()))
+        return out
 
 
 def remainder() -> F.Column:

@@ -513,9 +513,9 @@ def test_code_lengths_are_those_of_the_tree():
     code, escape = tree.freeze()
     model = Model(["en"], [(code, escape)], 3)
 
-    def plain(word):
-        w, bits = f" {word} ".encode(), 0.0
-        for i in range(1, len(w)):
+    def plain(text):
+        w, bits = text.encode(), 0.0
+        for i in range(len(w)):
             p, k = 1.0, min(3, i)
             while True:
                 context = w[i - k : i]
@@ -533,9 +533,26 @@ def test_code_lengths_are_those_of_the_tree():
             bits -= math.log2(p)
         return bits
 
-    for text in ("the cat", "zebra hat the", "ünïcode mat " * 3, "c"):
-        model.learn([text])
-        assert math.isclose(model.text(text)[0], sum(map(plain, text.split())), rel_tol=1e-9)
+    assert tree.counts[b"e ca"] == 1 and tree.counts[b"t "] == 2  # contexts reach over words
+    texts = ["the cat", "zebra hat  the\n", "ünïcode mat " * 3, *("thea"[:k] for k in range(1, 5)), " "]
+    for _ in range(2):
+        assert np.allclose(model.lengths(texts)[:, 0], list(map(plain, texts)), rtol=1e-12)
+
+
+def test_code_lengths_do_not_depend_on_what_a_worker_remembers(monkeypatch):
+    from listwright.llm import op7_language as op7
+
+    trees = []
+    for text in ("the cat sat on the mat and more of it", "der hund lief im wald und noch mehr"):
+        tree = op7.Tree(4)
+        tree.learn(text)
+        trees.append(tree.freeze())
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("the cat mandrwu\n"), rng.integers(1, 3000))) for _ in range(60)]
+    whole = op7.Model(["en", "de"], trees).lengths(texts)
+    monkeypatch.setattr(op7, "HELD", 1)  # the least table
+    monkeypatch.setattr(op7, "PIECE", 700)
+    assert np.allclose(op7.Model(["en", "de"], trees).lengths(texts), whole, rtol=1e-12)
 
 
 # 8 ---------------------------------------------------------------------------------------------
