@@ -63,7 +63,7 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
         done, ids, texts, size = 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            payload = zstandard.ZstdCompressor().compress(pickle.dumps((ids, texts)))
+            payload = zstandard.ZstdCompressor(level=9).compress(pickle.dumps((ids, texts)))
             return pa.RecordBatch.from_pylist([{"block": first + done, "n_words": sum(map(counted, texts)), "n_bytes": size, "payload": payload}], schema)
 
         for batch in batches:
