@@ -7,7 +7,8 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _MADE:
+        made.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def only_this(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes all tables written inside at its end, but those put into the list it gives."""
+    made, kept = [], []
+    _MADE.append(made)
+    try:
+        yield kept
+    finally:
+        _MADE.pop()
+        for path in set(made) - {t._written for t in kept}:
+            removed(spark, path)
+
+
 def own_folder(spark: SparkSession) -> str:
     """Where this application writes its tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/listwright/{spark.sparkContext.applicationId}"

@@ -30,15 +30,9 @@ REMEMBERED, REMEMBERED_CHARS = 600_000, 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
-    """Place of a public vocabulary file; the module lies in /opt/tokenizers."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        import importlib.util
-
-        spec = importlib.util.spec_from_file_location("public_tokenizers", "/opt/tokenizers/__init__.py")
-        public_tokenizers = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(public_tokenizers)
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

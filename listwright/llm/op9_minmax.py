@@ -31,7 +31,7 @@ BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Sketches of 120 bits differ in 12 bits on average at similarity 0.8 (deviation 3.3).
 SKETCH_BITS = 30
-#: Nodes of a side of a block, and bytes of their sets.
+#: Nodes of a side of a block at least (for larger groups the root of their number), and bytes of their sets at most.
 BLOCK, BLOCK_BYTES = 128, 8_000_000
 #: Parts of each row in joins on what many rows share.
 SALTS = 32
@@ -154,7 +154,7 @@ def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
     blocks(block, side, comp, node, s, k1, k2): every node of side 1 is held against every
     node of side 0, first by sketch; one link for two components is enough.  Nodes that stand
     on both sides of a grid are held against each other once.  A block has
-    about 2 * BLOCK rows, or 2 * BLOCK_BYTES of sets.
+    at most about 2 * BLOCK_BYTES of sets.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -261,8 +261,8 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     mine = spread(comp.selectExpr("root as big", "node"), apart.select("big").distinct(), "big", F.col("node")).selectExpr("big", "big as comp", "node")
     load = left.groupBy("big").agg(F.count("*").alias("n_left"), F.sum("bytes").alias("b_left")).join(total.withColumnRenamed("root", "big"), "big")
     load = load.selectExpr(
-        "big", f"greatest(ceil((n_left + members) / {BLOCK}), ceil((b_left + bytes) / {BLOCK_BYTES})) as ys",
-        f"greatest(ceil(n_left / {BLOCK}), ceil(b_left / {BLOCK_BYTES})) as xs",
+        "big", f"greatest(ceil((n_left + members) / greatest({BLOCK}, sqrt(n_left + members))), ceil((b_left + bytes) / {BLOCK_BYTES})) as ys",
+        f"greatest(ceil(n_left / greatest({BLOCK}, sqrt(n_left + members))), ceil(b_left / {BLOCK_BYTES})) as xs",
     )
     load = written(load, "load")
     part = "pmod(xxhash64(node), {0})"

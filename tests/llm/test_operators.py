@@ -811,6 +811,40 @@ def test_near_duplicates(spark, docs, rows, width):
     assert classes(empty(docs), width).count() == 0
 
 
+def exact_classes(rows, width):
+    """Smallest doc_id reachable over all pairs of similarity 0.8, from an index of the rarest shingles of each set."""
+    sets = {}
+    for i, text in rows:
+        w = words(lower(text))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    df, root, index = Counter(x for s in sets.values() for x in s), {i: i for i in sets}, defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        prefix = sorted(s, key=lambda x: (df[x], x))[: len(s) - -(-8 * len(s) // 10) + 1] if s else []
+        for j in {j for x in prefix for j in index[x]}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in prefix:
+            index[x].append(i)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_no_link_of_a_whole_table_is_lost(spark, width):
+    from listwright.llm.op9_minmax import classes
+
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    want = exact_classes([(r.doc_id, r.text) for r in docs.collect()], width)
+    assert {r.doc_id: r.component_id for r in classes(docs, width).collect()} == want
+
+
 def test_rows_without_an_id_are_no_cross_join(spark):
     import time
 

@@ -61,6 +61,15 @@ def test_an_id_with_several_texts_loses_no_text(spark):
 
 
 def test_run(spark):
-    import corpus_pipeline as p
+    import os
 
-    assert p.run(spark, SF).count() > 0
+    import corpus_pipeline as p
+    from listwright.llm.common import clean, own_folder
+
+    clean(spark)
+    out = p.run(spark, SF)
+    assert out.count() > 0
+    folder = own_folder(spark).removeprefix("file:")
+    assert [x.split("-")[0] for x in os.listdir(folder)] == ["mix"]  # nothing else is left behind
+    clean(spark)
+    assert not os.path.exists(folder)
