@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import written
+from listwright.llm.common import only_this, written
 from listwright.llm.op1_decontaminate import contamination
 from listwright.llm.op4_mixing import mixed
 from listwright.llm.op7_language import fit, predicted
@@ -89,7 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; of the tables written on the way only the last stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with only_this(spark) as last:
+        for name, stage in STAGES:
+            with only_this(spark) as kept:
+                docs = written(stage(spark, docs, sf_dir), name)
+                kept.append(docs)
+        last.append(docs)
     return docs
