@@ -1,8 +1,8 @@
 """Personal data: fixed forms, and identifiers that bootstrapped patterns discover.
 
-The fixed forms (email, ip, card, phone) and hexadecimal keys are the seeds.  Each occurrence
-of an identifier-like word induces lexical patterns: the words in front, the word behind and
-its own form.  Patterns and the instances they occur with make a graph, one for each kind an
+The fixed forms (email, ip, card, phone) and two forms of keys are the seeds.  Each occurrence
+of an identifier-like word induces lexical patterns: the words in front, the word behind, its own
+form and how it begins.  Patterns and the instances they occur with make a graph, one for each kind an
 instance could be; its scores are refined in Spark, and what patterns of high confidence
 discover is known in the next round.  In the end they mark the identifiers that no fixed form
 knows: a phone number that runs into an address, a card behind other digits, a key behind the
@@ -47,8 +47,11 @@ MARK = re.compile(r"[0-9@]\S*")
 RUNS = re.compile(r"([^\W\d_]+)|[0-9]+")
 NUMBER = re.compile(r"\+?[0-9][0-9 ().-]*[0-9]")
 NETWORK = re.compile(r"[0-9A-Fa-f.:]+(?:/[0-9]{1,3})?")
-KEY = re.compile(r"[A-Za-z0-9+/_=.-]+")
-SEED_KEY = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}")
+KEY, ALPHA = re.compile(r"[A-Za-z0-9+/_=.-]+"), re.compile(r"[A-Za-z]")
+#: Forms of keys that are seeds: hexadecimal ones of 16 digits or more, and the public form of access keys.
+SEED_KEY = re.compile(r"[0-9a-f]{16,128}|AKIA[0-9A-Z]{16}")
+#: A name and a mark in front of a value, as in user=x or Mail:x, belong to the words in front.
+ASSIGNED = re.compile(r"[A-Za-z_-]+[=:][\"'`(\[{<]*")
 OPENING, CLOSING = "\"'`([{<", "\"'`)]}>.,;:!?"
 
 
@@ -104,10 +107,10 @@ def shape(word: str) -> str:
 
 
 def patterns_of(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an occurrence: the word in front, the two in front, the word behind, and its form."""
+    """Lexical patterns of an occurrence: the word in front, the two in front, the word behind, its form, and how it begins."""
     front = [w.lower() for w in text[max(0, start - REACH) : start].rstrip(OPENING).split()[-2:]]
     behind = text[end : end + REACH].lstrip(CLOSING).split(None, 1)[:1]
-    found = ["S " + shape(text[start:end])[:REACH]]
+    found = ["S " + shape(text[start:end])[:REACH], "P " + text[start : min(end, start + 4)]]
     if front:
         found.append("L " + front[-1])
     if len(front) == 2:
@@ -130,7 +133,7 @@ def fits(word: str) -> int:
             bits |= 4
         if 7 <= n <= 15:
             bits |= 8
-    if n >= 4 and len(word) >= 16 and KEY.fullmatch(word) and len(word) - n >= 4:
+    if n >= 2 and len(word) >= 16 and KEY.fullmatch(word) and len(ALPHA.findall(word)) >= 2:
         bits |= 16
     return bits
 
@@ -159,6 +162,8 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[t
         for begin, _ in run:
             while begin < last and not (text[begin].isalnum() or text[begin] == "+"):
                 begin += 1
+            if m := ASSIGNED.match(text, begin, last):
+                begin = m.end()
             if not 4 <= last - begin <= LONGEST:
                 continue
             k = bisect.bisect_right(ends, begin)
@@ -200,20 +205,23 @@ def graph(docs: DataFrame) -> DataFrame:
 def learned(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """pattern and kind of all patterns of high confidence.
 
-    In every round a pattern that enough known instances support gets the mean score of all
-    instances that fit the kind as its confidence.  Instances of patterns of high confidence
+    In every round a pattern that enough known instances support gets as its confidence for a
+    kind the scores of its instances over their number, whatever kinds they fit: a word that
+    stands beside all kinds says nothing of any.  Instances of patterns of high confidence
     join the known ones, so that they support others in the next round; the score of the
     rest is the chance that at least one of their supported patterns is right.
     """
     edges = written(graph(docs).withColumn("_salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int")), "patterns")
     scores = edges.where("seed = 1").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    best, past = None, [edges]
+    total = written(edges.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("total")), "total")
+    best, past = None, [edges, total]
     for k in range(rounds):
         # a frequent instance or pattern is spread over SALTS parts, and summed before it moves
         by = edges.join(salted(scores), ["instance", "kind", "_salt"], "left").groupBy("pattern", "kind").agg(
-            F.count_if(F.col("score") >= 1.0).alias("support"), F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence")
+            F.count_if(F.col("score") >= 1.0).alias("support"), F.sum("score").alias("mass")
         )
-        best = written(by.where(F.col("support") >= support).select("pattern", "kind", "confidence"), "confidence")
+        by = by.where(F.col("support") >= support).join(total, "pattern")
+        best = written(by.select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence")), "confidence")
         past.append(best)
         if k + 1 == rounds or best.isEmpty():
             break

@@ -622,6 +622,11 @@ def plain_candidates(text, base):
                     b -= 1
                 while a < b and not (text[a].isalnum() or text[a] == "+"):
                     a += 1
+                name = re.match("[A-Za-z_-]+[=:]", text[a:b])
+                if name:  # a name and a mark belong to the words in front
+                    a += len(name[0])
+                    while a < b and text[a] in "\"'`([{<":
+                        a += 1
                 if 4 <= b - a <= 512 and not any(s < b and a < e for _, s, e in base) and fits(text[a:b]):
                     out.add((a, b, fits(text[a:b])))
     return out
@@ -641,7 +646,7 @@ def plain_personal(texts):
         for s, e, bits in plain_candidates(t, base):
             for k in range(5):
                 if bits >> k & 1:
-                    if k == 4 and re.fullmatch("[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", t[s:e]):
+                    if k == 4 and re.fullmatch("[0-9a-f]{16,128}|AKIA[0-9A-Z]{16}", t[s:e]):
                         known[t[s:e], k] = 1.0
                     for p in patterns_of(t, s, e):
                         edges[p, k].add(t[s:e])
@@ -650,7 +655,7 @@ def plain_personal(texts):
         best = {}
         for (p, k), words_ in edges.items():
             if sum(score.get((w, k), 0) >= 1 for w in words_) >= 5:
-                best[p, k] = sum(score.get((w, k), 0) for w in words_) / len(words_)
+                best[p, k] = sum(score.get((w, k), 0) for w in words_) / len(set().union(*(edges.get((p, x), ()) for x in range(5))))
         by = defaultdict(list)
         for (p, k), c in best.items():
             for w in edges[p, k]:
@@ -683,7 +688,7 @@ def test_candidates_equal_the_definition():
 
     rng = np.random.default_rng(12)
     for _ in range(3000):
-        text = "".join(rng.choice(list("ab@..-12345 +()\n\té=/:9  "), rng.integers(0, 70)))
+        text = "".join(rng.choice(list("ab@..-12345 +()\n\té=/:9  \"="), rng.integers(0, 70)))
         base = base_spans(text)
         found = list(candidates(text, base))
         assert set(found) == plain_candidates(text, base)
@@ -712,14 +717,15 @@ def test_bootstrapping_finds_planted_identifiers_and_little_else(spark):
     address = lambda: ".".join(str(rng.integers(10, 250)) for _ in range(4))
     data, planted = [], {}
     for i in range(400):
-        data.append((i, f"{fill()} {number()} {fill()} {address()} {fill()} api_key = \"{hexes(40)}\" {fill()}"))
+        data.append((i, f"{fill()} {number()} {fill()} {address()} {fill()} api_key{'=' if i % 2 else ' = '}\"{hexes(40)}\" {fill()}"))
     for i in range(400, 440):  # a number that runs into an address is no fixed form; nor is a key of other letters
-        n, key = number(), hexes(30).upper() + "G7H8"
-        data.append((i, f"{fill()} {n} {address()} {fill()} api_key = \"{key}\" {fill()}"))
+        n, key = number(), "Zq7" + hexes(30).upper() + "G7H8"
+        mark = " = \"" if i % 2 else "="
+        data.append((i, f"{fill()} {n} {address()} {fill()} api_key{mark}{key}\" {fill()}"))
         planted[i] = (n, key)
     for i in range(440, 500):  # decoys: long numbers without a check digit, versions, years
         digits = "".join(map(str, rng.integers(0, 10, 15)))
-        data.append((i, f"{fill()} version 10.4.2 of {rng.integers(1900, 2030)} {fill()} {digits}{next(c for c in '0123456789' if not plain_spans(digits + c))} {fill()}"))
+        data.append((i, f"{fill()} version 10.4.2 of {rng.integers(1900, 2030)} {fill()} {digits}{next(c for c in '0123456789' if not plain_spans(digits + c))} build=AB12-CD34-EF56-7788 {fill()}"))
     got = {r.doc_id: r for r in personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     texts = dict(data)
     right = 0
