@@ -29,7 +29,7 @@ ORDER = 4
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
 #: Bytes of the table of met contexts of a worker, and bytes of text worked on at once.
-HELD, PIECE = 48_000_000, 1 << 19
+HELD, PIECE = 24_000_000, 1 << 18
 #: A packed context: its bytes, and where its length stands; the mark of a place in use.
 LOW, LENGTH, USED = np.uint64((1 << 56) - 1), np.uint64(56), np.uint64(1 << 63)
 LETTER = regex.compile(r"\p{L}")
