@@ -128,6 +128,13 @@ def flow(supply: dict[tuple, int], quota: dict[str | None, int], costs: tuple[in
     return {p: net.left[a + 1] for a, p in zip(first, patterns)}
 
 
+def drawn(seed: int) -> Column:
+    """The first 60 bits of a seeded digest of id and text: the place of a document in the order of its pattern."""
+    text = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    whole = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED, keep: list[str] = ["doc_id"]) -> DataFrame:
     """The columns keep of every row of docs, with size, source, source_size, target, taken and repeats.
 
@@ -142,7 +149,7 @@ def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED,
     member = F.array(F.col("source").cast("string")) if memberships is None else memberships
     rows = docs.select(
         *keep, F.col("source").cast("string").alias("source"), F.array_sort(F.array_distinct(F.coalesce(member, F.array().cast("array<string>")))).alias("pattern"),
-        F.expr(words_sql("text")).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("o"),
+        F.expr(words_sql("text")).cast("long").alias("size"), drawn(seed).alias("o"),
     )
     rows = written(rows, "sizes")
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
@@ -163,15 +170,16 @@ def mixed(docs: DataFrame, memberships: Column | None = None, seed: int = SEED,
 
     # the documents of the last, partial repetition: running sums by cells of the hash, then
     # by cells of the one cell in which the rest runs out, then by document
-    cell = F.pmod(F.shiftrightunsigned("o", 52), F.lit(CELLS))
-    fine = F.pmod(F.shiftrightunsigned("o", 40), F.lit(CELLS))
+    cell = F.shiftright("o", 48)
+    fine = F.pmod(F.shiftright("o", 36), F.lit(CELLS))
     rows = rows.withColumn("cell", cell).withColumn("fine", fine)
     edge = running(rows.where("rest > 0"), "cell")
     rows = same(rows, F.broadcast(edge), "pattern", "left")
     inner = rows.where("cell = cell_edge and rest > 0").withColumn("rest", F.col("rest") - F.col("cell_before"))
     edge2 = running(inner, "fine")
     rows = same(rows, F.broadcast(edge2), "pattern", "left")
-    last = rows.where("rest > 0 and cell = cell_edge and fine = fine_edge")
+    # those without words change no sum and stop nothing
+    last = rows.where("rest > 0 and cell = cell_edge and fine = fine_edge and size > 0")
     by = Window.partitionBy("pattern").orderBy("o", "doc_id_", "size")
     # rows that are alike in all of this are one row of the window
     last = last.groupBy("pattern", "o", F.col(keep[0]).alias("doc_id_"), "size", "rest", "cell_before", "fine_before").agg(F.sum("size").alias("all"))

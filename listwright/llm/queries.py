@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,29 +72,19 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_backoff import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    # sums of logarithms differ in their last digits with the order they are added in
+    return scores(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("log10_score", "mean_log10")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-#: The rules of op2, longest first, and the list it stands in for.
-OP2_SQL = r"""
-WITH p AS (SELECT page_id,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT *, CASE
-    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-    WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-    WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-    WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-    host <> '' AND md5(host)[1:1] = '0' AS listed FROM p)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow'
-    WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bloom_cascade_url_filter": OP2_SQL}
+    return {
+        "op2_bloom_cascade_url_filter": oracles.OP2,
+        "op4_flow_mixing": oracles.OP4,
+        "op5_anisotropic_neighbours": oracles.OP5,
+        "op9_minmax_near_dedup": oracles.OP9,
+        "op10_stupid_backoff": oracles.OP10,
+    }
