@@ -19,8 +19,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers before it starts anew; longer words are not remembered.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
-#: Rows of an Arrow batch, where the session has not set a number of its own.
-BATCH = 2000
+#: Rows and bytes of an Arrow batch, where the session has not set numbers of its own.
+BATCH, BATCH_BYTES = 2000, 4_000_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -91,10 +91,10 @@ def clean(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH rows, as texts may be long, unless the session's number is not the usual one."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH))
+    """Arrow batches of BATCH rows and about BATCH_BYTES, as texts may be long, unless the session's numbers are not the usual ones."""
+    for key, usual, here in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(here))
 
 
 _HELD: dict[str, Callable[[], None]] = {}
