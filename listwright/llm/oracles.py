@@ -98,3 +98,32 @@ z AS (SELECT r, sum(log10(p)) AS z FROM p GROUP BY r)
 SELECT doc_id, len(w) AS n_words, round(coalesce(z, 0.0), 6) AS log10_score, CASE WHEN len(w) > 0 THEN round(z / len(w), 6) END AS mean_log10
 FROM d LEFT JOIN z USING (r)
 """
+
+#: Texts without white space; of equal ones the longest original stays, then the smallest id, and of rows alike in both any one.
+OP13 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size, row_number() OVER best = 1 AS kept, sha AS text_sha256
+FROM d WINDOW best AS (PARTITION BY sha ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
+#: Each row's next one of each kind by a window over the client's times, and joins from step to step.
+OP11 = """
+WITH r AS (SELECT client_id, epoch_us(arrived_at) AS t, bool_or(kind = 'view') AS v, bool_or(kind = 'click') AS c, bool_or(kind = 'purchase') AS p,
+    bool_or(kind = 'signup') AS s, bool_or(kind = 'error') AS e FROM clicks WHERE client_id IS NOT NULL AND arrived_at IS NOT NULL AND kind IS NOT NULL GROUP BY ALL),
+x AS (SELECT *, min(CASE WHEN v THEN t END) OVER later AS nv, min(CASE WHEN c THEN t END) OVER later AS nc, min(CASE WHEN p THEN t END) OVER later AS np,
+    min(CASE WHEN s THEN t END) OVER later AS ns, min(CASE WHEN e THEN t END) OVER later AS ne FROM r
+    WINDOW later AS (PARTITION BY client_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+y AS (SELECT 'A' AS funnel, client_id, t, v AS first, nc AS after1, nv AS after2, np AS after3, ne AS barred FROM x
+    UNION ALL SELECT 'B', client_id, t, s, nv, nc, np, ne FROM x UNION ALL SELECT 'C', client_id, t, c, nc, np, nv, ns FROM x),
+a1 AS (SELECT funnel, client_id, t AS t1, CASE WHEN after1 - t <= 300000000 AND NOT coalesce(barred <= after1, false) THEN after1 END AS t2 FROM y WHERE first),
+a2 AS (SELECT a1.*, CASE WHEN after2 - t1 <= 300000000 AND NOT coalesce(barred <= after2, false) THEN after2 END AS t3
+    FROM a1 LEFT JOIN y ON y.funnel = a1.funnel AND y.client_id = a1.client_id AND y.t = t2),
+a3 AS (SELECT a2.*, CASE WHEN after3 - t1 <= 300000000 AND NOT coalesce(barred <= after3, false) THEN after3 END AS t4
+    FROM a2 LEFT JOIN y ON y.funnel = a2.funnel AND y.client_id = a2.client_id AND y.t = t3),
+d AS (SELECT funnel, client_id, t2 - t1 AS d2, t3 - t2 AS d3, t4 - t3 AS d4 FROM a3),
+g AS (SELECT funnel, client_id, count(*) AS n1, count(d2) AS n2, count(d3) AS n3, count(d4) AS n4, list_sort(list(d2) FILTER (d2 IS NOT NULL)) AS l2,
+    list_sort(list(d3) FILTER (d3 IS NOT NULL)) AS l3, list_sort(list(d4) FILTER (d4 IS NOT NULL)) AS l4 FROM d GROUP BY ALL),
+h AS (SELECT *, CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INTEGER) AS deepest FROM g)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, l2[(25 * n2 + 99) // 100] AS t2, l3[(25 * n3 + 99) // 100] AS t3, l4[(25 * n4 + 99) // 100] AS t4,
+    count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM h
+"""

@@ -76,6 +76,24 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("log10_score", "mean_log10")})
 
 
+def op13_digest_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_exact_dedup import copies
+
+    return copies(table(spark, sf_dir, "documents"))
+
+
+def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_funnels import funnel_counts
+
+    return funnel_counts(table(spark, sf_dir, "clicks"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -87,4 +105,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_anisotropic_neighbours": oracles.OP5,
         "op9_minmax_near_dedup": oracles.OP9,
         "op10_stupid_backoff": oracles.OP10,
+        "op11_ordered_funnels": oracles.OP11,
+        "op13_digest_tree_dedup": oracles.OP13,
     }
