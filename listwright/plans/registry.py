@@ -11,6 +11,7 @@ from ..functions import rubric as rubrics
 from ..functions import text
 from ..functions.schema import KEYS, LABELS, SUFFIXES, column_of
 from ..operators import dedup, mapping, records, report, review
+from ..operators.lineage import cut
 from ..sources import leads
 
 #: A list of leads made of the star schema, in SQL that Spark and DuckDB both run.
@@ -246,10 +247,12 @@ decided AS (SELECT r.* REPLACE (e.id IS NOT NULL AS excluded, e.exclude_reason A
 def decided(spark, sf_dir):
     """Every exact-domain set is merged into its smallest id; of the others each 17th is discarded."""
     r = lead_records(spark, sf_dir)
-    sets = r.where("domain_extracted is not null").groupBy("domain_extracted").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
-    events = [review.Event("merge", tuple(x.ids)) for x in sets.toLocalIterator()]
-    events += [review.Event("discard", (x.id,)) for x in r.where("id % 17 = 0").select("id").toLocalIterator()]
-    return review.apply_effects(r, review.effects_frame(spark, review.fold_ledger(events)))
+    known = r.select("id", "domain_extracted")
+    sets = known.groupBy("domain_extracted").agg(F.min("id").alias("primary"), F.count("*").alias("n")).where("domain_extracted is not null and n > 1")
+    merges = known.join(sets, "domain_extracted").where("id <> primary").selectExpr("primary as seq", "'merge' as action", "id", "primary")
+    # behind all merges
+    discards = known.where("id % 17 = 0").selectExpr("(1L << 40) + id as seq", "'discard' as action", "id", "cast(null as bigint) as primary")
+    return review.apply_effects(r, review.effects(review.standing(merges.unionByName(discards))))
 
 
 @query(f"{RECORDS} {_DECIDED} SELECT id, excluded, exclude_reason, coalesce(merged_into, -1) AS merged_into FROM decided")
@@ -340,8 +343,8 @@ def fuzzy_pairs_70(spark, sf_dir):
     return dedup.fuzzy_pairs(dedup.keyed(lead_records(spark, sf_dir)), 0.7).select("id1", "id2", F.round("score", 6).alias("score"))
 
 
-#: Groups by the definition: the pairs of each block one by one, in order, with the claims and groups so far as state.
-GROUPS = MATCHED.replace("{t}", "0.85").replace("WITH leads", "WITH RECURSIVE leads", 1) + """,
+#: Groups by the definition: the pairs of each block one by one, in order, with the claims and groups so far as state; of matched and keyed.
+FOLDED = """
 steps AS (SELECT block, id1 AS a, id2 AS b, reason, CASE WHEN reason = 'fuzzy-name' THEN sim ELSE 1.0 END AS score, row_number() OVER (PARTITION BY block ORDER BY id1, id2) AS k
   FROM matched WHERE reason IS NOT NULL),
 folded AS (
@@ -356,6 +359,7 @@ folded AS (
 listed AS (SELECT block, unnest(found) AS g, unnest(range(len(found))) AS local_no FROM folded JOIN (SELECT block, max(k) AS k FROM steps GROUP BY block) USING (block, k)),
 groups AS (SELECT block_first, CAST(local_no AS INTEGER) AS local_no, array_to_string(list_sort(g.ids), '-') AS group_key, g.ids AS ids, g.reason AS reason, g.score AS score
   FROM listed JOIN (SELECT block, min(id) AS block_first FROM keyed GROUP BY block) USING (block))""".replace("{{", "{").replace("}}", "}")
+GROUPS = MATCHED.replace("{t}", "0.85").replace("WITH leads", "WITH RECURSIVE leads", 1) + "," + FOLDED
 
 
 @query(f"{GROUPS} SELECT block_first, local_no, group_key, reason, CAST(len(ids) AS INTEGER) AS n, round(score, 6) AS score FROM groups")
@@ -370,25 +374,25 @@ def group_members(spark, sf_dir):
     return dedup.group_members(dedup.find_duplicates(r)[0], r).select("group_key", "position", "id", "reason", "match_percent", "group_size", "normalized_company", "domain_extracted")
 
 
-def kept_apart(spark, groups: DataFrame, chosen: str) -> DataFrame:
+def kept_apart(groups: DataFrame, chosen: str) -> DataFrame:
     """Resolutions of a ledger in which a reviewer keeps the chosen groups separate."""
-    events = [review.Event("keep", tuple(g.ids)) for g in groups.where(chosen).select("ids").toLocalIterator()]
-    return review.resolutions_frame(spark, review.fold_ledger(events))
+    events = groups.where(chosen).select(F.xxhash64("group_key").alias("seq"), "group_key", F.lit("keep").alias("action"))
+    return review.resolutions(events, events.select("seq", "group_key"))
 
 
 @query(f"{GROUPS}" + _DECIDED + _scored(rubrics.DEFAULT, source="decided") + """ SELECT count(*) AS total, (SELECT 3 * count(DISTINCT country) FROM leads) AS malformed, (SELECT count(*) FROM groups) AS "groups",
   (SELECT count(*) FROM groups WHERE reason <> 'exact-domain') AS unresolved, CAST(count_if(excluded) AS BIGINT) AS excluded, concat(count_if(ready AND NOT excluded), ' / ', count_if(NOT excluded)) AS ready,
   CAST(count_if(domain <> '' AND domain_extracted IS NULL) AS BIGINT) AS unusable_domains FROM scored""")
 def kpi_row(spark, sf_dir):
-    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0].persist()
+    groups = cut(dedup.find_duplicates(lead_records(spark, sf_dir))[0].select("group_key", "reason"))
     malformed = leads.parse_texts(lead_text(spark, sf_dir)).where("line is not null")
-    return report.kpi_row(decided(spark, sf_dir), malformed, groups, kept_apart(spark, groups, "reason = 'exact-domain'"))
+    return report.kpi_row(decided(spark, sf_dir), malformed, groups, kept_apart(groups, "reason = 'exact-domain'"))
 
 
 @query(f"{GROUPS} SELECT group_key, reason FROM groups WHERE local_no % 2 = 1")
 def unresolved_groups(spark, sf_dir):
-    groups = dedup.find_duplicates(lead_records(spark, sf_dir))[0].persist()
-    return review.unresolved(groups, kept_apart(spark, groups, "local_no % 2 = 0")).select("group_key", "reason")
+    groups = cut(dedup.find_duplicates(lead_records(spark, sf_dir))[0].select("group_key", "reason", "local_no"))
+    return review.unresolved(groups, kept_apart(groups, "local_no % 2 = 0")).select("group_key", "reason")
 
 
 @query(f"""{RECORDS} SELECT id, CASE WHEN id % 9 = 3 THEN 'manual' END AS exclude_reason, CAST(CASE WHEN id % 9 IN (3, 4) THEN id - id % 9 + 2 END AS BIGINT) AS merged_into FROM records WHERE id % 9 IN (3, 4)
@@ -396,16 +400,17 @@ def unresolved_groups(spark, sf_dir):
 def undo_fold(spark, sf_dir):
     """Of every nine records the fourth is discarded, then merged with the fifth into the third; what else is done is undone."""
     r = lead_records(spark, sf_dir)
-    ids = sorted(x.id for x in r.select("id").toLocalIterator())
-    e, events = review.Event, []
-    for i in ids:
-        if i % 9 == 3:
-            events.append(e("discard", (i,)))
-            if i < ids[-1]:
-                events += [e("merge", (i - 1, i, i + 1)), e("keep", (i, i + 1)), e("undo"), e("discard", (i + 1,))]
-        elif i % 9 == 7:
-            events += [e("discard", (i,)), e("undo"), e("merge", (i, i - 1), i - 1), e("undo")]
-    return review.apply_effects(r, review.effects_frame(spark, review.fold_ledger(events))).where("excluded").select("id", "exclude_reason", "merged_into")
+    i = F.col("id")
+
+    def event(k, action, ids=(), primary=None):
+        listed = F.array(*ids).cast("array<bigint>")
+        return F.struct((i * 10 + k).alias("seq"), F.lit(action).alias("action"), listed.alias("ids"), F.lit(primary).cast("bigint").alias("primary"))
+
+    third = event(0, "discard", [i]), event(1, "merge", [i - 1, i, i + 1]), event(2, "keep", [i, i + 1]), event(3, "undo"), event(4, "discard", [i + 1])
+    seventh = event(0, "discard", [i]), event(1, "undo"), event(2, "merge", [i, i - 1], i - 1), event(3, "undo")
+    said = F.when(i % 9 == 3, F.when(i < F.col("most"), F.array(*third)).otherwise(F.array(third[0]))).when(i % 9 == 7, F.array(*seventh))
+    events = r.select("id").crossJoin(r.agg(F.max("id").alias("most"))).select(F.inline(said))  # one row
+    return review.apply_effects(r, review.effects(review.standing(review.touches(events)))).where("excluded").select("id", "exclude_reason", "merged_into")
 
 
 # Reading ------------------------------------------------------------------------------------------------
