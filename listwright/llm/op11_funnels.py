@@ -11,7 +11,8 @@ that something behind it is within the limit take it over.
 Every row then knows its successors.  An attempt follows them by lookups: a step's row is
 joined by (client, time) to the row that knows what comes next, and rows nobody reaches are
 never looked up.  Order statistics are found by counts in three digits of the time, the
-leading one first, so no group's times are ever brought together.
+leading one first, so no group's times are ever brought together.  All these joins are merges of
+shuffled rows: no side is sent to the executors whole, however small it may look.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def behind(summaries: DataFrame, kinds: int, fan: int = FAN) -> DataFrame:
         later = Window.partitionBy("client_id", block).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
         here = level.select("client_id", F.col("at").alias("place"), *[F.min(n).over(later).alias(f"_{n}") for n in names])
         # each later block starts behind every row of this one, so the least of both levels is the first
-        rows = rows.withColumn("place", F.floor(F.col("chunk") / step).cast("int")).join(here, ["client_id", "place"], "left")
+        rows = rows.withColumn("place", F.floor(F.col("chunk") / step).cast("int")).join(here.hint("merge"), ["client_id", "place"], "left")
         old = [c for c in rows.columns if c in ("later" + n[4:] for n in names)]
         rows = rows.select("client_id", "chunk", *[(F.least(f"later{n[4:]}", f"_{n}") if old else F.col(f"_{n}")).alias(f"later{n[4:]}") for n in names])
         if most // step < fan:
@@ -181,7 +182,7 @@ def successors(clicks: DataFrame, kinds: list[str], within: int, chunks: int | N
     names = [next_of(k) for k in range(n)]
     carried = behind(table.where("mask is null"), n, fan)
     rows = table.where("mask is not null")
-    ends = rows.where("open").join(carried, ["chunk", "client_id"], "left")
+    ends = rows.where("open").join(carried.hint("merge"), ["chunk", "client_id"], "left")
 
     def late(k: int) -> Column:
         away = F.col(f"later{k}") - F.col("t")
@@ -223,7 +224,7 @@ def attempts(rows: DataFrame, funnels: tuple[Funnel, ...], kinds: list[str], wit
         )
         if s < steps - 1:
             look = rows.select("client_id", F.col("t").alias("at"), *[next_of(k) for k in range(len(kinds))])
-            state = after.join(look, ["client_id", "at"])
+            state = after.join(look.hint("merge"), ["client_id", "at"])
         else:
             state = after
     return counts, state.select("f", "client_id", "d")
@@ -246,7 +247,7 @@ def order_statistics(times: DataFrame, by: list[str], percent: int, top: int) ->
             found = counted.groupBy(*by, digit.alias("digit")).agg(F.sum("c").alias("c"))
             extra = []
         else:
-            inside = counted.withColumn("above", F.shiftright("v", low + DIGIT)).join(sought, [*by, "above"])
+            inside = counted.withColumn("above", F.shiftright("v", low + DIGIT)).join(sought.hint("merge"), [*by, "above"])
             found = inside.groupBy(*by, "n", "rank", digit.alias("digit")).agg(F.sum("c").alias("c"))
             extra = ["n", "rank"]
         upto = Window.partitionBy(*by).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
@@ -279,7 +280,7 @@ def funnel_counts(clicks: DataFrame, funnels: tuple[Funnel, ...] = FUNNELS, with
     deepest = F.lit(1)
     for s in range(2, most + 1):
         deepest = F.when(F.col(f"n{s}") > 0, F.lit(s)).otherwise(deepest)
-    found = counts.join(wide, ["f", "client_id"], "left").withColumn("deepest", deepest.cast("int"))
+    found = counts.join(wide.hint("merge"), ["f", "client_id"], "left").withColumn("deepest", deepest.cast("int"))
     # a row for each funnel and depth
     depth = F.broadcast(found.groupBy("f", "deepest").agg(F.count("*").alias("same_depth")))
     name = F.element_at(F.array(*[F.lit(x.name) for x in funnels]), F.col("f") + 1)
