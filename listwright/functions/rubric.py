@@ -41,6 +41,11 @@ def weight_from_text(text: str) -> int:
     return max(0, int(m[1])) if m else 0
 
 
+def weight_of(c: Column) -> Column:
+    """weight_from_text of a column."""
+    return F.greatest(F.lit(0), F.coalesce(F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)))
+
+
 def active(items: list[Item]) -> list[Item]:
     return [i for i in items if i.included]
 

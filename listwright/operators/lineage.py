@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,7 +13,12 @@ def cut(df: DataFrame) -> DataFrame:
     Where nothing is set, a session on one machine gets a folder of its own; on a cluster,
     whose machines would not see it, that is an error.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see; cut() says what happens where none is set."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +27,4 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="listwright-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()

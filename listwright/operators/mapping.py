@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.schema import FIELDS, KEYS
 from ..sources.leads import SPACES
 
@@ -19,6 +20,22 @@ def normalize_header(h: str | None) -> str:
     return re.sub(f"[{SPACES}]+", " ", re.sub("[_-]+", " ", (h or "").strip(SPACES).lower()))
 
 
+def normalized_header(c: Column) -> Column:
+    """normalize_header of a column."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text.trimmed(c)), "[_-]+", " "), rf"{text.SPACE}+", " ")
+
+
+def place_of(headers: Column, key: str) -> Column:
+    """Where the value of a canonical field stands in a column of headers, from 1 (0: nowhere).
+
+    The first header that fits gives the name, the last header of that name the place.
+    """
+    aliases = next(a for k, _, a in FIELDS if k == key)
+    fits = F.filter(headers, lambda h: normalized_header(h).isin(*aliases))
+    last = F.size(headers) - F.array_position(F.reverse(headers), fits[0]) + 1
+    return F.when(F.size(fits) > 0, last).otherwise(0).cast("int")
+
+
 def suggest_mapping(headers: list[str]) -> dict[str, str | None]:
     """For each field the first header, not yet used, whose normal form is one of its aliases."""
     found: dict[str, str | None] = {}

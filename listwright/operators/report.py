@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rubric as rubrics
 from ..functions import text
 from ..functions.schema import EXPORT_HEADERS
+from ..sources.exports import write_lines
 from .records import active, scored, shown_name
 
 
@@ -67,12 +68,16 @@ def to_csv(headers: list[str] | tuple[str, ...], rows: list) -> str:
     return "\r\n".join(",".join(map(cell, line)) for line in lines)
 
 
+def header_line() -> str:
+    return to_csv(EXPORT_HEADERS, [])
+
+
 def export_text(records: DataFrame, kind: str = "cleaned", rubric=None) -> str:
     """The whole export as one text, in id order; for lists a person downloads."""
     rows = export_rows(records, kind, rubric).orderBy("id").drop("id")
     return to_csv(EXPORT_HEADERS, [list(r) for r in rows.toLocalIterator()])
 
 
-def write_export(records: DataFrame, path: str, kind: str = "cleaned", rubric=None) -> None:
-    """The export as text files in id order, for lists of any size; lines end as in export_text."""
-    csv_lines(export_rows(records, kind, rubric)).orderBy("id").select("line").write.option("lineSep", "\r\n").text(path)
+def write_export(records: DataFrame, path: str, kind: str = "cleaned", rubric=None, mode: str = "append") -> None:
+    """The export in parts in id order, for lists of any size; put together they are export_text, byte for byte."""
+    write_lines(csv_lines(export_rows(records, kind, rubric)).orderBy("id"), path, header_line(), mode)

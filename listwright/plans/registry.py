@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rubric as rubrics
 from ..functions import text
-from ..functions.schema import KEYS, LABELS, SUFFIXES, column_of
+from ..functions.schema import FIELDS, KEYS, LABELS, SUFFIXES, column_of
 from ..operators import dedup, mapping, records, report, review
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..sources import leads
+from ..sources.splits import read_lists
 
 #: A list of leads made of the star schema, in SQL that Spark and DuckDB both run.
 LEADS = """
@@ -438,29 +440,113 @@ def malformed_rows(spark, sf_dir):
     return leads.parse_texts(lead_text(spark, sf_dir)).where("line is not null").select("source_file", "line", "raw", "reason")
 
 
-@query("""SELECT * FROM (VALUES ('company', 'Company Name', 'Account Name'), ('domain', 'Website / Domain', 'web-site'), ('email', 'Email', 'Work_Email'), ('firstName', 'First Name', 'first_name'),
-  ('lastName', 'Last Name', 'Surname'), ('title', 'Job Title', 'Role'), ('phone', 'Phone', NULL), ('industry', 'Industry', NULL), ('employeeCount', 'Employee Count', '# Employees'), ('country', 'Country', NULL),
-  ('state', 'State / Region', 'State/Province'), ('city', 'City', NULL), ('linkedin', 'LinkedIn URL', NULL)) t(field, label, header)""")
+#: One text a nation: no text, empty and blank ones, one without rows, only headers, and a good one.
+_TEXTS = r"""CASE n_nationkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat(' ', chr(9), chr(10)) WHEN 3 THEN '""'
+  WHEN 4 THEN concat(n_name, ',x', chr(10)) ELSE concat(n_name, ',x', chr(10), '1,', n_name, chr(10), '2', chr(10)) END"""
+
+
+@query("""SELECT n_name AS source_file, CASE n_nationkey % 6 WHEN 0 THEN 'Input is not text.' WHEN 1 THEN 'File is empty.' WHEN 2 THEN 'File is empty.' WHEN 3 THEN 'File has no rows.' END AS error,
+  CAST(CASE n_nationkey % 6 WHEN 5 THEN 2 ELSE 0 END AS BIGINT) AS total, CASE WHEN n_nationkey % 6 > 3 THEN concat(n_name, '|x') ELSE '' END AS headers FROM nation""")
+def list_errors(spark, sf_dir):
+    texts = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source_file"), F.expr(_TEXTS).alias("value"))
+    return leads.parse_texts(texts).where("headers is not null").select("source_file", "error", "total", F.array_join("headers", "|").alias("headers"))
+
+
+def lead_files(spark: SparkSession, sf_dir: str) -> str:
+    """The leads as files, one a nation, each with its own delimiter and order of columns, some with a byte order mark; a glob of them."""
+    r = lead_rows(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"), F.col("n_nationkey").alias("n")), "country")
+    mark = F.element_at(F.array(*map(F.lit, leads.DELIMITERS)), F.col("n") % 3 + 1)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    named = F.col("id").cast("string"), F.col("company"), F.col("domain"), F.col("email"), F.col("country")
+    line = F.when(F.col("n") % 2 == 0, F.array_join(F.array(*map(quoted, named)), "\0")).otherwise(F.array_join(F.array(*map(quoted, reversed(named))), "\0"))
+    heads = [F.array(*map(F.lit, h)) for h in (("Phone", "Company_Name", "Web Site", "Work-Email", "Nation"), ("country", "EMAIL", "URL", " Employer ", "Mobile"))]
+    head = F.concat(F.when(F.col("n") % 4 == 0, "\ufeff").otherwise(""), F.array_join(F.when(F.col("n") % 2 == 0, heads[0]).otherwise(heads[1]), "\0"))
+    lines = r.select("country", "id", F.replace(line, F.lit("\0"), mark).alias("value"))
+    first = r.groupBy("country", "n").agg(F.lit(-1).cast("long").alias("id")).select("country", "id", F.replace(head, F.lit("\0"), mark).alias("value"))
+    folder = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    lines.union(first).repartition("country").sortWithinPartitions("country", "id").select("country", "value").write.partitionBy("country").option("lineSep", "\r\n").text(folder, compression="none")
+    return f"{folder}/*/*.txt"
+
+
+@query(f"""WITH leads AS ({LEADS}) SELECT id AS phone, {_trim('company')} AS company, {_trim('domain')} AS domain, {_trim('email')} AS email, country,
+  row_number() OVER (PARTITION BY country ORDER BY id) - 1 AS "row", dense_rank() OVER (ORDER BY country) - 1 AS list FROM (SELECT *, n_name AS country FROM (SELECT * EXCLUDE country, country AS n_name FROM leads))""")
+def lists_by_header(spark, sf_dir):
+    r = read_lists(spark, lead_files(spark, sf_dir))
+    trimmed = [text.trimmed(F.col(c)).alias(c) for c in ("company", "domain", "email")]
+    # the folders of names with spaces sort like the names
+    return r.select(F.col("phone").cast("long").alias("phone"), *trimmed, "country", "row", F.shiftright("id", 40).alias("list"))
+
+
+@query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT row_number() OVER (ORDER BY id) - 1 AS id, {', '.join(f'CAST({v} AS VARCHAR) AS c{k}' for k, v in enumerate(_EXPORT_VALUES))} FROM scored")
+def export_in_parts(spark, sf_dir):
+    """The export written in parts, and all parts read again: a part's header is the file's first line or nothing."""
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    report.write_export(lead_records(spark, sf_dir), folder)
+    lines = spark.read.option("lineSep", "\r\n").text(f"{folder}/*.csv").select(F.col("_metadata.file_path").alias("f"), "value").where(f"value <> '' and value <> '{report.header_line()}'")
+    # a part's lines are in order, and so are the names of the parts
+    order = Window.partitionBy("f").orderBy("k")
+    at = lines.withColumn("k", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(order))
+    before = at.groupBy("f").agg(F.max("n").alias("n")).select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    fields = F.from_csv("value", ", ".join(f"c{k} string" for k in range(len(report.EXPORT_HEADERS))), {"escape": '"', "emptyValue": "", "nullValue": "\0", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return at.join(before, "f").select((F.col("before") + F.col("n") - 1).alias("id"), fields.alias("v")).select("id", *[F.coalesce(f"v.c{k}", F.lit("")).alias(f"c{k}") for k in range(len(report.EXPORT_HEADERS))])
+
+
+@query(f"""SELECT group_key FROM ({GROUPS} SELECT group_key, reason FROM groups) WHERE group_key IN (SELECT group_key FROM ({GROUPS.replace('>= 0.85', '>= 0.95')} SELECT group_key FROM groups))""")
+def surviving_resolutions(spark, sf_dir):
+    """All groups are kept separate, then the threshold is raised: the resolutions of groups that still exist."""
+    r = lead_records(spark, sf_dir)
+    groups = cut(dedup.find_duplicates(r)[0].select("group_key"))
+    return review.surviving(kept_apart(groups, "true"), dedup.find_duplicates(r, 0.95)[0]).select("group_key")
+
+
+_HEADERS = """array(n_name, CASE n_nationkey % 3 WHEN 0 THEN 'Account_Name' WHEN 1 THEN ' company  NAME' ELSE 'Organisation' END,
+  CASE n_nationkey % 2 WHEN 0 THEN 'web-site' ELSE 'E-mail' END, CASE WHEN n_nationkey % 5 < 2 THEN 'Surname' ELSE 'web-site' END)"""
+
+
+def _normal(v: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({_trim(v)}), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')"
+
+
+_FIELDS = ", ".join(f"""('{k}', '{label}', [{', '.join(f"'{a}'" for a in aliases)}])""" for k, label, aliases in FIELDS)
+
+
+@query(f"""SELECT n_nationkey, field, label, list_filter(h, lambda x: list_contains(aliases, {_normal('x')}))[1] AS header
+  FROM (SELECT n_nationkey, {_HEADERS.replace('array(', '[', 1)[:-1]}] AS h FROM nation), (VALUES {_FIELDS}) t(field, label, aliases)""")
 def header_mapping(spark, sf_dir):
-    found = mapping.suggest_mapping(["Account Name", "web-site", "E-mail", "Work_Email", "first_name", "Surname", "Role", "State/Province", "# Employees", "zip"])
-    return spark.createDataFrame([(k, LABELS[k], h) for k, h in found.items()], "field string, label string, header string")
+    """Of each nation's headers the one that each field is suggested."""
+    h = table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_HEADERS).alias("h"))
+    place = {k: mapping.place_of(F.col("h"), k) for k in KEYS}
+    found = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(LABELS[k]).alias("label"), F.when(place[k] > 0, F.try_element_at("h", place[k])).alias("header")) for k in KEYS])
+    return h.select("n_nationkey", F.inline(found))
+
 
+_TYPES = "concat('  ', replace(p_type, ' ', '_-'), '  ', p_brand, '_')"
 
-@query("SELECT * FROM (VALUES ('  Company_Name ', 'company name'), ('E-mail', 'e mail'), ('# Employees', '# employees'), ('a - b__c', 'a b c'), ('', '')) t(header, normalized)")
+
+@query(f"SELECT DISTINCT header, {_normal('header')} AS normalized FROM (SELECT {_TYPES} AS header FROM part)")
 def normalized_headers(spark, sf_dir):
-    return spark.createDataFrame([(h, mapping.normalize_header(h)) for h in ("  Company_Name ", "E-mail", "# Employees", "a - b__c", "")], "header string, normalized string")
+    headers = table(spark, sf_dir, "part").select(F.expr(_TYPES).alias("header")).distinct()
+    return headers.select("header", mapping.normalized_header(F.col("header")).alias("normalized"))
 
 
-@query("""SELECT * FROM (VALUES ('company', 25.0::DOUBLE, true, true), ('domain', 25.0, true, true), ('email', 20.0, true, true), ('firstName', 10.0, false, true), ('lastName', 10.0, false, true), ('title', 10.0, false, true),
-  ('phone', 5.0, false, false), ('industry', 5.0, false, false), ('employeeCount', 5.0, false, false), ('country', 5.0, false, false), ('state', 5.0, false, false), ('city', 5.0, false, false), ('linkedin', 5.0, false, false))
-  t(field, weight, required, included)""")
+@query(f"""{RECORDS}, present AS (SELECT * FROM (VALUES {', '.join(f"('{i.field}', {float(i.weight)}::DOUBLE, {i.required}, {i.included})" for i in rubrics.all_rows())}) t(field, weight, required, included))
+  SELECT field, weight, required, included, CASE field {' '.join(f"WHEN '{k}' THEN (SELECT count(*) FROM records WHERE {_trim(_view(k))} <> '')" for k in KEYS)} END AS leads FROM present""")
 def rubric_rows(spark, sf_dir):
-    return spark.createDataFrame([(i.field, float(i.weight), i.required, i.included) for i in rubrics.all_rows()], "field string, weight double, required boolean, included boolean")
+    """The rows of the rubric, with the number of leads that have the field."""
+    view = records.score_view()
+    counts = lead_records(spark, sf_dir).agg(*[F.count_if(text.present(view[k])).alias(k) for k in KEYS])
+    rows = F.array(*[F.struct(F.lit(i.field).alias("field"), F.lit(float(i.weight)).alias("weight"), F.lit(i.required).alias("required"), F.lit(i.included).alias("included"), F.col(i.field).alias("leads")) for i in rubrics.all_rows()])
+    return counts.select(F.inline(rows))
+
+
+_TYPED = "concat(CASE WHEN c_custkey % 7 = 0 THEN '-' WHEN c_custkey % 11 = 0 THEN 'x' ELSE '' END, c_custkey % 3, CASE WHEN c_custkey % 2 = 0 THEN concat('.', c_custkey % 1000) ELSE '' END, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE ' ' END)"
 
 
-@query("SELECT * FROM (VALUES ('0.333', 0.5::DOUBLE, 0), ('0.876', 0.88, 0), ('2', 1.0, 2), ('12x', 1.0, 12), ('-3', 0.5, 0), ('x', NULL, 0)) t(typed, threshold, weight)")
+@query(rf"""SELECT c_custkey, typed, floor(least(1.0, greatest(0.5, try_cast(nullif(regexp_extract(typed, '^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+))', 1), '') AS DOUBLE))) * 100 + 0.5) / 100 AS threshold,
+  greatest(0, coalesce(try_cast(nullif(regexp_extract(typed, '^\s*([+-]?[0-9]+)', 1), '') AS INTEGER), 0)) AS weight FROM (SELECT c_custkey, {_TYPED} AS typed FROM customer)""".replace("floor(least", "CASE WHEN regexp_matches(typed, '^[+-]?[0-9]') THEN floor(least").replace("/ 100 AS threshold", "/ 100 END AS threshold"))
 def typed_settings(spark, sf_dir):
-    return spark.createDataFrame([(v, dedup.clamp_threshold(v), rubrics.weight_from_text(v)) for v in ("0.333", "0.876", "2", "12x", "-3", "x")], "typed string, threshold double, weight int")
+    typed = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_TYPED).alias("typed"))
+    return typed.select("c_custkey", "typed", dedup.clamped(F.col("typed")).alias("threshold"), rubrics.weight_of(F.col("typed")).alias("weight"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

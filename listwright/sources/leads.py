@@ -1,7 +1,7 @@
 """Tolerant reader of delimited contact lists.
 
-Files are read whole by Spark, so any file system it knows will do; quoted line ends make
-splits ambiguous, so a file is one task and many files run side by side.
+Rules and messages are here, for texts that are values; splits.py reads files by them, in as
+many tasks as a file has splits.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut
+
 SPACES = "\t\n\x0b\x0c\r \xa0                　﻿"
 DELIMITERS = (",", ";", "\t")
 EXTENSIONS = ("csv", "tsv", "txt")
@@ -155,7 +157,7 @@ class Leads:
 
 def from_parsed(parsed: DataFrame) -> Leads:
     """Checks what an import needs: no parse error, headers, and at least one well-formed row."""
-    parsed = parsed.persist()  # parsed once, for these checks and what follows
+    parsed = cut(parsed)  # parsed once, for these checks and what follows
     head = parsed.where("headers is not null").select("delimiter", "headers", "total", "error").first()
     if head is None:
         raise ParseError(EMPTY)
@@ -168,11 +170,12 @@ def from_parsed(parsed: DataFrame) -> Leads:
 
 
 def read_leads(spark: SparkSession, path: str) -> Leads:
-    """A csv, tsv or txt file (UTF-8; bytes that are not become U+FFFD)."""
+    """A csv, tsv or txt file of any size (UTF-8; bytes that are not become U+FFFD), read in splits."""
+    from .splits import split_leads
+
     if path.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
         raise ParseError("Only .csv, .tsv and .txt files are read.")
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    return from_parsed(parse_texts(texts))
+    return split_leads(spark, path)
 
 
 def leads_from_text(spark: SparkSession, text: str) -> Leads:
