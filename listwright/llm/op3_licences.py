@@ -96,6 +96,18 @@ SPDX = (
     "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
     "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+#: Names under which licences are mentioned in passing.
+NAMES = (
+    ("AGPL-3.0", ("AGPL v3", "AGPLv3", "AGPL-3.0", "Affero General Public License")), ("Apache-2.0", ("Apache", "Apache 2.0", "Apache-2.0", "Apache Software")),
+    ("BSD-2-Clause", ("BSD 2-Clause", "BSD-2-Clause", "2-clause BSD", "Simplified BSD", "FreeBSD")),
+    ("BSD-3-Clause", ("BSD 3-Clause", "BSD-3-Clause", "3-clause BSD", "New BSD", "Modified BSD")), ("BSL-1.0", ("Boost Software", "BSL-1.0")),
+    ("EPL-2.0", ("EPL 2.0", "EPL-2.0", "Eclipse Public")), ("GPL-2.0", ("GPL v2", "GPLv2", "GPL-2.0", "GPL version 2", "General Public License v2")),
+    ("GPL-3.0", ("GPL v3", "GPLv3", "GPL-3.0", "GPL version 3", "General Public License v3")), ("ISC", ("ISC",)),
+    ("LGPL-2.1", ("LGPL v2.1", "LGPLv2.1", "LGPL-2.1")), ("LGPL-3.0", ("LGPL v3", "LGPLv3", "LGPL-3.0")), ("MIT", ("MIT", "MIT/X11", "Expat")),
+    ("MPL-2.0", ("MPL 2.0", "MPL v2.0", "MPLv2", "MPL-2.0", "Mozilla Public License 2.0")), ("Unlicense", ("The Unlicense",)), ("Zlib", ("zlib", "zlib/libpng")),
+)
+#: How such a name stands in a sentence.
+MENTIONS = ("{} License", "{} Licence", "licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "license: {}", "GNU {}")
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 COSINE, FILE_SHARE = 0.75, 0.1
 #: Words by which anchors may be shifted against each other.
@@ -129,7 +141,10 @@ def plain_words(text: str) -> list[str]:
 def all_templates() -> list[tuple[str, list[str]]]:
     """Licence and words of every template."""
     named = [(name, plain_words(wording)) for name, wording in TEMPLATES]
-    return named + [(x, plain_words(f"SPDX-License-Identifier: {x}")) for x in SPDX]
+    spdx = [(x, plain_words(f"SPDX-License-Identifier: {x}")) for x in SPDX]
+    mentioned = [(name, tuple(plain_words(m.format(x)))) for name, forms in NAMES for x in forms for m in (*MENTIONS, "{}") if m != "GNU {}" or "GPL" in name]
+    # a mention has two words at least: a single one is found by cosine wherever it stands
+    return named + spdx + [(name, list(w)) for name, w in dict.fromkeys(mentioned) if len(w) > 1]
 
 
 def weights_of(template: list[str], df: dict[str, int], n: int) -> dict[str, float]:
