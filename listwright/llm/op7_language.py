@@ -197,20 +197,22 @@ def remainder() -> F.Column:
 def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from docs(doc_id, text, lang) whose crc32 remainder is not 0 and whose lang is not null.
 
-    The sample of a language is the first documents by hash of doc_id, sample_docs at most,
+    The sample of a language is the first documents by hash of doc_id and text, sample_docs at most,
     until their bytes exceed sample_bytes; documents larger than a tenth of that come last.
+    A drawn text is known again by its id, language, size and hash, so many texts under one id
+    are as many documents.
     """
     size = F.octet_length("text")
     known = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", "lang", size.alias("size"), (size > sample_bytes // 10).alias("large"), F.xxhash64("doc_id").alias("o")
-    )
-    by = Window.partitionBy("lang").orderBy("large", "o", "doc_id", "size")
+        "doc_id", "lang", size.alias("size"), (size > sample_bytes // 10).alias("large"), F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h")
+    ).distinct()
+    by = Window.partitionBy("lang").orderBy("large", "o", "h", "doc_id", "size")
     drawn = known.withColumn("k", F.row_number().over(by)).where(f"k <= {int(sample_docs)}")
     drawn = drawn.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    drawn = drawn.where(F.coalesce("sum", F.lit(0)) <= sample_bytes).select("doc_id", "lang", "size").distinct()
+    drawn = drawn.where(F.coalesce("sum", F.lit(0)) <= sample_bytes).select("doc_id", "lang", "size", "h")
     # sample_docs rows a language at most
-    texts = docs.where(remainder() != 0).withColumn("size", F.octet_length("text")).join(
-        F.broadcast(drawn), ["doc_id", "lang", "size"]
+    texts = docs.where(remainder() != 0).withColumns({"size": size, "h": F.xxhash64("text")}).join(
+        F.broadcast(drawn), ["doc_id", "lang", "size", "h"]
     )
     trees: dict[str, Tree] = {}
     for lang, text in sorted(texts.select("lang", "text").distinct().collect()):
