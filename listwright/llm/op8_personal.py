@@ -52,6 +52,7 @@ KEY, ALPHA = re.compile(r"[A-Za-z0-9+/_=.-]+"), re.compile(r"[A-Za-z]")
 SEED_KEY = re.compile(r"[0-9a-f]{16,128}|AKIA[0-9A-Z]{16}")
 #: A name and a mark in front of a value, as in user=x or Mail:x, belong to the words in front.
 ASSIGNED = re.compile(r"[A-Za-z_-]+[=:][\"'`(\[{<]*")
+WORDLIKE = re.compile(r"[^\W_]")
 OPENING, CLOSING = "\"'`([{<", "\"'`)]}>.,;:!?"
 
 
@@ -107,15 +108,18 @@ def shape(word: str) -> str:
 
 
 def patterns_of(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an occurrence: the word in front, the two in front, the word behind, its form, and how it begins."""
+    """Lexical patterns of an occurrence: the word in front, the two in front, the word behind, its form, and how it begins.
+
+    A mark by itself, such as = or %%, stands before and behind too many things to be one.
+    """
     front = [w.lower() for w in text[max(0, start - REACH) : start].rstrip(OPENING).split()[-2:]]
     behind = text[end : end + REACH].lstrip(CLOSING).split(None, 1)[:1]
     found = ["S " + shape(text[start:end])[:REACH], "P " + text[start : min(end, start + 4)]]
-    if front:
+    if front and WORDLIKE.search(front[-1]):
         found.append("L " + front[-1])
-    if len(front) == 2:
+    if len(front) == 2 and WORDLIKE.search(" ".join(front)):
         found.append("L " + " ".join(front))
-    if behind:
+    if behind and WORDLIKE.search(behind[0]):
         found.append("R " + behind[0].lower())
     return found
 
