@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers before it starts anew; longer words are not remembered.
@@ -24,16 +25,8 @@ BATCH = 2000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        root = tempfile.mkdtemp(prefix="listwright-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
+    """The folder all machines share: spark.checkpoint.dir; where that is unset, what shared_folder gives or says."""
+    return spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -444,6 +444,22 @@ def test_neighbours(spark):
     assert nearest(base.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 5e-322, 1e200])
+def test_neighbours_of_tiny_and_huge_vectors(spark, size):
+    from listwright.llm.op5_anisotropic import nearest
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(1, 300, (300, 6)).astype(float) * size if size > 1e-300 else rng.integers(1, 300, (300, 6)) * np.float64(5e-324)
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    unit = x / x.max()
+    assert len(got) == 30
+    for q in (0, 100, 200):
+        d = np.sqrt(((unit - unit[q]) ** 2).sum(axis=1))
+        mine = [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+        want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:10]
+        assert len(set(mine) & set(want)) >= 9 and all(r.score > 0 and math.isfinite(r.score) for r in got if r.query_id == q)
+
+
 def test_neighbours_of_odd_vectors(spark):
     from listwright.llm.op5_anisotropic import nearest
 
@@ -482,6 +498,18 @@ def test_token_counts(docs, rows):
 # 7 ---------------------------------------------------------------------------------------------
 
 
+def test_many_texts_under_one_id_stay_within_the_sample(spark, monkeypatch):
+    from listwright.llm import op7_language as op
+
+    taught = []
+    learn = op.Tree.learn
+    monkeypatch.setattr(op.Tree, "learn", lambda self, text: (taught.append(text), learn(self, text))[1])
+    held = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 5)
+    df = spark.range(3000).selectExpr(f"{held}L as doc_id", "concat('same length text ', lpad(id, 5, '0')) as text", "'xx' as lang")
+    model = op.fit(df.unionByName(df.limit(500)), sample_docs=200)
+    assert model.languages == ["xx"] and len(taught) == len(set(taught)) == 200
+
+
 def test_language(spark, docs):
     from listwright.llm.op7_language import languages
 
