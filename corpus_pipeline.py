@@ -32,15 +32,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stand in by a hash of their text, above all real ids.  Of rows that
     repeat a kept id in one class one stays; an id whose texts are of several classes stays
     once in each that it is the smallest id of.  Texts that are null or have no word are
-    near nothing and all stay.  Other columns than those of documents are dropped; an empty
-    table gives no rows.
+    near nothing and all stay.  Of rows of one id and class that differ the first by text,
+    source, language and size stays, so reruns agree.  Other columns than those of documents
+    are dropped; an empty table gives no rows.
     """
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     d = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("key"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     found = classes(d.where(worded).select(F.col("key").alias("doc_id"), "text"), width=5, percent=80)
     kept = found.where("kept").select(F.col("doc_id").alias("key"), "h", "root").distinct()
-    stays = d.where(worded).withColumn("h", F.xxhash64("text")).join(kept, ["key", "h"]).dropDuplicates(["key", "root"])
+    stays = d.where(worded).withColumn("h", F.xxhash64("text")).join(kept, ["key", "h"])
+    stays = stays.groupBy("key", "root").agg(F.min(F.struct("text", "source", "lang", "n_chars", "doc_id")).alias("r")).select("r.*")
     return stays.select(*COLUMNS).unionByName(d.where(~worded).select(*COLUMNS))
 
 
