@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from .common import small_batches, turn
 
 ORDER = 4
+#: Parts of a language that are ranked apart when its sample is drawn.
+PARTS = 64
 #: Bounds of the sample of each language: documents, and bytes of all but the first of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 200, 600_000
 #: Bytes of the table of met contexts of a worker, and bytes of text worked on at once.
@@ -206,8 +208,11 @@ def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sam
     known = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", "lang", size.alias("size"), (size > sample_bytes // 10).alias("large"), F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h")
     ).distinct()
-    by = Window.partitionBy("lang").orderBy("large", "o", "h", "doc_id", "size")
-    drawn = known.withColumn("k", F.row_number().over(by)).where(f"k <= {int(sample_docs)}")
+    order = "large", "o", "h", "doc_id", "size"
+    by, within = Window.partitionBy("lang").orderBy(*order), Window.partitionBy("lang", "part").orderBy(*order)
+    # the first of each of PARTS parts of a language, so its whole is never in one task, and of these the first
+    drawn = known.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("k", F.row_number().over(within)).where(f"k <= {int(sample_docs)}")
+    drawn = drawn.withColumn("k", F.row_number().over(by)).where(f"k <= {int(sample_docs)}")
     drawn = drawn.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     drawn = drawn.where(F.coalesce("sum", F.lit(0)) <= sample_bytes).select("doc_id", "lang", "size", "h")
     # sample_docs rows a language at most
