@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rubric as rubrics
@@ -78,6 +78,12 @@ def export_text(records: DataFrame, kind: str = "cleaned", rubric=None) -> str:
     return to_csv(EXPORT_HEADERS, [list(r) for r in rows.toLocalIterator()])
 
 
-def write_export(records: DataFrame, path: str, kind: str = "cleaned", rubric=None, mode: str = "append") -> None:
-    """The export in parts in id order, for lists of any size; put together they are export_text, byte for byte."""
-    write_lines(csv_lines(export_rows(records, kind, rubric)).orderBy("id"), path, header_line(), mode)
+def write_export(records: DataFrame, path: str, kind: str = "cleaned", rubric=None, mode: str = "append") -> int:
+    """The export in parts in id order, for lists of any size; put together they are export_text, byte for byte.
+
+    The number of rows it returns is observed as they are written.
+    """
+    seen = Observation()
+    rows = csv_lines(export_rows(records, kind, rubric)).orderBy("id").observe(seen, F.count(F.lit(1)).alias("rows"))
+    write_lines(rows, path, header_line(), mode)
+    return seen.get["rows"]

@@ -12,6 +12,7 @@ from ..functions import rubric as rubrics
 from ..functions import text
 from ..functions.schema import FIELDS, KEYS, LABELS, SUFFIXES, column_of
 from ..operators import dedup, mapping, records, report, review
+from ..operators.incremental import Matches
 from ..operators.lineage import cut, shared_folder
 from ..sources import leads
 from ..sources.splits import read_lists
@@ -369,6 +370,15 @@ def duplicate_groups(spark, sf_dir):
     return dedup.find_duplicates(lead_records(spark, sf_dir))[0].select("block_first", "local_no", "group_key", "reason", F.size("ids").alias("n"), F.round("score", 6).alias("score"))
 
 
+@query(f"{GROUPS} SELECT block_first, local_no, group_key, reason, CAST(len(ids) AS INTEGER) AS n, round(score, 6) AS score FROM groups")
+def groups_after_update(spark, sf_dir):
+    """Groups of most leads, brought up to date with the others: only blocks that get a lead are folded again."""
+    r = lead_records(spark, sf_dir)
+    matches = Matches.of(r.where("id % 97 <> 5"))
+    found = matches.add(r.where("id % 97 = 5"), cut(matches.groups()))[1]
+    return found.select("block_first", "local_no", "group_key", "reason", F.size("ids").alias("n"), F.round("score", 6).alias("score"))
+
+
 @query(f"""{GROUPS}, members AS (SELECT group_key, reason, score, CAST(len(ids) AS INTEGER) AS group_size, unnest(ids) AS id, CAST(unnest(range(len(ids))) AS INTEGER) AS position FROM groups)
 SELECT group_key, position, m.id, reason, CAST(floor(score * 100 + 0.5) AS INTEGER) AS match_percent, group_size, normalized_company, domain_extracted FROM members m JOIN records r ON r.id = m.id""")
 def group_members(spark, sf_dir):
@@ -432,6 +442,16 @@ def parse_leads_csv(spark, sf_dir):
     return p.select("source_file", "id", *[F.col("fields")[i].alias(n) for i, n in enumerate(("company", "domain", "email", "city"))])
 
 
+@query(f"WITH leads AS ({LEADS}) SELECT country AS source_file, row_number() OVER (PARTITION BY country ORDER BY id) - 1 AS id, company, domain, email, city, CAST(NULL AS VARCHAR) AS reason FROM leads "
+       "UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 2.' FROM leads GROUP BY country UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 1.' FROM leads GROUP BY country "
+       f"UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, '{leads.UNTERMINATED}' FROM leads GROUP BY country")
+def leads_table_function(spark, sf_dir):
+    """The reader as a table function in SQL: rows and malformed rows of each text."""
+    leads.register_table_function(spark)
+    return spark.sql("""SELECT source_file, l.id, l.fields[0] AS company, l.fields[1] AS domain, l.fields[2] AS email, l.fields[3] AS city, l.reason
+      FROM {texts} t, LATERAL leads(t.value) l""", texts=lead_text(spark, sf_dir))
+
+
 @query(f"""WITH leads AS ({LEADS}), files AS (SELECT country AS source_file, CAST(count(*) + 4 AS INTEGER) AS last FROM leads GROUP BY country)
 SELECT source_file, 2 AS line, 'only,two' AS raw, 'Expected 4 columns, found 2.' AS reason FROM files
 UNION ALL SELECT source_file, last, 'open,b,c,d', 'Expected 4 columns, found 1.' FROM files

@@ -140,6 +140,22 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     return texts.select("source_file", "value").mapInPandas(run, PARSED)
 
 
+class ListRows:
+    """Table function: a row for each well-formed record of a text (id and fields) and each malformed one (line, raw, reason)."""
+
+    def eval(self, text: str):
+        p = parse(text)
+        for i, fields in enumerate(p.rows):
+            yield i, fields, None, None, None
+        for line, raw, reason in p.malformed:
+            yield None, None, line, raw, reason
+
+
+def register_table_function(spark: SparkSession, name: str = "leads") -> None:
+    """SELECT ... FROM texts, LATERAL leads(texts.value): the reader's rules in SQL."""
+    spark.udtf.register(name, F.udtf(ListRows, returnType="id long, fields array<string>, line int, raw string, reason string"))
+
+
 @dataclass
 class Leads:
     """A parsed list: headers and delimiter as values, rows and malformed rows as DataFrames."""

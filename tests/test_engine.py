@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from listwright.functions import rubric, text
 from listwright.functions.schema import FIELDS, KEYS, LABELS, SUFFIXES
-from listwright.operators import dedup, mapping, records, report, review
+from listwright.operators import dedup, mapping, report, review
+from listwright.operators.lineage import cut
 from listwright.plans import registry
 from listwright.plans.session import Workspace
 from listwright.sources.leads import ParseError, detect_delimiter, parse, rows_to_maps
@@ -284,6 +285,27 @@ def test_many_components_of_one_block_are_dealt_out(spark):
     assert parts
 
 
+def test_groups_are_kept_up_to_date(spark):
+    from listwright.operators.incremental import Matches
+
+    df = table(spark, drawn(4, 120)).cache()
+    for threshold in (0.5, 0.85):
+        matches, groups = Matches.of(df.where("id % 5 <> 0")), None
+        groups = matches.groups(threshold)
+        matches, groups = matches.add(df.where("id % 5 = 0 and id < 70"), groups, threshold)
+        matches, groups = matches.add(df.where("id % 5 = 0 and id >= 70"), groups, threshold)
+        whole = listed(dedup.find_duplicates(df, threshold)[0])
+        assert listed(groups) == listed(matches.groups(threshold)) == whole
+    # a block that gets nothing new is not folded again
+    other = table(spark, [("zzz", "qqq.io", "")]).selectExpr("id + 1000 as id", "company", "domain", "email")
+    groups = cut(groups)
+    again = matches.add(other, groups)[1]
+    assert listed(again) == listed(groups)
+    with pytest.raises(ValueError):
+        matches.groups(0.4)
+    df.unpersist()
+
+
 def test_warning_and_thresholds(spark):
     df = table(spark, drawn(3, 30))
     assert dedup.find_duplicates(df)[1] is None and "30 rows" in dedup.find_duplicates(df, max_rows=29)[1] and dedup.find_duplicates(None) == (None, None)

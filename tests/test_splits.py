@@ -124,7 +124,7 @@ def test_exports_in_parts_are_the_file(spark, tmp_path):
     r = registry.lead_records(spark, "/root/testdata/sf0.001")
     for k, df in enumerate((r, r.where("1 = 0"))):
         path = tmp_path / f"out{k}"
-        report.write_export(df.repartition(3), str(path))
+        assert report.write_export(df.repartition(3), str(path)) == df.count()
         parts = sorted(path.iterdir())
         assert b"".join(p.read_bytes() for p in parts).decode() == report.export_text(df) and all(p.name.startswith("part-") for p in parts)
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
