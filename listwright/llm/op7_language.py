@@ -208,8 +208,8 @@ def fit(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sam
     known = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", "lang", size.alias("size"), (size > sample_bytes // 10).alias("large"), F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h")
     ).distinct()
-    order = "large", "o", "h", "doc_id", "size"
-    by, within = Window.partitionBy("lang").orderBy(*order), Window.partitionBy("lang", "part").orderBy(*order)
+    ranked = "large", "o", "h", "doc_id", "size"
+    by, within = Window.partitionBy("lang").orderBy(*ranked), Window.partitionBy("lang", "part").orderBy(*ranked)
     # the first of each of PARTS parts of a language, so its whole is never in one task, and of these the first
     drawn = known.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("k", F.row_number().over(within)).where(f"k <= {int(sample_docs)}")
     drawn = drawn.withColumn("k", F.row_number().over(by)).where(f"k <= {int(sample_docs)}")
