@@ -157,9 +157,12 @@ def anchors_of(template: list[str], df: dict[str, int], n: int, cosine: float) -
 
     By Cauchy and Schwarz a passage that lacks words of a share 1 - cosine^2 of the template's
     squared weights stays below the cosine.  The rarest words that hold more than that share,
-    even without the heaviest of them, are the anchors: a match has at least two of them.
+    even without the heaviest of them, are the anchors: a match has at least two of them.  A
+    template whose words that occur at all hold less than a share cosine^2 has no match.
     """
     weights = weights_of(template, df, n)
+    if sum(w * w for x, w in weights.items() if df.get(x)) < cosine * cosine * sum(w * w for w in weights.values()):
+        return []
     needed, held, heaviest, found = (1 - cosine * cosine) * sum(w * w for w in weights.values()), 0.0, 0.0, []
     for x in sorted(weights, key=lambda x: (df.get(x, 0), x)):
         found.append(x)
