@@ -443,12 +443,12 @@ def parse_leads_csv(spark, sf_dir):
 
 
 @query(f"WITH leads AS ({LEADS}) SELECT country AS source_file, row_number() OVER (PARTITION BY country ORDER BY id) - 1 AS id, company, domain, email, city, CAST(NULL AS VARCHAR) AS reason FROM leads "
-       "UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 2.' FROM leads GROUP BY country UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 1.' FROM leads GROUP BY country "
-       f"UNION ALL SELECT country, NULL, NULL, NULL, NULL, NULL, '{leads.UNTERMINATED}' FROM leads GROUP BY country")
+       "UNION ALL SELECT country, -1, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 2.' FROM leads GROUP BY country UNION ALL SELECT country, -1, NULL, NULL, NULL, NULL, 'Expected 4 columns, found 1.' FROM leads GROUP BY country "
+       f"UNION ALL SELECT country, -1, NULL, NULL, NULL, NULL, '{leads.UNTERMINATED}' FROM leads GROUP BY country")
 def leads_table_function(spark, sf_dir):
     """The reader as a table function in SQL: rows and malformed rows of each text."""
     leads.register_table_function(spark)
-    return spark.sql("""SELECT source_file, l.id, l.fields[0] AS company, l.fields[1] AS domain, l.fields[2] AS email, l.fields[3] AS city, l.reason
+    return spark.sql("""SELECT source_file, coalesce(l.id, -1) AS id, l.fields[0] AS company, l.fields[1] AS domain, l.fields[2] AS email, l.fields[3] AS city, l.reason
       FROM {texts} t, LATERAL leads(t.value) l""", texts=lead_text(spark, sf_dir))
 
 

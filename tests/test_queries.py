@@ -1,5 +1,6 @@
 """Every registered query that has SQL equals it on the smallest tables."""
 
+import numbers
 import os
 
 import pandas as pd
@@ -23,7 +24,10 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[str]:
     def plain(x):
-        return None if not isinstance(x, (list, tuple)) and pd.isna(x) else round(float(x), 5) if isinstance(x, float) else x
+        if isinstance(x, (list, tuple)):
+            return x
+        # columns of whole numbers with nulls come as floats from one side and not from the other
+        return None if pd.isna(x) else round(float(x), 5) if isinstance(x, numbers.Number) and not isinstance(x, bool) else x
 
     return sorted(str([plain(x) for x in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
