@@ -33,6 +33,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 SKETCH_BITS = 30
 #: Nodes of a side of a block at least (for larger groups the root of their number), and bytes of their sets at most.
 BLOCK, BLOCK_BYTES = 128, 8_000_000
+#: Nodes held against a hub in a block, and blocks of a hub that are dealt out together.
+STAR, SLAB = 32, 1024
 #: Parts of each row in joins on what many rows share.
 SALTS = 32
 #: Classes of over a 1 / HOT_KEYS of all rows are never dealt to one task.
@@ -192,6 +194,38 @@ def confirmed(blocks: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def hub_sizes(stars: DataFrame, star: int = STAR) -> DataFrame:
+    """Number of members (weight) and of blocks (parts) of each hub (other) of stars(node, n, other).
+
+    A hub has a block for every star members or BLOCK_BYTES of their sets of n hashes.
+    """
+    return stars.groupBy("other").agg(
+        F.count("*").alias("weight"), F.expr(f"greatest(ceil(count(*) / {star}), ceil(8 * sum(n) / {BLOCK_BYTES}))").alias("parts")
+    )
+
+
+def star_blocks(stars: DataFrame, sized: DataFrame, sets: DataFrame, slab: int = SLAB) -> DataFrame:
+    """Blocks, as confirmed takes them, of stars(node, n, other), nodes and a hub of theirs, under their hub_sizes.
+
+    A hub's set is sent once a block, not once a member.  Hubs of over slab blocks are dealt out slab by slab.
+    """
+
+    def block(part: Column) -> Column:
+        return F.concat("other", F.lit(b"/"), part.cast("string").cast("binary")).alias("block")
+
+    around = looked_up(stars, sized, "other").join(sets, "node").select(
+        block(F.pmod(F.xxhash64("node"), "parts")), F.lit(1).alias("side"), F.col("node").alias("comp"), "node", "s", "k1", "k2"
+    )
+    held = sized.join(sets.withColumnRenamed("node", "other"), "other")
+    few = held.where(F.col("parts") <= slab).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    many = held.where(F.col("parts") > slab).withColumn("slab", F.explode(F.expr(f"sequence(0, (parts - 1) div {slab})"))).repartition("other", "slab")
+    many = many.withColumn("part", F.explode(F.expr(f"sequence(slab * {slab}, least(parts, (slab + 1) * {slab}) - 1)"))).drop("slab")
+    hubs = few.unionByName(many).select(
+        block(F.col("part")), F.lit(0).alias("side"), F.col("other").alias("comp"), F.col("other").alias("node"), "s", "k1", "k2"
+    )
+    return around.unionByName(hubs)
+
+
 def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, root (the class itself) and h (hash of the text) of every row of docs.
 
@@ -219,10 +253,10 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     stars = (
         buckets.where(f"node != hub.node and {close} and {alike}")
         .groupBy("node", F.col("hub.node").alias("other"))
-        .agg(F.count("*").alias("shared"), F.min("band").alias("band"))
+        .agg(F.count("*").alias("shared"), F.max("n").alias("n"))
         .groupBy("node")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("o"), "other"))), 1, 4).alias("hubs"))
-        .select("node", F.explode("hubs.other").alias("other"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("o"), "other"))), 1, 4).alias("hubs"), F.max("n").alias("n"))
+        .select("node", "n", F.explode("hubs.other").alias("other"))
     )
     # a document has 24 hubs at most; the four it shares most bands with are tried first, and
     # what stays apart is compared in full below
@@ -230,15 +264,8 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "own", "k1", "k2")
     sets = written(sets_of(docs, wanted, width), "sets")
 
-    first = (
-        stars.join(sets, "node")
-        .select(F.concat("other", F.lit(b"/"), F.lpad(F.hex(F.pmod(F.xxhash64("node"), F.lit(1 << 30))), 8, "0").cast("binary").substr(F.lit(1), F.lit(5))).alias("block"),
-                F.lit(1).alias("side"), F.col("node").alias("comp"), "node", "s", "k1", "k2", "other")
-    )
-    hubs = first.select("block", "other").distinct().join(sets.withColumnRenamed("node", "other"), "other").select(
-        "block", F.lit(0).alias("side"), F.col("other").alias("comp"), F.col("other").alias("node"), "s", "k1", "k2"
-    )
-    links = written(confirmed(first.drop("other").unionByName(hubs), percent), "links")
+    sized = written(hub_sizes(stars), "sized")
+    links = written(confirmed(star_blocks(stars, sized, sets), percent), "links")
     near = components(links)
 
     def root(df: DataFrame) -> DataFrame:
@@ -279,7 +306,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("weight"))
     of_node = looked_up(named.drop("doc_id"), least, "root").select("node", "root", "component_id", F.col("copies").alias("weight"))
     of_node = written(of_node, "classes")
-    discard(buckets, stars, sets, links, near, comp, found, apart, meeting, load, labels, named)
+    discard(buckets, stars, sized, sets, links, near, comp, found, apart, meeting, load, labels, named)
     thin = rows.select("doc_id", "h", "n", "node")
     linked = looked_up(thin.where("node is not null"), of_node, "node").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", "h"

@@ -895,6 +895,27 @@ def test_rows_without_an_id_are_no_cross_join(spark):
     assert took[1] < 3 * took[0] + 5
 
 
+def test_a_hub_is_sent_once_a_block(spark):
+    from listwright.llm import op9_minmax as op
+
+    members = [(bytes([1, i // 250, i % 250]), 10, hub) for i in range(1000) for hub in (b"A", b"B") if hub == b"A" or i < 7]
+    stars = spark.createDataFrame(members, "node binary, n long, other binary").repartition(3)
+    nodes = {m[0] for m in members} | {b"A", b"B"}
+    sets = spark.createDataFrame([(x, x * 3, 1, 2) for x in nodes], "node binary, s binary, k1 long, k2 long")
+    sized = op.hub_sizes(stars, star=16).cache()
+    assert {(bytes(r.other), r.weight, r.parts) for r in sized.collect()} == {(b"A", 1000, 63), (b"B", 7, 1)}
+    large = op.hub_sizes(stars.withColumn("n", F.lit(op.BLOCK_BYTES // 8)))  # one set fills a block
+    assert {(bytes(r.other), r.parts) for r in large.collect()} == {(b"A", 1000), (b"B", 7)}
+    for slab in (1, 10, 62, 63, 1024):
+        got = [(bytes(r.block), r.side, bytes(r.comp), bytes(r.node), bytes(r.s)) for r in op.star_blocks(stars, sized, sets, slab).collect()]
+        assert all(comp == node and s == node * 3 for _, _, comp, node, s in got)
+        hubs = [(block, node) for block, side, _, node, _ in got if side == 0]
+        assert len(hubs) == len(set(hubs)) == 64
+        meeting = sorted((node, dict(hubs)[block]) for block, side, _, node, _ in got if side == 1)
+        assert meeting == sorted((node, hub) for node, _, hub in members)  # each meets its hub, once
+    sized.unpersist()
+
+
 def test_near_duplicates_of_large_ids_beside_null_ones(spark):
     from listwright.llm.op9_minmax import classes
 
