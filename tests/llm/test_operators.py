@@ -567,6 +567,58 @@ def test_code_lengths_are_those_of_the_tree():
         assert np.allclose(model.lengths(texts)[:, 0], list(map(plain, texts)), rtol=1e-12)
 
 
+class PlainMatching:
+    """Prediction by partial matching by the book, method C: a dict of followers a context, a byte at a time."""
+
+    def __init__(self, order, texts):
+        self.order, self.after = order, defaultdict(Counter)
+        for data in texts:
+            for i in range(len(data)):
+                for k in range(min(order, i) + 1):
+                    self.after[data[i - k : i]][data[i]] += 1
+
+    def bits(self, data):
+        out = []
+        for i, byte in enumerate(data):
+            p = 1 / 256
+            for k in range(min(self.order, i) + 1):  # from the shortest context to the longest
+                seen = self.after.get(data[i - k : i])
+                if seen:
+                    whole = sum(seen.values()) + len(seen)
+                    p = seen[byte] / whole if seen[byte] else p * len(seen) / whole
+            out.append(-math.log2(p))
+        return math.fsum(out)
+
+
+def test_the_whole_query_equals_a_plain_model(spark, tmp_path):
+    from listwright.llm.queries import queries
+
+    letters = re.compile(r"[^\W\d_]")
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("char_length(text) < 700 or text is null").limit(150)
+    odd = [(910001, None, "en", "s", 0), (910002, "1 2 3 -", "en", "s", 7), (910003, "a", None, "s", 1), (910004, "\u00fc\u4e2d \U0001f600 x", "zz", "s", 6)]
+    table.unionByName(spark.createDataFrame(odd, table.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    # all are below the bounds of the sample, so the models are those of all texts; equal texts of a language are learned once
+    taught = {(r.lang, r.text) for r in rows if r.doc_id is not None and not held(r.doc_id) and r.lang is not None and r.text and letters.search(r.text)}
+    per = Counter(lang for lang, _ in taught)
+    assert len(per) > 3 and max(per.values()) < 200
+    models = {x: PlainMatching(4, [t.encode() for lang, t in taught if lang == x]) for x in sorted(per)}
+    want = []
+    for r in rows:
+        if not r.text or not letters.search(r.text):
+            want.append((r.doc_id, held(r.doc_id), "und", 0.0))
+            continue
+        bits = {x: m.bits(r.text.encode()) for x, m in models.items()}
+        best = min(bits, key=lambda x: (bits[x], x))
+        want.append((r.doc_id, held(r.doc_id), best, 1 / math.fsum(2.0 ** (bits[best] - b) for b in bits.values())))
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in queries()["op7_ppm_language"](spark, str(tmp_path)).collect()]
+    got, want = (sorted(x, key=str) for x in (got, want))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-9)
+    assert any(x[1] for x in got) and any(x[2] == "und" for x in got)
+
+
 def test_code_lengths_do_not_depend_on_what_a_worker_remembers(monkeypatch):
     from listwright.llm import op7_language as op7
 
