@@ -15,7 +15,7 @@ from ..operators import dedup, mapping, records, report, review
 from ..operators.incremental import Matches
 from ..operators.lineage import cut, shared_folder
 from ..sources import leads
-from ..sources.splits import read_lists
+from ..sources.splits import list_summaries, read_lists
 
 #: A list of leads made of the star schema, in SQL that Spark and DuckDB both run.
 LEADS = """
@@ -472,8 +472,11 @@ def list_errors(spark, sf_dir):
     return leads.parse_texts(texts).where("headers is not null").select("source_file", "error", "total", F.array_join("headers", "|").alias("headers"))
 
 
-def lead_files(spark: SparkSession, sf_dir: str) -> str:
-    """The leads as files, one a nation, each with its own delimiter and order of columns, some with a byte order mark; a glob of them."""
+def lead_files(spark: SparkSession, sf_dir: str, ragged: bool = False) -> str:
+    """The leads as files, one a nation, each with its own delimiter and order of columns, some with a byte order mark; a glob of them.
+
+    ragged puts a short record behind every tenth id.
+    """
     r = lead_rows(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"), F.col("n_nationkey").alias("n")), "country")
     mark = F.element_at(F.array(*map(F.lit, leads.DELIMITERS)), F.col("n") % 3 + 1)
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
@@ -483,6 +486,8 @@ def lead_files(spark: SparkSession, sf_dir: str) -> str:
     head = F.concat(F.when(F.col("n") % 4 == 0, "\ufeff").otherwise(""), F.array_join(F.when(F.col("n") % 2 == 0, heads[0]).otherwise(heads[1]), "\0"))
     lines = r.select("country", "id", F.replace(line, F.lit("\0"), mark).alias("value"))
     first = r.groupBy("country", "n").agg(F.lit(-1).cast("long").alias("id")).select("country", "id", F.replace(head, F.lit("\0"), mark).alias("value"))
+    if ragged:
+        lines = lines.union(r.where("id % 10 = 0").select("country", "id", F.lit("short")))
     folder = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
     lines.union(first).repartition("country").sortWithinPartitions("country", "id").select("country", "value").write.partitionBy("country").option("lineSep", "\r\n").text(folder, compression="none")
     return f"{folder}/*/*.txt"
@@ -497,6 +502,14 @@ def lists_by_header(spark, sf_dir):
     return r.select(F.col("phone").cast("long").alias("phone"), *trimmed, "country", "row", F.shiftright("id", 40).alias("list"))
 
 
+@query(f"""WITH leads AS ({LEADS}) SELECT country AS source_file, count(*) AS "rows", ['comma', 'semicolon', 'tab'][n_nationkey % 3 + 1] AS delimiter,
+  count(*) FILTER (id % 10 = 0) AS malformed, CAST(NULL AS VARCHAR) AS error FROM leads JOIN nation ON n_name = country GROUP BY country, n_nationkey""")
+def parse_summaries(spark, sf_dir):
+    """What the reader says of each list: well-formed rows, delimiter, malformed records."""
+    told = list_summaries(spark, lead_files(spark, sf_dir, ragged=True))
+    return told.withColumn("source_file", F.url_decode(F.regexp_extract("source_file", "country=([^/]*)/", 1)))
+
+
 @query(f"{RECORDS} {_scored(rubrics.DEFAULT)} SELECT row_number() OVER (ORDER BY id) - 1 AS id, {', '.join(f'CAST({v} AS VARCHAR) AS c{k}' for k, v in enumerate(_EXPORT_VALUES))} FROM scored")
 def export_in_parts(spark, sf_dir):
     """The export written in parts, and all parts read again: a part's header is the file's first line or nothing."""

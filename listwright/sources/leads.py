@@ -19,6 +19,7 @@ from ..operators.lineage import cut
 
 SPACES = "\t\n\x0b\x0c\r \xa0                　﻿"
 DELIMITERS = (",", ";", "\t")
+DELIMITER_NAMES = dict(zip(DELIMITERS, ("comma", "semicolon", "tab")))
 EXTENSIONS = ("csv", "tsv", "txt")
 LINE_END = re.compile(r"\r\n|\r|\n")
 INSIDE = re.compile(r'[^"]+|""|"')
@@ -165,24 +166,28 @@ class Leads:
     total: int
     rows: DataFrame  # id, fields
     malformed: DataFrame  # line, raw, reason
+    n_rows: int  # counted by the job that checks the list
+    n_malformed: int
 
     def summary(self) -> str:
-        name = {",": "comma", ";": "semicolon", "\t": "tab"}[self.delimiter]
-        return f"{self.rows.count()} rows, {name} delimited, {self.malformed.count()} malformed"
+        return f"{self.n_rows} rows, {DELIMITER_NAMES[self.delimiter]} delimited, {self.n_malformed} malformed"
 
 
 def from_parsed(parsed: DataFrame) -> Leads:
     """Checks what an import needs: no parse error, headers, and at least one well-formed row."""
     parsed = cut(parsed)  # parsed once, for these checks and what follows
-    head = parsed.where("headers is not null").select("delimiter", "headers", "total", "error").first()
-    if head is None:
+    head = parsed.agg(
+        F.first(F.when(F.col("headers").isNotNull(), F.struct("delimiter", "headers", "total", "error")), True).alias("head"),
+        F.count("id").alias("n_rows"), F.count("line").alias("n_malformed"),
+    ).select("head.*", "n_rows", "n_malformed").first()
+    if head.headers is None:
         raise ParseError(EMPTY)
     if head.error:
         raise ParseError(head.error)
-    rows = parsed.where("id is not null").select("id", "fields")
-    if not head.headers or rows.isEmpty():
+    if not head.headers or not head.n_rows:
         raise ParseError("No data rows found.")
-    return Leads(list(head.headers), head.delimiter, head.total, rows, parsed.where("line is not null").select("line", "raw", "reason"))
+    rows, malformed = parsed.where("id is not null").select("id", "fields"), parsed.where("line is not null").select("line", "raw", "reason")
+    return Leads(list(head.headers), head.delimiter, head.total, rows, malformed, head.n_rows, head.n_malformed)
 
 
 def read_leads(spark: SparkSession, path: str) -> Leads:

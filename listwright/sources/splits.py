@@ -23,7 +23,7 @@ from ..functions import text as T
 from ..functions.schema import FIELDS
 from ..operators.lineage import cut
 from ..operators.mapping import place_of
-from .leads import EMPTY, EXTENSIONS, NO_ROWS, RAGGED, SPACES, UNTERMINATED, Leads, ParseError, detect_delimiter, records
+from .leads import DELIMITER_NAMES, EMPTY, EXTENSIONS, NO_ROWS, RAGGED, SPACES, UNTERMINATED, Leads, ParseError, detect_delimiter, records
 
 #: Ranges up to this number go to the tasks as a small table, as the scheduler's own list of them does.
 RANGES_SENT = 200_000
@@ -199,21 +199,46 @@ def split_leads(spark: SparkSession, path: str) -> Leads:
     head = heads[0]
     found = numbered(found, F.lit(True)).withColumnRenamed("id", "n")  # n = 0: the headers
     alone = (F.size("fields") == 1) & (F.col("fields")[0] == "")
-    ends = found.agg(F.max(F.when(~alone, F.col("n"))).alias("last"), F.max_by("line", F.when(~alone, F.col("n"))).alias("line"), F.max_by("open_end", "n").alias("open_end")).first()
+    blank = (F.size("fields") == 1) & (T.trimmed(F.col("fields")[0]) == "")
+    told, fits = (F.col("n") > 0) & ~blank, F.size("fields") == F.col("width")
+    ends = found.agg(
+        F.max(F.when(~alone, F.col("n"))).alias("last"), F.max_by("line", F.when(~alone, F.col("n"))).alias("line"), F.max_by("open_end", "n").alias("open_end"),
+        F.count_if(told & fits).alias("n_rows"), F.count_if(told & ~fits).alias("n_malformed"),
+    ).first()
     if ends.last is None:
         raise ParseError(NO_ROWS)
-    blank = (F.size("fields") == 1) & (T.trimmed(F.col("fields")[0]) == "")
-    data = found.where((F.col("n") > 0) & ~blank)
-    fits = F.size("fields") == F.col("width")
+    if not head.headers or not ends.n_rows:
+        raise ParseError("No data rows found.")
+    data = found.where(told)
     rows = numbered(data.drop("n"), fits).select("id", "fields")
     reason = F.format_string(RAGGED.replace("{}", "%d"), "width", F.size("fields"))
     malformed = data.where(~fits).select("line", F.array_join("fields", head.delimiter).alias("raw"), reason.alias("reason"))
     if ends.open_end:
         line = ends.line if ends.last > 0 else ends.open_end
         malformed = malformed.unionByName(spark.createDataFrame([(line, "(end of file)", UNTERMINATED)], "line int, raw string, reason string"))
-    if not head.headers or rows.isEmpty():
-        raise ParseError("No data rows found.")
-    return Leads(list(head.headers), head.delimiter, ends.last, rows, malformed)
+    return Leads(list(head.headers), head.delimiter, ends.last, rows, malformed, ends.n_rows, ends.n_malformed + bool(ends.open_end))
+
+
+def list_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """A row a list: source_file, rows (well-formed), delimiter (its name), malformed, error; counted in one pass over all lists.
+
+    Blank lists have no delimiter and an error, files without a byte no row; a list whose last quote is
+    open has one malformed record more.
+    """
+    known, found = read_ranges(spark, path)
+    heads = known.where("start = 0").select("file", "delimiter", "headers", "blank")
+    blank = (F.size("fields") == 1) & (T.trimmed(F.col("fields")[0]) == "")
+    alone = (F.size("fields") == 1) & (F.col("fields")[0] == "")
+    place, fits = F.struct("start", "place"), F.size("fields") == F.col("width")
+    # the first record of a list holds its headers and is taken off again
+    told = lambda c: F.count_if(c) - F.min_by(c.cast("long"), place)
+    counts = found.groupBy("file").agg(told(~blank & fits).alias("rows"), told(~blank & ~fits).alias("ragged"), F.max_by("open_end", place).alias("open_end"), F.count_if(~alone).alias("filled"))
+    name = F.create_map(*[F.lit(x) for pair in DELIMITER_NAMES.items() for x in pair])
+    error = F.when(F.col("blank"), EMPTY).when(F.coalesce("filled", F.lit(0)) == 0, NO_ROWS).when(F.coalesce("rows", F.lit(0)) == 0, "No data rows found.")
+    return heads.join(counts, "file", "left").select(
+        F.col("file").alias("source_file"), F.coalesce("rows", F.lit(0)).alias("rows"), F.when(~F.col("blank"), name[F.col("delimiter")]).alias("delimiter"),
+        F.coalesce(F.col("ragged") + F.when(F.col("open_end") > 0, 1).otherwise(0), F.lit(0)).alias("malformed"), error.alias("error"),
+    )
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.sources import splits
-from listwright.sources.leads import ParseError, parse, records
+from listwright.sources.leads import ParseError, leads_from_text, parse, records
 from listwright.operators import mapping
 
 
@@ -82,6 +82,7 @@ def test_files_in_tiny_ranges_equal_the_whole(tiny, tmp_path):
         assert (got.headers, got.delimiter, got.total) == (want.headers, want.delimiter, want.total), text
         assert [(r.id, list(r.fields)) for r in got.rows.orderBy("id").collect()] == list(enumerate(want.rows)), text
         assert sorted(map(tuple, got.malformed.collect())) == sorted(want.malformed), text
+        assert (got.n_rows, got.n_malformed) == (len(want.rows), len(want.malformed)), text
 
 
 def test_errors_and_bytes_that_are_no_text(spark, tmp_path):
@@ -95,6 +96,28 @@ def test_errors_and_bytes_that_are_no_text(spark, tmp_path):
         splits.split_leads(spark, str(tmp_path / "*.csv"))
 
 
+def test_summaries_of_lists_equal_the_whole(tiny, tmp_path):
+    for k, text in enumerate([*texts(), " \n\t\n", '""', "A;B\n", "A\tB\n1\n"]):
+        (tmp_path / f"{k:02}.csv").write_bytes(text.encode())
+    got = {r.source_file.rsplit("/", 1)[1]: r for r in splits.list_summaries(tiny, str(tmp_path / "*.csv")).collect()}
+    names = {",": "comma", ";": "semicolon", "\t": "tab"}
+    for path in sorted(tmp_path.iterdir()):
+        want, r = parse(path.read_bytes().decode()), got.pop(path.name)
+        assert r.error == (want.error or (None if want.rows else "No data rows found.")), path.name
+        if not want.error:
+            assert (r.rows, r.delimiter, r.malformed) == (len(want.rows), names[want.delimiter], len(want.malformed)), path.name
+    assert not got
+
+
+def test_a_list_says_what_it_holds_without_a_job(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('A,B\n1,2\nonly\n3,"4')
+    for w in (splits.split_leads(spark, str(tmp_path / "a.csv")), leads_from_text(spark, 'A,B\n1,2\nonly\n3,"4')):
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        assert w.summary() == "2 rows, comma delimited, 2 malformed"
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+        assert (w.rows.count(), w.malformed.count()) == (2, 2)
+
+
 def test_lists_with_headers_of_their_own(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Company,Website\nOne,one.example\n\nbad\nTwo,two.example\n")
     (tmp_path / "b.csv").write_text("Website;Organization;zip;Organization\nthree.example;first;9;Three\n")
