@@ -1,0 +1,32 @@
+"""Queries over large groups and blocks: what is sent does not grow with the pairs."""
+
+from listwright.operators import dedup
+
+
+def one_domain(spark, n, start=0):
+    return spark.range(start, start + n, 1, 4).selectExpr("id", "'firm' as company", "'www.one.com' as domain", "'' as email")
+
+
+def sent(spark):
+    """Bytes that all stages so far have written for others."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_members_are_not_sent_with_their_groups_key(spark):
+    n = 4000
+    records = one_domain(spark, n, 10**15).cache()
+    groups = dedup.find_duplicates(records)[0]
+    before = sent(spark)
+    rows = dedup.group_members(groups, records).selectExpr("id", "position", "group_size", "length(group_key) as size", "company").collect()
+    assert sorted((r.id, r.group_size, r.size, r.company) for r in rows) == [(10**15 + i, n, 17 * n - 1, "firm") for i in range(n)]
+    assert sorted(r.position for r in rows) == list(range(n))
+    assert sent(spark) - before < 2_000_000  # a key has 68 kB, so 272 MB with it
+
+
+def test_members_of_a_large_group_are_dealt_out(spark, monkeypatch):
+    records = one_domain(spark, 50).unionByName(one_domain(spark, 3, 100).selectExpr("id", "company", "'two.org' as domain", "email"))
+    plain = lambda: sorted(map(tuple, dedup.group_members(dedup.find_duplicates(records)[0], records).collect()))
+    whole = plain()
+    monkeypatch.setattr(dedup, "PART_ROWS", 7)
+    assert len(whole) == 53 and plain() == whole
