@@ -1,5 +1,7 @@
 """Queries over large groups and blocks: what is sent does not grow with the pairs."""
 
+import pytest
+
 from listwright.operators import dedup
 
 
@@ -13,7 +15,18 @@ def sent(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-def test_members_are_not_sent_with_their_groups_key(spark):
+@pytest.fixture
+def unsent(spark):
+    """Joins as where both sides are too large to be sent whole."""
+    keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def test_members_are_not_sent_with_their_groups_key(spark, unsent):
     n = 4000
     records = one_domain(spark, n, 10**15).cache()
     groups = dedup.find_duplicates(records)[0]
@@ -30,3 +43,25 @@ def test_members_of_a_large_group_are_dealt_out(spark, monkeypatch):
     whole = plain()
     monkeypatch.setattr(dedup, "PART_ROWS", 7)
     assert len(whole) == 53 and plain() == whole
+
+
+def test_pairs_of_a_large_block_are_counted_without_making_them(spark, monkeypatch):
+    from listwright.plans import registry
+
+    n = 200_000
+    monkeypatch.setattr(registry, "lead_records", lambda spark, folder: one_domain(spark, n, 7))
+    made = registry.queries()["candidate_pairs"](spark, "")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")  # only the quantiles are joined
+    ids = range(7, n + 7)
+    want = n * (n - 1) // 2, sum(v * (n - 1 - k) for k, v in enumerate(ids)), sum(v * k for k, v in enumerate(ids))
+    assert [tuple(r) for r in made.collect()] == [("d:one", *want)]
+
+
+def test_counts_of_pairs_equal_the_pairs(spark):
+    from pyspark.sql import functions as F
+
+    some = one_domain(spark, 300, -50).unionByName(one_domain(spark, 90, 20)).unionByName(one_domain(spark, 1, 5).selectExpr("id", "company", "'two.org' as domain", "email"))
+    rows = some.unionByName(some.where("id % 3 = 0").selectExpr("id", "company", "'' as domain", "email")).unionByName(some.limit(2).selectExpr("cast(null as long) as id", "company", "domain", "email"))
+    pairs = dedup.candidate_pairs(rows).groupBy("block").agg(F.count("*"), F.sum("id1"), F.sum("id2"))
+    for above in (10, 1000):
+        assert sorted(map(tuple, dedup.pair_counts(rows, above).collect())) == sorted(map(tuple, pairs.collect()))
