@@ -65,3 +65,61 @@ def test_counts_of_pairs_equal_the_pairs(spark):
     pairs = dedup.candidate_pairs(rows).groupBy("block").agg(F.count("*"), F.sum("id1"), F.sum("id2"))
     for above in (10, 1000):
         assert sorted(map(tuple, dedup.pair_counts(rows, above).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_pairs_of_one_domain_are_dealt_to_many_tasks(spark, unsent, monkeypatch):
+    monkeypatch.setattr(dedup, "PART_IDS", 200, raising=False)
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 200_000, raising=False)
+    n = 3000
+    tasks = dedup.matching_pairs(one_domain(spark, n, 10)).selectExpr("id1", "id2", "spark_partition_id() as task").groupBy("task").agg({"id1": "sum", "id2": "sum", "*": "count"}).toPandas()
+    assert tasks["count(1)"].sum() == n * (n - 1) // 2 and tasks["sum(id1)"].sum() + tasks["sum(id2)"].sum() == (n - 1) * sum(range(10, n + 10))
+    assert tasks["count(1)"].max() < n * (n - 1) / 2 / 10
+
+
+def test_what_is_told_of_pairs_is_worked_out_once_a_link(spark, monkeypatch):
+    import re
+
+    from listwright.plans import registry
+
+    records = one_domain(spark, 300).unionByName(spark.range(1000, 1100).selectExpr("id", "concat('long firm name', id % 2) as company", "'' as domain", "'' as email"))
+    monkeypatch.setattr(registry.records, "build_records", lambda *_: records)
+    monkeypatch.setattr(registry, "lead_records", lambda *_: records)
+    monkeypatch.setattr(registry, "lead_rows", lambda *_: records)
+    made = registry.queries()["pair_reasons"](spark, "")
+    got = made.collect()
+    assert {(r.reason, r.label, r.score) for r in got} == {
+        ("exact-domain", "exact domain match", 1.0), ("exact-name", "exact normalized-name match", 1.0), ("fuzzy-name", "fuzzy name match", 0.923077)
+    }
+    assert len(got) == 300 * 299 // 2 + 100 * 99 // 2
+    lines = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    steps = [re.search(r"\*\((\d+)\) Generate", line) for line in lines]
+    steps = [(i, m[1]) for i, m in enumerate(steps) if m]
+    assert not any("round(" in line or "CASE WHEN" in line for line in lines[: steps[1][0]])
+    # slices are paired in a step of their own, so the rows held at once are those of two slices
+    assert steps[0][1] == steps[1][1] != steps[2][1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.85])
+def test_pairs_of_parts_and_slices_equal_the_classified_candidates(spark, monkeypatch, threshold):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from listwright.functions import text
+
+    rng = random.Random(5)
+    names = ["red lamp works", "red lamp worts", "red lamp wort", "blue", "", "plain chair makers", "plain chair makers inc"]
+    leads = [(i - 40, rng.choice(names), rng.choice(["", "", "fern.io", "fell.io", "ferry.io", "oak.org"]), "") for i in range(260)]
+    df = spark.createDataFrame(leads, "id long, company string, domain string, email string")
+    df = df.unionByName(df.where("id < -37").selectExpr("cast(null as long) as id", "company", "domain", "email"))
+    sim = text.similarity(F.col("key1"), F.col("key2"))
+    reason = F.expr(f"case when dom1 = dom2 then 'exact-domain' when key1 = '' or key2 = '' then null when key1 = key2 then 'exact-name' when sim >= {threshold}D then 'fuzzy-name' end")
+    want = dedup.candidate_pairs(df).withColumn("sim", sim).withColumn("reason", reason).where("reason is not null").selectExpr("block", "id1", "id2", "reason", "if(reason = 'fuzzy-name', sim, 1.0D) as score")
+    want = sorted(map(tuple, want.collect()))
+    for part, piece in ((2048, 64), (9, 4), (16, 1)):
+        monkeypatch.setattr(dedup, "PART_IDS", part, raising=False)
+        monkeypatch.setattr(dedup, "SLICE_IDS", piece, raising=False)
+        got = dedup.matching_pairs(df, threshold).select("block", "id1", "id2", "reason", "score")
+        assert sorted(map(tuple, got.collect())) == want
+    fuzzy = dedup.fuzzy_pairs(dedup.keyed(df), threshold).select("block", "id1", "id2", "reason", "score")
+    assert sorted(map(tuple, fuzzy.collect())) == [r for r in want if r[3] == "fuzzy-name"]
