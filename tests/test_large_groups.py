@@ -123,3 +123,16 @@ def test_pairs_of_parts_and_slices_equal_the_classified_candidates(spark, monkey
         assert sorted(map(tuple, got.collect())) == want
     fuzzy = dedup.fuzzy_pairs(dedup.keyed(df), threshold).select("block", "id1", "id2", "reason", "score")
     assert sorted(map(tuple, fuzzy.collect())) == [r for r in want if r[3] == "fuzzy-name"]
+
+
+def test_an_id_that_stands_twice_is_no_pair_of_itself(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    twice = one_domain(spark, 40).unionByName(one_domain(spark, 40).where("id % 2 = 0"))
+    named = [(i, name, "", "") for i in (1000, 1000, 1001, 1002) for name in ("red lamp works", "red lamp worts")]
+    rows = twice.unionByName(spark.createDataFrame(named, "id long, company string, domain string, email string"))
+    want = sorted(map(tuple, dedup.candidate_pairs(rows).where("dom1 = dom2 or key1 <> '' and key2 <> ''").select("id1", "id2").collect()))
+    for piece in (64, 7, 1):
+        monkeypatch.setattr(dedup, "SLICE_IDS", piece)
+        assert sorted(map(tuple, dedup.matching_pairs(rows).select("id1", "id2").collect())) == want
+    assert dedup.fuzzy_pairs(dedup.keyed(rows)).where(F.col("id1") >= F.col("id2")).isEmpty()
